@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,8 +15,9 @@ STEP = 1000
 
 def texts(column: pa.Array, lower: bool = True) -> list[bytes]:
     """UTF-8 of a text column, null as empty; ``lower`` maps A-Z only."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    return (pc.ascii_lower(column) if lower else column).cast(pa.large_binary()).to_pylist()
+    found = column.cast(pa.large_binary()).to_pylist()
+    # not Arrow's ascii_lower, which misreads sliced columns
+    return [x.lower() if x else b"" for x in found] if lower else [x or b"" for x in found]
 
 
 def steps(batches: Iterator[pa.RecordBatch], rows: int = STEP) -> Iterator[pa.RecordBatch]:
