@@ -190,7 +190,9 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     to connect all that such links connect."""
     if not 0 <= distance <= 4:
         raise ValueError("the keys cover distances of 0 to 4 bits")
-    return prints.select("fp").mapInArrow(_emit, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_verify(distance), "u long, v long")
+    # a fingerprint has some 180 keys: a table that fits one partition must not be spread from one task
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.select("fp").repartition(tasks, "fp").mapInArrow(_emit, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_verify(distance), "u long, v long")
 
 
 def classes(prints: DataFrame, id_col: str, distance: int = DISTANCE) -> DataFrame:
