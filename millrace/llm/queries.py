@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import golay, grace, mixing, packing, urls, wavelet
+from . import golay, grace, language, mixing, packing, toxicity, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.judge(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, epochs=2).drop("source", "copies")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.judge(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -42,6 +50,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op5_url_rules": op5_url_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
