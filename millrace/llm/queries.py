@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import golay, grace, language, mixing, packing, toxicity, urls, wavelet
+from . import golay, grace, language, lattice, mixing, packing, toxicity, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.judge(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_lattice_scoring": op4_lattice_scoring,
     "op5_url_rules": op5_url_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
