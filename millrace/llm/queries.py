@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import golay, grace, language, lattice, mixing, packing, toxicity, urls, wavelet
+from . import golay, grace, language, lattice, mixing, packing, search, toxicity, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.judge(table(spark, sf_dir, "documents"), every=100, k=10)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.judge(table(spark, sf_dir, "documents"))
 
@@ -59,9 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lattice_scoring": op4_lattice_scoring,
     "op5_url_rules": op5_url_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bm25_search": op7_bm25_search,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ASCII_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
