@@ -1 +1 @@
-""""""
+"""Whole plans: conversion, and the registered queries."""

@@ -1 +1 @@
-""""""
+"""Files and what they are."""

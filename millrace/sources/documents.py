@@ -1,0 +1,255 @@
+"""Text of office files and PDF, by the standard library. Each reader returns Markdown, or raises with a code."""
+
+from __future__ import annotations
+
+import csv
+import io
+import re
+import zlib
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from ..functions.lazy import pandas_function
+from .archive import package_kind, read_entries, read_entry
+
+
+class DocumentError(Exception):
+    def __init__(self, code: str, message: str) -> None:
+        super().__init__(message)
+        self.code = code
+
+
+def _parts(data: bytes) -> dict[str, Callable[[], bytes]]:
+    return {e.name: (lambda e=e: read_entry(data, e) or b"") for e in read_entries(data) or []}
+
+
+def _name(node: ElementTree.Element) -> str:
+    return node.tag.rpartition("}")[2]
+
+
+def _xml(raw: bytes) -> ElementTree.Element:
+    if b"<!ENTITY" in raw:
+        raise DocumentError("internal", "entities are not allowed")
+    return ElementTree.fromstring(raw)
+
+
+def _runs(node: ElementTree.Element) -> str:
+    out = []
+    for x in node.iter():
+        kind = _name(x)
+        if kind == "t" and x.text:
+            out.append(x.text)
+        elif kind in ("tab",):
+            out.append("\t")
+        elif kind in ("br", "cr"):
+            out.append("\n")
+    return "".join(out)
+
+
+def _table(rows: list[list[str]]) -> str:
+    rows = [[c.replace("|", "\\|").replace("\n", " ") for c in r] for r in rows if any(c.strip() for c in r)]
+    if not rows:
+        return ""
+    width = max(map(len, rows))
+    rows = [r + [""] * (width - len(r)) for r in rows]
+    lines = ["| " + " | ".join(r) + " |" for r in rows]
+    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
+
+
+def docx(data: bytes) -> str:
+    body = _xml(_parts(data)["word/document.xml"]())
+    out = []
+    for block in next((x for x in body.iter() if _name(x) == "body"), body):
+        if _name(block) == "tbl":
+            out.append(_table([["".join(_runs(p) for p in cell.iter() if _name(p) == "p") for cell in row if _name(cell) == "tc"] for row in block if _name(row) == "tr"]))
+        elif _name(block) == "p":
+            style = next((v for x in block.iter() if _name(x) == "pStyle" for k, v in x.attrib.items() if k.endswith("val")), "")
+            level = re.fullmatch(r"[Hh]eading\s*([1-6])", style)
+            text = _runs(block).strip()
+            out.append(f"{'#' * int(level[1])} {text}" if level and text else text)
+    return "\n\n".join(x for x in out if x)
+
+
+def pptx(data: bytes) -> str:
+    parts = _parts(data)
+    slides = sorted((n for n in parts if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    out = []
+    for k, name in enumerate(slides, 1):
+        texts = [t for p in _xml(parts[name]()).iter() if _name(p) == "p" and (t := _runs(p).strip())]
+        out.append("\n\n".join([f"## Slide {k}", *texts]))
+    return "\n\n".join(out)
+
+
+def xlsx(data: bytes) -> str:
+    parts = _parts(data)
+    shared = ["".join(t.text or "" for t in si.iter() if _name(t) == "t") for si in _xml(parts["xl/sharedStrings.xml"]())] if "xl/sharedStrings.xml" in parts else []
+    names = [x.attrib.get("name", "") for x in _xml(parts["xl/workbook.xml"]()).iter() if _name(x) == "sheet"]
+    sheets = sorted((n for n in parts if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    out = []
+    for k, name in enumerate(sheets):
+        rows = []
+        for row in (x for x in _xml(parts[name]()).iter() if _name(x) == "row"):
+            cells: dict[int, str] = {}
+            for c in (x for x in row if _name(x) == "c"):
+                letters = re.match(r"[A-Z]+", c.attrib.get("r", ""))
+                col = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters[0]))) - 1 if letters else len(cells)
+                value = next((v.text or "" for v in c if _name(v) == "v"), "")
+                if c.attrib.get("t") == "s" and value.isdigit() and int(value) < len(shared):
+                    value = shared[int(value)]
+                elif c.attrib.get("t") == "inlineStr":
+                    value = "".join(t.text or "" for t in c.iter() if _name(t) == "t")
+                cells[min(col, 16_383)] = value
+            rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
+        if table := _table(rows):
+            out.append(f"## {names[k] if k < len(names) else name}\n\n{table}")
+    return "\n\n".join(out)
+
+
+def odf(data: bytes) -> str:
+    content = _xml(_parts(data)["content.xml"]())
+    out, inside = [], set()
+    for x in content.iter():
+        kind = _name(x)
+        if kind == "table":
+            rows = [["".join(c.itertext()) for c in r if _name(c) in ("table-cell", "covered-table-cell")] for r in x.iter() if _name(r) == "table-row"]
+            inside |= {id(y) for y in x.iter()}
+            out.append(_table(rows))
+        elif kind in ("h", "p") and id(x) not in inside:
+            level = next((int(v) for k, v in x.attrib.items() if k.endswith("outline-level") and v.isdigit()), 1)
+            text = "".join(x.itertext()).strip()
+            out.append(f"{'#' * min(level, 6)} {text}" if kind == "h" and text else text)
+    return "\n\n".join(x for x in out if x)
+
+
+def epub(data: bytes) -> str:
+    parts = _parts(data)
+    box = _xml(parts["META-INF/container.xml"]())
+    root = next(x.attrib["full-path"] for x in box.iter() if _name(x) == "rootfile")
+    package, folder = _xml(parts[root]()), root.rpartition("/")[0]
+    items = {x.attrib.get("id"): x.attrib.get("href", "") for x in package.iter() if _name(x) == "item"}
+    out = []
+    for ref in (x for x in package.iter() if _name(x) == "itemref"):
+        name = f"{folder}/{items.get(ref.attrib.get('idref'), '')}".lstrip("/")
+        if name in parts:
+            out.append(html_text(parts[name]().decode("utf-8", "replace")))
+    return "\n\n".join(x for x in out if x)
+
+
+def html_text(html: str) -> str:
+    import html as entities
+
+    html = re.sub(r"(?is)<(script|style|head)\b.*?</\1\s*>", "", html)
+    html = re.sub(r"(?i)<h([1-6])\b[^>]*>", lambda m: "\n\n" + "#" * int(m[1]) + " ", html)
+    html = re.sub(r"(?i)</?(p|div|h[1-6]|li|tr|br|section|ul|ol|table)\b[^>]*>", "\n", html)
+    text = entities.unescape(re.sub(r"<[^>]*>", "", html))
+    return "\n\n".join(line for x in text.split("\n") if (line := " ".join(x.split())))
+
+
+def rtf(data: bytes) -> str:
+    out, stack, skip = [], [], 0
+    token = re.compile(rb"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-f]{2})|\\([^a-z])|([{}])|([^\\{}\r\n]+)", re.I)
+    for word, number, code, symbol, brace, text in token.findall(data):
+        if brace == b"{":
+            stack.append(skip)
+        elif brace == b"}":
+            skip = stack.pop() if stack else 0
+        elif symbol == b"*" or word in (b"fonttbl", b"colortbl", b"stylesheet", b"info", b"pict"):
+            skip = 1
+        elif skip:
+            continue
+        elif word in (b"par", b"line"):
+            out.append("\n")
+        elif word == b"tab":
+            out.append("\t")
+        elif word == b"u" and number:
+            out.append(chr(int(number) % 65536))
+        elif code:
+            out.append(bytes([int(code, 16)]).decode("cp1252", "replace"))
+        elif symbol in (b"\\", b"{", b"}"):
+            out.append(symbol.decode())
+        elif text:
+            out.append(text.decode("cp1252", "replace"))
+    return "\n\n".join(x.strip() for x in "".join(out).split("\n") if x.strip())
+
+
+def csv_table(data: bytes) -> str:
+    text = data.decode("utf-8-sig", "replace")
+    return _table(list(csv.reader(io.StringIO(text))))
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """Text of each page, empty where none is found. Reads plain objects and Flate streams; raises on encryption."""
+    if re.search(rb"/Encrypt\b", data):
+        raise DocumentError("encrypted", "This PDF is password-protected.")
+    objects = {int(m[1]): m[2] for m in re.finditer(rb"(?s)(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data)}
+    pages = [(n, body) for n, body in sorted(objects.items()) if re.search(rb"/Type\s*/Page(?![a-zA-Z])", body)]
+    order = [int(x) for body in objects.values() if re.search(rb"/Type\s*/Pages\b", body) for kids in re.findall(rb"(?s)/Kids\s*\[(.*?)\]", body) for x in re.findall(rb"(\d+)\s+\d+\s+R", kids)]
+    rank = {n: k for k, n in enumerate(order)}
+    out = []
+    for _, body in sorted(pages, key=lambda p: (rank.get(p[0], len(rank)), p[0])):
+        found = re.search(rb"(?s)/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", body)
+        refs = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", found[1])] if found else []
+        out.append("\n".join(t for r in refs if (t := _page_text(_stream(objects.get(r, b""))))))
+    return out
+
+
+def _stream(body: bytes) -> bytes:
+    found = re.search(rb"(?s)stream\r?\n(.*?)\r?\n?endstream", body)
+    if not found:
+        return b""
+    if b"/FlateDecode" in body:
+        try:
+            return zlib.decompressobj().decompress(found[1])
+        except zlib.error:
+            return b""
+    return found[1]
+
+
+def _page_text(content: bytes) -> str:
+    out: list[str] = []
+    token = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>|(-?\d+\.?\d*)|(\bT[*dDmJj]|['\"]|\bET\b)", re.S)
+    for text, code, _, operator in token.findall(content):
+        if operator in (b"T*", b"Td", b"TD", b"'", b'"', b"ET", b"Tm") and out and out[-1] != "\n":
+            out.append("\n")
+        elif text:
+            escapes = {b"n": b"\n", b"r": b"\r", b"t": b"\t"}
+            out.append(re.sub(rb"(?s)\\(\d{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else escapes.get(m[1], m[1]), text).decode("cp1252", "replace"))
+        elif code:
+            raw = bytes.fromhex(re.sub(rb"\s", b"", code).decode().ljust(len(code) + len(code) % 2, "0")[: len(code) // 2 * 2])
+            out.append(raw.decode("cp1252", "replace"))
+    return "".join(out).strip()
+
+
+READERS: dict[str, Callable[[bytes], str]] = {"docx": docx, "pptx": pptx, "xlsx": xlsx, "odt": odf, "ods": odf, "odp": odf, "epub": epub, "rtf": rtf, "csv": csv_table}
+
+
+def read(data: bytes, format: str) -> tuple[str, int | None, list[int]]:
+    """Markdown, page count, and pages without text, of a document."""
+    if format == "pdf" or len(data) >= 5 and data[:4] == b"%PDF":
+        pages = pdf_pages(data)
+        marked = "\n\n".join(f"<!-- Page {k} -->\n\n{t}" for k, t in enumerate(pages, 1))
+        return marked, len(pages), [k for k, t in enumerate(pages, 1) if not t.strip()]
+    kind = package_kind(data)
+    reader = READERS.get(kind) or READERS.get(format)
+    if reader is None:
+        raise DocumentError("internal", f"no reader for {format}")
+    markdown = reader(data)
+    if not markdown.strip():
+        raise DocumentError("empty", "No text was found in this document.")
+    return markdown, None, []
+
+
+@pandas_function("struct<markdown:string,page_count:int,pages_needing_ocr:array<int>,code:string,message:string>")
+def analyze(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """``read`` of (content, format); errors come back as code and message and never fail a task."""
+    for contents, formats in batches:
+        rows = []
+        for data, format in zip(contents, formats, strict=True):
+            try:
+                rows.append((*read(bytes(data), format), None, None))
+            except DocumentError as e:
+                rows.append((None, None, None, e.code, str(e)))
+            except Exception as e:  # a damaged file must cost no other row
+                rows.append((None, None, None, "internal", f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(rows, columns=["markdown", "page_count", "pages_needing_ocr", "code", "message"])
