@@ -37,14 +37,20 @@ def _missing(kind: str):
     return engine
 
 
+def _whole(data: bytes, page: int) -> bytes:
+    """No renderer: engines get the document itself."""
+    return data
+
+
 @dataclass(frozen=True)
 class Engines:
-    """Picklable callables; a worker calls them once for each row."""
+    """Picklable callables; ``render`` draws a page (from 1) of a document as an image."""
 
     ocr: OcrEngine = field(default_factory=lambda: _missing("OCR"))
     ocr_fallback: OcrEngine = field(default_factory=lambda: _missing("fallback OCR"))
     asr: AsrEngine = field(default_factory=lambda: _missing("speech"))
     asr_name: str = "whisper-tiny"
+    render: Callable[[bytes, int], bytes] = _whole
 
 
 OCR_RESULT = "struct<text:string,lines:array<struct<text:string,confidence:double>>,mean_confidence:double,engine:string,code:string,message:string>"
@@ -75,15 +81,42 @@ def run_ocr(image: bytes, language: str, engines: Engines) -> tuple:
 
 
 def ocr_column(engines: Engines):
+    """Recognition of (image, language); null images give nulls."""
+
     @F.pandas_udf(OCR_RESULT)
     def recognize(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for images, languages in batches:
-            rows = [run_ocr(bytes(i), lang, engines) for i, lang in zip(images, languages, strict=True)]
+            rows = [(None,) * 6 if i is None else run_ocr(bytes(i), lang, engines) for i, lang in zip(images, languages, strict=True)]
             yield pd.DataFrame(rows, columns=["text", "lines", "mean_confidence", "engine", "code", "message"])
 
     return recognize
 
 
+def ocr_pages_column(engines: Engines):
+    """Recognition of (document, pages, language): text by page, a fallback label for each page that needed one, and the
+    first error; null documents give nulls."""
+
+    @F.pandas_udf("struct<pages:map<int,string>,fallbacks:array<string>,code:string,message:string>")
+    def recognize(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for documents, numbers, languages in batches:
+            rows = []
+            for data, pages, lang in zip(documents, numbers, languages, strict=True):
+                text, fallbacks, error = {}, [], (None, None)
+                for page in [] if data is None or pages is None else pages:
+                    try:
+                        found = run_ocr(engines.render(bytes(data), int(page)), lang, engines)
+                    except Exception as e:
+                        found = None, None, None, None, "internal", str(e)
+                    text[int(page)] = found[0] or ""
+                    fallbacks += ["OCR: Tesseract"] * (found[3] == "tesseract")
+                    if found[4] and not error[0]:
+                        error = found[4:]
+                rows.append((text, fallbacks, *error))
+            yield pd.DataFrame(rows, columns=["pages", "fallbacks", "code", "message"])
+
+    return recognize
+
+
 def asr_column(engines: Engines):
     @F.pandas_udf("struct<text:string,code:string,message:string>")
     def transcribe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 """Conversion of files to Markdown: classify, route by category, and bring all branches to one schema.
 
-The Python readers run behind the filters of their branches only. A failure is a row with an error."""
+One pass over the bytes serves all categories but audio and video, whose recordings are exploded into chunks in a second
+one. A Python reader gets the bytes of its own category and nulls for other rows. A failure is a row with an error."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decode_text, effective_language, fence, trim
 from ..operators import audio, pages
-from ..operators.recognition import Engines, asr_column, ocr_column
+from ..operators.recognition import Engines, asr_column, ocr_column, ocr_pages_column
 from ..sources.audio import wav_samples
 from ..sources.classify import classified
 from ..sources.documents import analyze
@@ -34,7 +35,7 @@ def _result(rows: DataFrame, engine: Column, markdown: Column, warnings: Column,
     """Rows (id, name, length, detected, ...) in the result schema; an error where ``code`` is not null."""
     bad = code.isNotNull()
     unknown = F.struct(F.lit("unknown").alias("category"), F.lit("unknown").alias("format"), F.lit(0.0).alias("confidence"), F.lit("—").alias("label"), _null("string").alias("reason"))
-    ocr = _null("struct<mean_confidence:double>") if confidence is None else F.struct(confidence.alias("mean_confidence"))
+    ocr = _null("struct<mean_confidence:double>") if confidence is None else F.when(confidence.isNotNull(), F.struct(confidence.alias("mean_confidence")))
     metadata = F.struct(F.when(bad, "").otherwise(engine).alias("engine"), fallbacks.cast("array<string>").alias("fallbacks_used"), F.lit(0).cast("long").alias("duration_ms"), F.col("length").cast("long").alias("size_bytes"), F.when(~bad, ocr).alias("ocr"))
     return rows.select(
         "id",
@@ -62,33 +63,31 @@ def convert(files: DataFrame, engines: Engines | None = None, options: Options |
     keyed = classified(fits, options.strict).withColumn("id", F.sha2(F.concat_ws("|", "path", F.sha2("content", 256)), 256))
     large = too_large(files, options.max_file_size).withColumn("id", F.sha2("path", 256)).withColumn("detected", _null(DETECTED))
     out = _fail(large, F.col("error.code"), F.col("error.message"))
-    of = lambda *kinds: keyed.where(F.col("detected.category").isin(*kinds))
-    none, no_text, empty = F.array(), _null("string"), F.lit("")
-    out = out.unionByName(_fail(of("unsupported", "unknown"), F.col("detected.format"), F.coalesce(F.col("detected.reason"), F.concat(F.lit("Unsupported file type ("), F.col("detected.label"), F.lit(").")))))
-    out = out.unionByName(_result(of("text"), F.lit("text"), fence(decode_text(F.col("content"))), none, none, no_text, no_text))
-    # documents and PDF
-    docs = of("document").withColumn("a", analyze("content", "detected.format"))
-    office = docs.where("a.page_count IS NULL")
-    out = out.unionByName(_result(office, F.lit("anydoc"), F.col("a.markdown"), none, none, F.col("a.code"), F.col("a.message")))
-    pdf = docs.where("a.page_count IS NOT NULL")
-    flagged = pdf.select("id", "content", F.explode("a.pages_needing_ocr").alias("page"))
-    seen = flagged.withColumn("o", ocr_column(engines)("content", language)).groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("page", F.coalesce("o.text", empty).alias("text")))).alias("ocr"),
-        F.collect_list(F.when(F.col("o.engine") == "tesseract", F.lit("OCR: Tesseract"))).alias("fallbacks"),
-        F.first("o.code", ignorenulls=True).alias("code"),
-        F.first("o.message", ignorenulls=True).alias("message"),
+    none, no_text, empty = F.array().cast("array<string>"), _null("string"), F.lit("")
+    kind, content = F.col("detected.category"), F.col("content")
+    media = kind.isin("audio", "video")
+    rows = keyed.where(~media)
+    rows = rows.withColumn("a", analyze(F.when(kind == "document", content), F.col("detected.format")))
+    scanned = F.coalesce(F.size("a.pages_needing_ocr") > 0, F.lit(False))
+    rows = rows.withColumn("p", ocr_pages_column(engines)(F.when(scanned, content), F.col("a.pages_needing_ocr"), language)).withColumn("o", ocr_column(engines)(F.when(kind == "image", content), language))
+    refused, pdf = kind.isin("unsupported", "unknown"), F.col("a.page_count").isNotNull()
+    reason = F.coalesce(F.col("detected.reason"), F.concat(F.lit("Unsupported file type ("), F.col("detected.label"), F.lit(").")))
+    code = F.when(refused, F.col("detected.format")).otherwise(F.coalesce("a.code", "p.code", "o.code"))
+    message = F.when(refused, reason).otherwise(F.coalesce("a.message", "p.message", "o.message"))
+    markdown = (
+        F.when(kind == "text", fence(decode_text(content)))
+        .when(pdf, pages.merge(F.col("a.markdown"), F.col("a.page_count"), F.col("p.pages")))
+        .when(kind == "document", F.col("a.markdown"))
+        .otherwise(F.when(F.col("o.text") == "", "_No text detected._").otherwise(F.col("o.text")))
     )
-    pdf = pdf.drop("content").join(seen, "id", "left")
-    engine = F.when(F.size("a.pages_needing_ocr") > 0, "pdf-inspector+ocr").otherwise("pdf-inspector")
-    merged = pages.merge(F.col("a.markdown"), F.col("a.page_count"), F.col("ocr"))
-    out = out.unionByName(_result(pdf, engine, merged, none, F.coalesce("fallbacks", none.cast("array<string>")), F.col("code"), F.col("message")))
-    # images
-    images = of("image").withColumn("o", ocr_column(engines)("content", language)).drop("content")
-    warnings = F.array_compact(F.array(F.col("detected.reason"), F.when(trim(F.col("o.text")) == "", "No text was detected in this image.")))
-    fallbacks = F.array_compact(F.array(F.when(F.col("o.engine") == "tesseract", "OCR: Tesseract")))
-    out = out.unionByName(_result(images, F.lit("rapidocr"), F.when(F.col("o.text") == "", "_No text detected._").otherwise(F.col("o.text")), warnings, fallbacks, F.col("o.code"), F.col("o.message"), F.col("o.mean_confidence")))
+    engine = F.when(kind == "text", "text").when(pdf & scanned, "pdf-inspector+ocr").when(pdf, "pdf-inspector").when(kind == "document", "anydoc").otherwise("rapidocr")
+    warnings = F.when(refused, F.array(message)).when(kind == "image", F.array_compact(F.array(F.col("detected.reason"), F.when(trim(F.col("o.text")) == "", "No text was detected in this image.")))).otherwise(none)
+    fallbacks = F.when(kind == "image", F.array_compact(F.array(F.when(F.col("o.engine") == "tesseract", "OCR: Tesseract")))).otherwise(F.coalesce("p.fallbacks", none))
+    # a file that is refused reports no size
+    rows = rows.withColumn("length", F.when(refused, 0).otherwise(F.col("length")))
+    out = out.unionByName(_result(rows, engine, markdown, warnings, fallbacks, code, message, F.when(kind == "image", F.col("o.mean_confidence"))))
     # audio and video: chunks of a long recording are transcribed apart, then stitched in order
-    heard = of("audio", "video").withColumn("w", wav_samples("content")).drop("content")
+    heard = keyed.where(media).withColumn("w", wav_samples("content")).drop("content")
     chunks = audio.chunks(heard.where("w.samples IS NOT NULL AND size(w.samples) > 0").select("id", F.col("w.samples").alias("samples")), "id", "samples")
     said = chunks.withColumn("t", asr_column(engines)("samples", language)).select("id", "chunk_no", F.coalesce("t.text", empty).alias("text"), "t.code", "t.message")
     folded = audio.transcripts(said, "id").join(said.groupBy("id").agg(F.first("code", ignorenulls=True).alias("code"), F.first("message", ignorenulls=True).alias("message")), "id")

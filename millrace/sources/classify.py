@@ -110,14 +110,13 @@ def classify(content: Column, name: Column, zip_kind: Column | None = None, stri
 
 @pandas_function("string")
 def package_kinds(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Which package a ZIP file is. For ZIP files only: filter before, as Python runs on every row it is given."""
+    """Which package a ZIP file is; null for null."""
     for series in contents:
-        yield series.map(package_kind)
+        yield series.map(package_kind, na_action="ignore")
 
 
 def classified(files: DataFrame, strict: bool = False) -> DataFrame:
-    """``files`` (name, content) with ``detected``. Only rows with a ZIP signature go through Python."""
-    zipped = F.coalesce(is_zip(F.col("content")), F.lit(False))
-    plain = files.where(~zipped).withColumn("detected", classify(F.col("content"), F.col("name"), None, strict))
-    packed = files.where(zipped).withColumn("_kind", package_kinds("content")).withColumn("detected", classify(F.col("content"), F.col("name"), F.col("_kind"), strict)).drop("_kind")
-    return plain.unionByName(packed)
+    """``files`` (name, content) with ``detected``, in one pass. Python gets the bytes of rows with a ZIP signature only, and
+    nulls for all others."""
+    zipped = F.when(is_zip(F.col("content")), F.col("content"))
+    return files.withColumn("_kind", package_kinds(zipped)).withColumn("detected", classify(F.col("content"), F.col("name"), F.col("_kind"), strict)).drop("_kind")

@@ -242,10 +242,14 @@ def read(data: bytes, format: str) -> tuple[str, int | None, list[int]]:
 
 @pandas_function("struct<markdown:string,page_count:int,pages_needing_ocr:array<int>,code:string,message:string>")
 def analyze(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """``read`` of (content, format); errors come back as code and message and never fail a task."""
+    """``read`` of (content, format); errors come back as code and message and never fail a task. Null content
+    gives nulls."""
     for contents, formats in batches:
         rows = []
         for data, format in zip(contents, formats, strict=True):
+            if data is None:
+                rows.append((None,) * 5)
+                continue
             try:
                 rows.append((*read(bytes(data), format), None, None))
             except DocumentError as e:
