@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WEAK = 0.5
@@ -30,6 +30,20 @@ OcrEngine = Callable[[bytes, str], list[Line]]
 AsrEngine = Callable[[list, str], str]
 
 
+def dictionary(spark: SparkSession, path: str) -> list[str]:
+    """Letters of a recognizer, one a line, in order."""
+    whole = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    return [line.removesuffix("\r") for line in whole.removeprefix("\ufeff").split("\n")]
+
+
+def model_bytes(spark: SparkSession, folder: str, name: str) -> bytes:
+    """Weights kept in a folder that Spark can read; there is no download here, so a missing file is an error row's code."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder).select("content").head(1)
+    if not found:
+        raise EngineError("MODEL_DOWNLOAD", f"No model {name} in {folder}.")
+    return bytes(found[0][0])
+
+
 def _missing(kind: str):
     def engine(*_):
         raise EngineError("MODEL_DOWNLOAD", f"No {kind} model is available.")

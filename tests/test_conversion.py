@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import export, history
-from millrace.operators.recognition import EngineError, Engines, Line, run_ocr
+from millrace.operators.recognition import EngineError, Engines, Line, dictionary, model_bytes, run_ocr
 from millrace.plans.convert import Options, convert
 from millrace.sources import archive
 from millrace.sources.files import empty_files, pasted_images, scan, too_large, within_limit
@@ -138,3 +138,11 @@ def test_job_events(spark):
 def test_pasted_images(spark):
     items = spark.createDataFrame([("file", "image/png"), ("string", "image/png"), ("file", "text/plain")], "kind string, mime string")
     assert pasted_images(items).count() == 1
+
+
+def test_model_files(spark, tmp_path):
+    put(tmp_path, {"dict.txt": "\ufeffa\r\nb\nç".encode(), "m.onnx": b"weights"})
+    assert dictionary(spark, str(tmp_path / "dict.txt")) == ["a", "b", "ç"]
+    assert model_bytes(spark, str(tmp_path), "m.onnx") == b"weights"
+    with pytest.raises(EngineError):
+        model_bytes(spark, str(tmp_path), "none.onnx")
