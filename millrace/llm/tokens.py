@@ -30,32 +30,46 @@ class Encoder(dict):
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
+        self.packed = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.alphabet = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if chr(c).isalpha()}
+        self.marks: dict[str, bytes] = {"": b""}
         self.plain = self._agree()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        if self.plain and (m := _PLAIN.fullmatch(word.decode())):
-            ids = self._plain(m)
+        text = word.decode()
+        if self.plain and word.isalpha() and word.islower():
+            packed = self.packed
+            out = b"".join([packed[t.id] for t in self.tokenize(text)])
+        elif self.plain and (m := _PLAIN.fullmatch(text)):
+            out = self._plain(*m.groups())
         else:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+            out = self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self[word] = out
         return out
 
-    def _plain(self, m: re.Match) -> list[int]:
-        letters, marks = m.groups()
-        found = self.model.tokenize(letters.lower().translate(self.alphabet))
-        if marks:
-            found += self.model.tokenize(marks)
-        return [t.id for t in found]
+    def _pack(self, ids: list[int]) -> bytes:
+        packed = self.packed
+        return b"".join([packed[k] for k in ids])
+
+    def _plain(self, letters: str, marks: str) -> bytes:
+        if marks or not letters.islower():
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": b""}
+                self.marks[marks] = self._pack([t.id for t in self.tokenize(marks)])
+            return self[letters.lower().encode()] + self.marks[marks]
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(letters if letters.isascii() else letters.translate(self.alphabet))])
 
     def _agree(self) -> bool:
         """Whether model and tokenizer agree on plain words, as they do for this vocabulary."""
+        self.plain = True
         words = ("the", "Mixed", "zzyxqh", "end.", "well?!", "Éçàß", "Ñandú,", "ÿØÞ")
-        return all(self._plain(_PLAIN.fullmatch(w)) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in words)
+        return all(self[w.encode()] == self._pack(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in words)
 
     def ids(self, text: bytes) -> bytes:
         """Ids of a text (UTF-8, not lower-cased beforehand)."""

@@ -42,9 +42,11 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        left, planes, zeros = ids.astype(np.uint32), [], []
-        for k in reversed(range(max(1, int(left.max()).bit_length() if len(left) else 1))):
-            ones = (left >> np.uint32(k) & np.uint32(1)).astype(bool)
+        bits = max(1, int(ids.max()).bit_length() if len(ids) else 1)
+        kind = np.uint16 if bits <= 16 else np.uint32
+        left, planes, zeros = ids.astype(kind), [], []
+        for k in reversed(range(bits)):
+            ones = (left & kind(1 << k)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
             zeros.append(int(len(left) - np.count_nonzero(ones)))
             left = np.concatenate([left[~ones], left[ones]])
@@ -108,13 +110,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """The whole sequence: planes undone from the last, each partition reversed."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for k, bits in reversed(list(enumerate(self.planes))):
-            ones = np.unpackbits(bits, count=self.n, bitorder="little").astype(bool)
+            ones = np.unpackbits(bits, count=self.n, bitorder="little").view(bool)
             back = np.empty_like(values)
-            back[~ones], back[ones] = values[: self.zeros[k]], values[self.zeros[k] :]
-            values = back | ones.astype(np.uint32) << np.uint32(len(self.planes) - 1 - k)
-        return values
+            back[~ones] = values[: self.zeros[k]]
+            back[ones] = values[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k))
+            values = back
+        return values.astype(np.uint32)
 
 
 def _directory(bits: np.ndarray) -> np.ndarray:
