@@ -27,10 +27,10 @@ from .arrow import append, texts
 from .store import fresh
 
 ORDER = 6
-SAMPLE_DOCS = 6000
-SAMPLE_CHARS = 24_000_000
+SAMPLE_DOCS = 1600
+SAMPLE_CHARS = 6_000_000
 #: Word scores that a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Taken off a class's own counts; what it leaves to the shared model makes rare expressions say little.
 DISCOUNT = 1.0
 #: Toxic text is ordinary text but for this share of its words.
@@ -47,23 +47,26 @@ class Windows:
 
     def __init__(self, words: list[str]) -> None:
         pad = "\x00" * (ORDER - 1)
-        codes = np.frombuffer("".join(f"{pad}{w}\x01" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        self.codes = np.frombuffer("".join(f"{pad}{w}\x01" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         stops = np.cumsum(lengths + ORDER)
-        at = np.ones(len(codes), bool)
+        at = np.ones(len(self.codes), bool)
         starts = stops - lengths - ORDER
         for k in range(ORDER - 1):
             at[starts + k] = False
-        at = np.flatnonzero(at)
-        self.letter = codes[at]
-        self.word = np.repeat(np.arange(len(words)), lengths + 1)
-        self.contexts = [np.zeros(len(at), np.uint64)]
-        for k in range(1, ORDER):
-            self.contexts.append(_mix(self.contexts[-1] + (codes[at - k] + np.uint64(7)) * _MULTIPLIERS[k]))
+        self.at = np.flatnonzero(at)
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), lengths + 1)
+
+    def context(self, length: int) -> np.ndarray:
+        """Hash of the ``length`` letters before each letter; made anew each time, which is cheaper than to keep."""
+        out = np.zeros(len(self.at), np.uint64)
+        for k in range(1, length + 1):
+            out = _mix(out + (self.codes[self.at - k].astype(np.uint64) + np.uint64(7)) * _MULTIPLIERS[k])
+        return out
 
     def grams(self, order: int) -> np.ndarray:
         """n-gram of ``order`` letters: the letter after order - 1 others."""
-        return _mix(self.contexts[order - 1] * np.uint64(3) + (self.letter + np.uint64(11)) * _MULTIPLIERS[0] + np.uint64(order))
+        return _mix(self.context(order - 1) * np.uint64(3) + (self.codes[self.at].astype(np.uint64) + np.uint64(11)) * _MULTIPLIERS[0] + np.uint64(order))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +101,7 @@ class Model:
         top, first, _ = _count(w.grams(ORDER), own[0])
         back = np.searchsorted(top, w.grams(ORDER))
         counts = [np.bincount(back, weights=x, minlength=len(top)) for x in own]
-        context = w.contexts[ORDER - 1][first]
+        context = w.context(ORDER - 1)[first]
         self.context, _, _ = _count(context, np.ones(len(context)))
         at = np.searchsorted(self.context, context)
         shared = self._shared(w, first, sum(counts), at)
@@ -118,7 +121,7 @@ class Model:
         """Kneser-Ney probability from the counts of both classes, below the top order continuation counts."""
         prob = None
         for order in range(1, ORDER):
-            grams, contexts = w.grams(order), w.contexts[order - 1]
+            grams, contexts = w.grams(order), w.context(order - 1)
             # continuation count: in how many longer n-grams it ends
             _, longer, _ = _count(w.grams(order + 1), np.ones(len(grams)))
             keys, spot, c = _count(grams[longer], np.ones(len(longer)))
@@ -141,12 +144,12 @@ class Model:
         w = Windows(words)
         at, seen = _find(self.gram, w.grams(ORDER))
         llr = np.where(seen, self.gram_llr[at] if len(self.gram) else 0.0, 0.0)
-        at, known = _find(self.context, w.contexts[ORDER - 1])
+        at, known = _find(self.context, w.context(ORDER - 1))
         llr = np.where(~seen & known, self.context_llr[at] if len(self.context) else 0.0, llr)
         llr = np.bincount(w.word, weights=llr, minlength=len(words))
         return np.log(1 - MIX + MIX * np.exp(np.minimum(llr, 50)))
 
-    def calibrate(self, means: np.ndarray, labels: np.ndarray, prior: float = 0.5) -> None:
+    def calibrate(self, means: np.ndarray, labels: np.ndarray, prior: float = 0.35) -> None:
         """Logistic fit of the mean ratio by Newton's method, classes weighted to ``prior``."""
         if not len(means) or labels.min() == labels.max():
             self.offset = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
@@ -189,36 +192,41 @@ class Scorer(dict):
         return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
-def _sample(rows: DataFrame, docs: int, chars: int) -> list[tuple[str, int]]:
-    """Text and label of each class's documents with the smallest hashes; Spark keeps ``docs`` rows a task."""
-    out = []
-    for label in (0, 1):
-        held, held_chars = [], 0
-        picked = rows.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(docs)
-        for row in picked.select("text").toLocalIterator():
-            held_chars += len(row[0])
-            if held_chars > chars and held:
-                break
-            held.append((row[0], label))
-        out += held
-    return out
+def _sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
+    """(label, held, text) in the order of the ids' hashes: for each label at most ``sample_docs`` documents to train on
+    and a quarter of that, held, to calibrate with. Ids are picked first; only the picked ids, whose number is bounded,
+    meet the texts, so no text is shuffled but those of the sample."""
+    rank, held = F.xxhash64("id"), F.pmod(F.hash("id"), F.lit(5)) == 0
+    known = docs.where("text IS NOT NULL").select("id").join(labels, "id").withColumn("held", held).withColumn("rank", rank)
+    sizes = {(label, part): max(1, sample_docs // 4) if part else sample_docs for label in (0, 1) for part in (False, True)}
+    picked = None
+    for (label, part), n in sizes.items():
+        own = known.where((F.col("label") == label) & (F.col("held") == part)).orderBy("rank", "id").limit(n)
+        picked = own if picked is None else picked.unionByName(own)
+    # ids can repeat in the documents: the limit holds for them, too
+    met = docs.where("text IS NOT NULL").join(F.broadcast(picked.dropDuplicates(["id"])), "id")
+    return met.orderBy("label", "held", "rank", "id").limit(sum(sizes.values())).select("label", "held", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit on labelled documents. A fifth of them, by a hash of the id, calibrates and does not train. Ids labelled
     more than once count by their largest label."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("label"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("label_id")).select("id", "text", "label")
-    part = F.pmod(F.hash("id"), F.lit(5)) == 0
-    counts = (Counter(), Counter())
-    for text, label in _sample(rows.where(~part), sample_docs, sample_chars):
-        counts[label].update(set(text.lower().split()))
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts, chars, held = (Counter(), Counter()), Counter(), []
+    for label, apart, text in _sample(rows, known, sample_docs).toLocalIterator():
+        chars[label, apart] += len(text)
+        if chars[label, apart] > (sample_chars // 4 if apart else sample_chars) and chars[label, apart] > len(text):
+            continue
+        if apart:
+            held.append((text, label))
+        else:
+            counts[label].update(set(text.lower().split()))
     model = Model(counts[1], counts[0])
-    held = _sample(rows.where(part), max(1, sample_docs // 4), max(1, sample_chars // 4))
-    scorer, means = Scorer(model), []
-    for i in range(0, len(held), 200):
-        means.append(scorer.means([t.lower().encode() for t, _ in held[i : i + 200]]))
-    model.calibrate(np.concatenate(means) if means else np.zeros(0), np.array([x for _, x in held]))
+    del counts
+    scorer = Scorer(model)
+    means = [scorer.means([text.lower().encode()])[0] for text, _ in held]
+    model.calibrate(np.array(means), np.array([label for _, label in held]))
     return model
 
 
@@ -232,7 +240,7 @@ def add_score(docs: DataFrame, model: Model, name: str, text_col: str = "text")
             kept.append(Scorer(shared.value))
         return [pa.array(kept[0].scores(texts(batch.column(at))), pa.float64())]
 
-    return append(docs, [T.StructField(name, T.DoubleType())], make)
+    return append(docs, [T.StructField(name, T.DoubleType())], make, 250)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **sample: int) -> DataFrame:
