@@ -19,15 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import texts
+from .arrow import small_batches, texts
 from .store import materialize
 
 K1, B = 1.2, 0.75
-SHARD_DOCS = 8000
+SHARD_DOCS = 3000
 BLOCK = 32
 #: Query terms of one block of queries, repeats between queries counted.
 QUERY_TERMS = 600_000
@@ -35,10 +36,13 @@ QUERY_TERMS = 600_000
 
 def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words of a text, ascending, and how often each occurs."""
-    counts = Counter(text.split())
+    return _hashed(Counter(text.split()))
+
+
+def _hashed(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in counts), np.uint64, len(counts))
     order = np.argsort(keys)
-    return keys[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
+    return keys[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
 
 
 class Shard:
@@ -49,30 +53,36 @@ class Shard:
 
     @classmethod
     def build(cls, ids: list[int | None], found: list[bytes]) -> Shard:
+        # one text's words at a time: all of a shard's at once would take ten times its bytes
+        common, lengths, own_terms = [], [], []
+        for text in found:
+            counts = Counter(text.split())
+            common.append(max(counts.items(), key=lambda x: (x[1], x[0]))[0] if counts else b"")
+            lengths.append(sum(counts.values()))
+            own_terms.append(_hashed(counts))
         # by the commonest word, as a stand-in for the language, then by length: blocks of like documents bound tightly
-        split = [t.split() for t in found]
-        common = [max(c.items(), key=lambda x: (x[1], x[0]))[0] if (c := Counter(ws)) else b"" for ws in split]
-        order = sorted(range(len(ids)), key=lambda i: (common[i], len(split[i]), found[i]))
-        parts = [terms(found[i]) for i in order]
+        order = sorted(range(len(ids)), key=lambda i: (common[i], lengths[i], found[i]))
+        parts = [own_terms[i] for i in order]
         sizes = [len(k) for k, _ in parts]
         keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
         doc = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
         place = np.argsort(keys, kind="stable")
         keys = keys[place]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        tf = (np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64))[place].astype(np.int32)
+        tf = (np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int32))[place]
         own = [ids[i] for i in order]
-        return cls(keys[starts], np.append(starts, len(keys)), doc[place], tf, np.array([x or 0 for x in own], np.int64), np.array([x is not None for x in own], bool), np.array([len(split[i]) for i in order], np.int64))
+        return cls(keys[starts], np.append(starts, len(keys)), doc[place], tf, np.array([x or 0 for x in own], np.int64), np.array([x is not None for x in own], bool), np.array([lengths[i] for i in order], np.int64))
 
     def dump(self) -> bytes:
+        """One compressed file, in the narrowest integers that hold the values."""
         out = io.BytesIO()
-        np.savez(out, keys=self.keys, first=self.first, doc=self.doc, tf=self.tf, ids=self.ids, known=self.known, lengths=self.lengths)
-        return out.getvalue()
+        np.savez(out, keys=self.keys, ids=self.ids, known=self.known, **{n: _narrow(x) for n, x in (("first", self.first), ("doc", self.doc), ("tf", self.tf), ("lengths", self.lengths))})
+        return zstandard.ZstdCompressor(level=1).compress(out.getbuffer())
 
     @classmethod
     def load(cls, data: bytes) -> Shard:
-        with np.load(io.BytesIO(data)) as f:
-            return cls(*(f[n] for n in ("keys", "first", "doc", "tf", "ids", "known", "lengths")))
+        with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data))) as f:
+            return cls(f["keys"], f["first"].astype(np.int64), f["doc"].astype(np.int32), f["tf"].astype(np.int32), f["ids"], f["known"], f["lengths"].astype(np.int64))
 
     def prepare(self, mean: float) -> None:
         """Impacts (without idf) of all postings, and their maxima by term and block."""
@@ -123,6 +133,10 @@ class Shard:
         return docs, scores
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
+
+
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a[0]..b[0]-1, a[1]..b[1]-1, ..."""
     n = b - a
@@ -148,7 +162,7 @@ def build(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
         shard = Shard.build(ids, found)
         return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([int(shard.lengths.sum())], pa.int64()), pa.array([shard.dump()], pa.binary())], names=["docs", "words", "index"])
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "docs long, words long, index binary"), "index")
+    return materialize(small_batches(docs).select("doc_id", "text").mapInArrow(run, "docs long, words long, index binary"), "index")
 
 
 def _frequencies(index: DataFrame, keys: np.ndarray) -> np.ndarray:
@@ -158,8 +172,8 @@ def _frequencies(index: DataFrame, keys: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                shard = Shard.load(data)
+            for data in batch.column(0):
+                shard = Shard.load(data.as_py())
                 at = np.minimum(np.searchsorted(shard.keys, shared.value), max(len(shard.keys) - 1, 0))
                 if len(shard.keys):
                     sums += np.where(shard.keys[at] == shared.value, shard.first[at + 1] - shard.first[at], 0)
@@ -188,8 +202,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, query_terms: int =
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for data in batch.column(0).to_pylist():
-                    shard = Shard.load(data)
+                for data in batch.column(0):  # one file at a time
+                    shard = Shard.load(data.as_py())
                     shard.prepare(mean)
                     rows: list[tuple] = []
                     for i, q, weight in shared.value:
