@@ -88,8 +88,11 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
 @cache
 def _decoder() -> np.ndarray:
     """For each of the 2**23 words the 12 message bits of the codeword nearest to it."""
-    words = np.arange(1 << 23, dtype=np.int64)
-    return ((words ^ _patterns()[_syndrome(words)]) >> 11).astype(np.uint16)
+    out, step = np.empty(1 << 23, np.uint16), 1 << 16
+    for at in range(0, 1 << 23, step):  # bit by bit over all words at once would take some 400 MB
+        words = np.arange(at, at + step, dtype=np.int64)
+        out[at : at + step] = (words ^ _patterns()[_syndrome(words)]) >> 11
+    return out
 
 
 def nearby(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
