@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Bytes of a batch that Spark sends to a Python worker. Whole texts make batches large, and both sides hold several.
+BATCH_BYTES = 4 << 20
 #: Rows that one call handles, however large the batches are that Spark sends.
 STEP = 1000
 
@@ -26,6 +28,15 @@ def steps(batches: Iterator[pa.RecordBatch], rows: int = STEP) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to send batches of no more than BATCH_BYTES."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key)
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def append(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list], rows: int = STEP) -> DataFrame:
     """``df`` with further columns; ``make`` gets a batch and returns a list or array for each field.
 
@@ -39,4 +50,4 @@ def append(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.Record
             new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(make(batch), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -1,6 +1,6 @@
 """Exact deduplication by Grace hash partitioning.
 
-Map tasks collapse the repeated texts of each batch, so a text that a third of all rows share travels
+Map tasks collapse the repeated texts of each batch of rows, so a text that a third of all rows share travels
 once per batch. The rest is dealt out by SHA-256 of the normalised text. A reduce task keeps an
 open-addressing table that compares complete content; when the table outgrows its memory, its entries and
 all further records go to spill files by further hash bits, and each file is treated in the same way.
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import append, steps, texts
+from .arrow import append, small_batches, steps, texts
 from .store import fresh, materialize
 
 #: Bytes of distinct text that a table may hold before it goes to spill files.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 FAN_OUT = 16
 #: A group with over 1/HOT_PARTS of all rows counts as hot; there are fewer than HOT_PARTS of them.
 HOT_PARTS = 500
@@ -110,8 +110,8 @@ def _read(name: str) -> Iterator[tuple]:
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch: a row for each distinct text, with its largest id, its rows and how many have that id."""
-    for batch in batches:
+    """Of every 2500 rows: a row for each distinct text, with its largest id, its rows and how many have that id."""
+    for batch in steps(batches, 2500):
         found: dict[bytes, list] = {}
         for text, key in zip(texts(batch.column(1)), batch.column(0).to_pylist(), strict=True):
             if (e := found.get(text)) is None:
@@ -155,7 +155,7 @@ def _groups(out: list[tuple]) -> pa.RecordBatch:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row for each distinct text (A-Z lower-cased, null as empty): digest, keep_id (its largest id; null
     only if no row has one), group_size, ties (rows that have that id)."""
-    local = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_collapse, "digest binary, text binary, top long, rows long, ties long")
+    local = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_collapse, "digest binary, text binary, top long, rows long, ties long")
     return local.repartition("digest").mapInArrow(_grace(table_bytes), "digest binary, keep_id long, group_size long, ties long")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import steps, texts
+from .arrow import small_batches, steps, texts
 from .store import materialize
 from .tokens import encoder, vocabulary
 
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int,
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
 
 
 def _group(capacity: int):
