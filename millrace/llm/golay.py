@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from .arrow import append, texts
 from .components import components
 from .store import fresh, materialize
@@ -198,10 +199,12 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.select("fp").repartition(tasks, "fp").mapInArrow(_emit, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_verify(distance), "u long, v long")
 
 
-def classes(prints: DataFrame, id_col: str, distance: int = DISTANCE) -> DataFrame:
-    """One row per distinct fingerprint: fp, component_id (smallest id reachable; null if no row there has one)."""
+def classes(prints: DataFrame, id_col: str, distance: int = DISTANCE, edges: DataFrame | None = None) -> DataFrame:
+    """One row per distinct fingerprint: fp, component_id (smallest id reachable; null if no row there has one).
+
+    ``edges`` (u, v) replaces the links by distance."""
     least = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("id")), "fingerprints")
-    roots = components(links(least, distance))
+    roots = components(links(least, distance) if edges is None else edges)
     # a fingerprint without links stands for itself
     rooted = least.join(roots, least["fp"] == roots["u"], "left").select(least["fp"], "id", F.coalesce("root", least["fp"]).alias("root"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -218,15 +221,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """``docs`` without all but one document of each component, columns unchanged.
 
+    With ``similarity`` documents are linked by that Jaccard similarity of runs of ``width`` words, not by fingerprints.
+
     The row with the smallest id stays (null ids only where no row has another); between rows of one id the one
     with the smallest fingerprint, and of rows equal in both any one."""
     fp, key, one = fresh(docs, "fp", "keeper_fp", "keeper_id")
-    marked = add_fingerprints(docs, fp, text_col, width)
+    marked = add_fingerprints(docs, fp, text_col, width) if similarity is None else jaccard.add_nodes(docs, fp, text_col)
     rows = materialize(marked.select(F.col(fp).alias("fp"), F.col(id_col).cast("long").alias("doc_id")), "prints")
-    found = classes(rows, "doc_id", distance)
+    edges = None if similarity is None else jaccard.links(marked.select(F.col(fp).alias("fp"), F.col(text_col).alias("text")), similarity, width)
+    found = classes(rows, "doc_id", distance, edges)
     holds = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias(key), F.first("component_id").alias(one))
     many = rows.groupBy("fp", "doc_id").agg(F.count("*").alias("n"))
     kept = holds.join(many, (F.col(key) == many["fp"]) & F.col(one).eqNullSafe(many["doc_id"])).select(key, one, "n")
