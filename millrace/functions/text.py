@@ -39,9 +39,11 @@ def fence(text: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
+    """Rounded to the nearest, ties to the larger; null for a null size."""
     kb = 1024
     return (
-        F.when(n < kb, F.concat(n.cast("string"), F.lit(" B")))
+        F.when(n.isNull(), F.lit(None).cast("string"))
+        .when(n < kb, F.concat(n.cast("string"), F.lit(" B")))
         .when(n < kb**2, F.format_string("%.1f KB", n / F.lit(float(kb))))
         .when(n < kb**3, F.format_string("%.1f MB", n / F.lit(float(kb**2))))
         .otherwise(F.format_string("%.2f GB", n / F.lit(float(kb**3))))

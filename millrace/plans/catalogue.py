@@ -129,7 +129,7 @@ SIZES = [(0,), (1023,), (1024,), (1587,), (1048575,), (1048576,), (5767168,), (1
     SELECT n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (v // 10) || '.' || (v % 10) || ' KB' WHEN n < 1073741824 THEN (v // 10) || '.' || (v % 10) || ' MB'
         ELSE (v // 100) || '.' || lpad(CAST(v % 100 AS VARCHAR), 2, '0') || ' GB' END AS label FROM y""")
 def format_bytes(spark, sf_dir):
-    rows = spark.createDataFrame(SIZES, "n long").unionByName(table(spark, sf_dir, "documents").where("(n_chars * 10) % 1024 <> 512").select(F.col("n_chars").alias("n")))
+    rows = spark.createDataFrame(SIZES, "n long").unionByName(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("n")))
     return rows.select("n", text.format_bytes(F.col("n")).alias("label"))
 
 
