@@ -8,8 +8,9 @@ a join: words frequent enough to skew it are fewer than ``HOT_WORDS``, which bou
 The vocabulary comes with ranks only; they give the pieces' first scores, and expectation steps over the counts of
 all training words turn them into probabilities. Training words are pieces, too: one more way to read such a
 word. There is one set of scores for each of ``KINDS`` kinds of text, and a text's probability is the mixture of
-them. Only the division into kinds is fitted on a bounded sample (``SAMPLE_DOCS`` documents with the smallest hashes of
-their ids, ``SAMPLE_WORDS`` words); every training document is then counted for its likeliest kind.
+them. The division into kinds starts from a bounded sample (``SAMPLE_DOCS`` documents with the smallest hashes of
+their ids); expectation steps over all training documents then settle it, by the ``SAMPLE_WORDS`` commonest words of
+them all. Every training document is counted for its likeliest kind.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 12_000_000
 SAMPLE_WORDS = 3000
 ROUNDS = 2
+#: Expectation steps over all training documents that settle the kinds.
+KIND_STEPS = 5
 #: A word with over 1/HOT_WORDS of all training tokens, or of all tokens, is hot; each makes fewer than HOT_WORDS.
 HOT_WORDS = 50_000
 #: Distinct words that a task counts before it passes them on.
@@ -150,12 +153,10 @@ def _numbered(inner: dict[bytes, int], final: dict[bytes, int]) -> tuple[dict[by
 
 
 class Kinds:
-    """A mixture of multinomials over frequent words, fitted by expectation steps from spread-out documents."""
+    """A mixture of multinomials over the ``kept`` words, started by expectation steps from spread-out documents."""
 
-    def __init__(self, sample: list[bytes], kinds: int, words: int = SAMPLE_WORDS, rounds: int = 25) -> None:
+    def __init__(self, sample: list[bytes], kinds: int, kept: list[bytes], rounds: int = 25) -> None:
         split = [Counter(t.split()) for t in sample]
-        often = Counter(w for c in split for w in c)
-        kept = [w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:words]]
         at = {w: k for k, w in enumerate(kept)}
         x = np.zeros((len(split), len(kept)), np.float32)
         for i, c in enumerate(split):
@@ -165,7 +166,7 @@ class Kinds:
         x = x[x.sum(axis=1) > 0]
         self.at, self.count = at, kinds
         if not len(x):
-            self.logs, self.prior = np.zeros((0, kinds), np.float32), np.zeros(kinds)
+            self.logs, self.prior = np.zeros((len(kept), kinds), np.float32), np.zeros(kinds)
             return
         unit = np.sqrt(x / x.sum(axis=1, keepdims=True))
         far, chosen = np.full(len(x), np.inf), [int(np.argmax(x.sum(axis=1)))]
@@ -176,26 +177,93 @@ class Kinds:
         share = np.zeros((len(x), kinds), np.float32)
         share[np.arange(len(x)), np.argmax(unit @ unit[chosen].T, axis=1)] = 1
         for _ in range(rounds):
-            mass = share.T @ x + 0.01
-            self.logs = np.log(mass / mass.sum(axis=1, keepdims=True)).T.astype(np.float32)
-            self.prior = np.log((share.sum(axis=0) + 1) / (len(x) + kinds))
+            self.settle((share.T @ x).T, share.sum(axis=0))
             score = x @ self.logs + self.prior
             share = np.exp(score - score.max(axis=1, keepdims=True))
             share /= share.sum(axis=1, keepdims=True)
 
+    def settle(self, mass: np.ndarray, docs: np.ndarray) -> None:
+        """Take the kinds from the expected uses of each word (words, kinds) and documents of each kind."""
+        mass = mass + 0.01
+        self.logs = np.log(mass / mass.sum(axis=0)).astype(np.float32)
+        self.prior = np.log((docs + 1) / (docs.sum() + self.count))
+
+    def expect(self, at: np.ndarray, counts: np.ndarray, sizes: np.ndarray, sums: np.ndarray) -> None:
+        """Add to ``sums`` (words and one more, kinds) what documents of ``sizes`` distinct words (at least one) use
+        of each word, and in the last row the documents, by their shares in the kinds."""
+        starts = np.cumsum(sizes) - sizes
+        score = np.add.reduceat(self.logs[at] * counts[:, None], starts, axis=0) + self.prior
+        share = np.exp(score - score.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        sums[-1] += share.sum(axis=0)
+        uses = np.repeat(share, sizes, axis=0) * counts[:, None]
+        for k in range(self.count):
+            sums[:-1, k] += np.bincount(at, uses[:, k], len(sums) - 1)
+
     def of(self, words: list[bytes]) -> int:
         known = [k for w in words if (k := self.at.get(w)) is not None]
         return int(np.argmax(self.prior + self.logs[known].sum(axis=0))) if known else int(np.argmax(self.prior))
 
 
-def fit_kinds(rows: DataFrame, kinds: int) -> Kinds:
+def common_words(train: DataFrame, most: int) -> list[bytes]:
+    """The commonest words of ``train`` (text), counted in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, Counter] = {0: Counter()}
+        for batch in steps(batches):
+            for text in texts(batch.column(0)):
+                counts[0].update(text.split())
+            if len(counts[0]) >= COUNTED:
+                yield from _counted(counts)
+        yield from _counted(counts)
+
+    found = train.mapInArrow(run, "word binary, kind int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r[0]) for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def fit_kinds(rows: DataFrame, kinds: int, turns: int = KIND_STEPS) -> Kinds:
+    """Started from a bounded sample, settled by ``turns`` expectation steps over all training documents."""
+    train = rows.where("NOT held_out AND text IS NOT NULL")
     sample, chars = [], 0
-    for row in rows.where("NOT held_out AND text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE_DOCS).toLocalIterator():
+    for row in train.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE_DOCS).toLocalIterator():
         chars += len(row[0])
         if chars > SAMPLE_CHARS and sample:
             break
         sample.append(row[0].encode().lower())
-    return Kinds(sample, kinds)
+    kept = common_words(train.select("text"), SAMPLE_WORDS)
+    now = Kinds(sample, kinds, kept)
+    number = train.sparkSession.sparkContext.broadcast(now.at)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            out = []
+            for text in texts(batch.column(0)):
+                found = Counter(k for w in text.split() if (k := number.value.get(w)) is not None)
+                if found:
+                    out.append((np.fromiter(found.keys(), np.int32, len(found)).tobytes(), np.fromiter(found.values(), np.int32, len(found)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["at", "counts"])
+
+    docs = materialize(train.select("text").mapInArrow(known, "at binary, counts binary"), "known-words")
+    names = [f"c{k}" for k in range(kinds)]
+    for _ in range(turns):
+        shared = docs.sparkSession.sparkContext.broadcast(now)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(kept) + 1, kinds))
+            for batch in steps(batches):
+                at, counts = (c.to_pylist() for c in batch.columns)
+                if at:
+                    shared.value.expect(np.frombuffer(b"".join(at), np.int32), np.frombuffer(b"".join(counts), np.int32), np.array([len(x) // 4 for x in at]), sums)
+            used = np.flatnonzero(sums.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, k]) for k in range(kinds))], names=["word", *names])
+
+        sums = np.zeros((len(kept) + 1, kinds))
+        for r in docs.mapInArrow(run, "word long, " + ", ".join(f"{c} double" for c in names)).groupBy("word").agg(*(F.sum(c).alias(c) for c in names)).collect():
+            sums[r[0]] = r[1:]
+        if not sums[-1].any():
+            break
+        now.settle(sums[:-1], sums[-1])
+    return now
 
 
 def count_words(docs: DataFrame, kinds: Kinds) -> tuple[DataFrame, list[int]]:

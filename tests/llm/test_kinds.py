@@ -1,0 +1,25 @@
+import numpy as np
+from millrace.llm import lattice
+from pyspark.sql import functions as F
+
+
+def test_kinds_come_from_all_training_documents(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 20, 30))) for i in range(200)]
+    rows += [(1000 + i, " ".join(f"c{x}" for x in rng.integers(0, 20, 30))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    monkeypatch.setattr(lattice, "SAMPLE_DOCS", 8)
+    kinds = lattice.fit_kinds(docs, 2)
+    assert set(kinds.at) == {f"{p}{x}".encode() for p in "abc" for x in range(20)}
+    # 400 documents and one more for each kind
+    shares = np.exp(kinds.prior) * 402 - 1
+    assert abs(shares.sum() - 400) < 1e-6
+    # the sums of another step from where it stopped, by hand
+    split = [t.encode().split() for _, t in rows]
+    x = np.array([[w.count(k) for k in kinds.at] for w in split], float)
+    score = x @ kinds.logs + kinds.prior
+    share = np.exp(score - score.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    assert np.allclose(share.sum(axis=0), shares, atol=1)
+    mass = x.T @ share + 0.01
+    assert np.allclose(np.exp(kinds.logs), mass / mass.sum(axis=0), atol=1e-3)
