@@ -1,4 +1,4 @@
-"""Exact top-k search by BM25 over sharded inverted indexes with block-max WAND pruning.
+"""Exact top-k search by BM25 over sharded inverted indexes with bound-ordered block-max pruning (no WAND pivots).
 
 Documents are dealt into shards of bounded size. A shard keeps its documents in blocks, similar ones together, and for
 each term its postings and the largest impact in each block it occurs in. A query adds up these maxima over its terms:
