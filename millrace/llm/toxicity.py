@@ -203,9 +203,10 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
     for (label, part), n in sizes.items():
         own = known.where((F.col("label") == label) & (F.col("held") == part)).orderBy("rank", "id").limit(n)
         picked = own if picked is None else picked.unionByName(own)
-    # ids can repeat in the documents: the limit holds for them, too
+    # ids can repeat in the documents: one text stands for each, so that none crowds out others
     met = docs.where("text IS NOT NULL").join(F.broadcast(picked.dropDuplicates(["id"])), "id")
-    return met.orderBy("label", "held", "rank", "id").limit(sum(sizes.values())).select("label", "held", "text")
+    once = met.groupBy("label", "held", "rank", "id").agg(F.min("text").alias("text"))
+    return once.orderBy("label", "held", "rank", "id").select("label", "held", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
