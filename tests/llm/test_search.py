@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from millrace.llm import search
 
@@ -22,31 +23,63 @@ def brute(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard_docs", "query_terms"), [(8000, 600_000), (40, 50)])
-def test_top_k_is_exact(spark, shard_docs, query_terms):
+@pytest.mark.parametrize(("shard_docs", "block_terms"), [(8000, 600_000), (40, 400), (9, 600_000)])
+def test_top_k_is_exact(spark, shard_docs, block_terms):
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(120)]
     p = 1 / np.arange(1, 121)
     rows = [(i, " ".join(rng.choice(words, rng.integers(1, 60), p=p / p.sum()))) for i in range(400)]
     rows += [(None, rows[10][1]), (500, None), (600, ""), (700, "only here"), (7, rows[7][1]), (7, rows[7][1]), (900, "W1 " * 30_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as rank", "2 as score").repartition(3)
-    got = sorted(map(tuple, search.judge(docs, every=10, k=5, shard_docs=shard_docs, query_terms=query_terms).collect()))
+    got = sorted(map(tuple, search.judge(docs, every=10, k=5, shard_docs=shard_docs, block_terms=block_terms).collect()))
     expected = brute(rows, 10, 5)
     assert [x[:3] for x in got] == [x[:3] for x in expected]
     assert [x[3] for x in got] == pytest.approx([x[3] for x in expected])
 
 
-def test_pruning_skips_blocks():
+def test_copies_tie_by_id(spark):
+    rows = [(i, "the same text") for i in range(300)] + [(7, "the same text"), (None, "the same text"), (1000, "another the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, search.judge(docs, every=100, k=9, shard_docs=10).collect()))
+    expected = brute(rows, 100, 9)
+    assert [x[:3] for x in got] == [x[:3] for x in expected]
+
+
+def topics(n):
     rng = np.random.default_rng(10)
-    found = [b" ".join(rng.choice([b"x%d" % i for i in range(50 * (j % 8), 50 * (j % 8) + 50)], 40)) for j in range(4000)]
-    shard = search.Shard.build(list(range(4000)), found)
-    shard = search.Shard.load(shard.dump())
+    return [b" ".join(rng.choice([b"x%d" % i for i in range(50 * (j % 8), 50 * (j % 8) + 50)], 40)) for j in range(n)]
+
+
+def test_pruning_skips_blocks():
+    found = topics(4000)
+    made = search.Builder()
+    for i, text in enumerate(found):
+        made.add(i, text)
+    shard = made.shard()
+    shard = search.Shard.load(shard.keys, shard.dump())
     shard.prepare(40)
-    q = search.terms(found[5])[0]
-    docs, scores = shard.search(q, np.ones(len(q)), 10)
-    assert len(docs) >= 10 and 5 in shard.ids[docs]
+    for j in (5, 77):
+        at = np.searchsorted(shard.keys, np.unique([np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64) for w in set(found[j].split())]))
+        shard.scored = 0
+        best = shard.search(at, np.ones(len(at)), [], 10)
+        # a topic's 500 documents fill some 9 of 63 blocks; the others are never scored
+        assert best[0][2] == j and len(best) == 10 and shard.scored <= 10 * search.BLOCK
+        again = shard.search(at, np.ones(len(at)), best, 10)
+        assert sorted(set(again)) == sorted(set(best))
+        # a heap that nothing here can enter lets every block be skipped
+        shard.scored = 0
+        full = [(-1e6, False, x) for x in range(10)]
+        assert shard.search(at, np.ones(len(at)), full, 10) == full and shard.scored == 0
+
+
+def test_long_texts_bound_shards(spark):
+    docs = spark.createDataFrame([(i, "word another " * 50) for i in range(20)], "doc_id long, text string").coalesce(1)
+    assert search.build(docs, shard_words=1000).count() == 2
+    assert search.build(docs.where("doc_id < 0")).count() == 0
 
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert search.judge(docs).collect() == []
+    nothing = spark.createDataFrame([(100, None), (200, " "), (None, "a b")], "doc_id long, text string")
+    assert search.judge(nothing).collect() == []
