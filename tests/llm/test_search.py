@@ -47,7 +47,7 @@ def test_copies_tie_by_id(spark):
 
 def topics(n):
     rng = np.random.default_rng(10)
-    return [b" ".join(rng.choice([b"x%d" % i for i in range(50 * (j % 8), 50 * (j % 8) + 50)], 40)) for j in range(n)]
+    return [b" ".join(rng.choice([b"x%d" % i for i in range(50 * (j % 8), 50 * (j % 8) + 50)], 40)) + b" topic%d" % (j % 8) * 9 for j in range(n)]
 
 
 def test_pruning_skips_blocks():
