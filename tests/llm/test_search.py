@@ -64,8 +64,6 @@ def test_pruning_skips_blocks():
         best = shard.search(at, np.ones(len(at)), [], 10)
         # a topic's 500 documents fill some 9 of 63 blocks; the others are never scored
         assert best[0][2] == j and len(best) == 10 and shard.scored <= 10 * search.BLOCK
-        again = shard.search(at, np.ones(len(at)), best, 10)
-        assert sorted(set(again)) == sorted(set(best))
         # a heap that nothing here can enter lets every block be skipped
         shard.scored = 0
         full = [(-1e6, False, x) for x in range(10)]
