@@ -6,11 +6,10 @@ its words and its end. Words repeat, so each distinct word is solved once, and d
 a join: words frequent enough to skew it are fewer than ``HOT_WORDS``, which bounds their broadcast.
 
 The vocabulary comes with ranks only; they give the pieces' first scores, and expectation steps over the counts of
-all training words turn them into probabilities. Training words are pieces, too: one more way to read such a
-word. There is one set of scores for each of ``KINDS`` kinds of text, and a text's probability is the mixture of
-them. The division into kinds starts from a bounded sample (``SAMPLE_DOCS`` documents with the smallest hashes of
-their ids); expectation steps over all training documents then settle it, by the ``SAMPLE_WORDS`` commonest words of
-them all. Every training document is counted for its likeliest kind.
+all training words turn them into probabilities. A training word is a piece, too: one more arc over the whole word,
+in the same lattice. Its expected uses, less an absolute discount estimated from the words that occur once and twice,
+are its score; what the discount leaves of each word is read by the vocabulary's pieces, so these learn from
+words as kinds rather than by their counts, as words not met before will be.
 """
 
 from __future__ import annotations
@@ -33,32 +32,24 @@ from .store import materialize
 from .tokens import vocabulary
 from .toxicity import held_out
 
-#: Shares that the whole-word piece has by its counts in a text's kind and in all kinds; the rest is the lattice's.
-OWN, ALL = 0.85, 0.05
-KINDS = 6
-SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 12_000_000
-SAMPLE_WORDS = 3000
 ROUNDS = 2
-#: Expectation steps over all training documents that settle the kinds.
-KIND_STEPS = 5
 #: A word with over 1/HOT_WORDS of all training tokens, or of all tokens, is hot; each makes fewer than HOT_WORDS.
-HOT_WORDS = 50_000
+HOT_WORDS = 400_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 300_000
 SUFFIX = "</w>"
 
 
 class Pieces:
-    """Numbers of the pieces that continue a word and of those that end it, and their log-probabilities, a column for
-    each kind; the last row is that of no piece.
+    """Numbers of the pieces that continue a word and of those that end it, and their log-probabilities; the last is
+    that of no piece. ``total`` is the uses of all arcs that the probabilities are shares of.
 
     Words of one length are solved side by side. All recursions are in log space."""
 
-    def __init__(self, inner: dict[bytes, int], final: dict[bytes, int], logs: np.ndarray) -> None:
-        self.inner, self.final = inner, final
+    def __init__(self, inner: dict[bytes, int], final: dict[bytes, int], logs: np.ndarray, total: float = 1.0) -> None:
+        self.inner, self.final, self.total = inner, final, total
         self.none = len(inner) + len(final)
-        self.logs = np.vstack([logs, np.full((1, logs.shape[1]), -np.inf)])
+        self.logs = np.append(logs, -np.inf)
         self.longest = max(map(len, [*inner, *final]), default=1)
 
     def _edges(self, words: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -73,34 +64,37 @@ class Pieces:
                     yield start, end, hit, numbers[hit]
 
     def _forward(self, words: list[bytes], edges: list) -> np.ndarray:
-        front = np.full((len(words[0]) + 1, len(words), self.logs.shape[1]), -np.inf)
+        front = np.full((len(words[0]) + 1, len(words)), -np.inf)
         front[0] = 0
         for start, end, hit, numbers in edges:
             front[end, hit] = np.logaddexp(front[end, hit], front[start, hit] + self.logs[numbers])
         return front
 
-    def log_probs(self, words: list[bytes]) -> np.ndarray:
-        """(words, kinds) log-probabilities, over all cuts."""
-        out = np.full((len(words), self.logs.shape[1]), -np.inf)
+    def log_probs(self, words: list[bytes], whole: np.ndarray) -> np.ndarray:
+        """Log-probability of each word over all cuts; ``whole`` has the logs of the words' own arcs."""
+        out = np.full(len(words), -np.inf)
         for at in _by_length(words):
             same = [words[k] for k in at]
             out[at] = self._forward(same, self._edges(same))[-1]
-        return out
+        return np.logaddexp(out, whole)
 
-    def expect(self, words: list[bytes], counts: np.ndarray, sums: np.ndarray) -> None:
-        """Add to ``sums`` (pieces, columns) the expected uses of each piece in words that occur ``counts`` (words,
-        columns) times, by the first kind's scores."""
+    def expect(self, words: list[bytes], counts: np.ndarray, whole: np.ndarray, discount: float, sums: np.ndarray) -> np.ndarray:
+        """The uses that the words' own arcs keep, in words that occur ``counts`` times; the expected uses of the other
+        pieces, in what is left of the words, are added to ``sums``."""
+        kept = np.zeros(len(words))
         for at in _by_length(words):
             same = [words[k] for k in at]
             edges = list(self._edges(same))
-            front = self._forward(same, edges)[:, :, 0]
+            front = self._forward(same, edges)
+            own = np.exp(whole[at] - np.logaddexp(whole[at], front[-1]))
+            kept[at] = np.maximum(counts[at] * own - discount, 0)
             back = np.full_like(front, -np.inf)
-            back[-1] = np.where(front[-1] > -np.inf, -front[-1], -np.inf)
+            back[-1] = np.log(counts[at] - kept[at]) - front[-1]
             for start, end, hit, numbers in reversed(edges):
-                way = self.logs[numbers, 0] + back[end, hit]
+                way = self.logs[numbers] + back[end, hit]
                 back[start, hit] = np.logaddexp(back[start, hit], way)
-                uses = np.exp(front[start, hit] + way)
-                np.add.at(sums, numbers, uses[:, None] * counts[at[hit]])
+                np.add.at(sums, numbers, np.exp(front[start, hit] + way))
+        return kept
 
 
 def _by_length(words: list[bytes], most: int = 2000) -> Iterator[np.ndarray]:
@@ -145,277 +139,152 @@ def first_pieces(path: str) -> Pieces:
     """Scores by rank alone, as in Zipf's law."""
     inner, final = ranked_pieces(path)
     weight = 1 / (100 + np.array([*inner.values(), *final.values()], float))
-    return Pieces(*_numbered(inner, final), np.log(weight / weight.sum())[:, None])
+    return Pieces(*_numbered(inner, final), np.log(weight / weight.sum()))
 
 
 def _numbered(inner: dict[bytes, int], final: dict[bytes, int]) -> tuple[dict[bytes, int], dict[bytes, int]]:
     return {p: k for k, p in enumerate(inner)}, {p: len(inner) + k for k, p in enumerate(final)}
 
 
-class Kinds:
-    """A mixture of multinomials over the ``kept`` words, started by expectation steps from spread-out documents."""
-
-    def __init__(self, sample: list[bytes], kinds: int, kept: list[bytes], rounds: int = 25) -> None:
-        split = [Counter(t.split()) for t in sample]
-        at = {w: k for k, w in enumerate(kept)}
-        x = np.zeros((len(split), len(kept)), np.float32)
-        for i, c in enumerate(split):
-            for w, n in c.items():
-                if w in at:
-                    x[i, at[w]] = n
-        x = x[x.sum(axis=1) > 0]
-        self.at, self.count = at, kinds
-        if not len(x):
-            self.logs, self.prior = np.zeros((len(kept), kinds), np.float32), np.zeros(kinds)
-            return
-        unit = np.sqrt(x / x.sum(axis=1, keepdims=True))
-        far, chosen = np.full(len(x), np.inf), [int(np.argmax(x.sum(axis=1)))]
-        for _ in range(kinds - 1):
-            far = np.minimum(far, 1 - unit @ unit[chosen[-1]])
-            # middling distances: the farthest texts are the odd ones
-            chosen.append(int(np.argsort(far, kind="stable")[int(0.9 * (len(far) - 1))]))
-        share = np.zeros((len(x), kinds), np.float32)
-        share[np.arange(len(x)), np.argmax(unit @ unit[chosen].T, axis=1)] = 1
-        for _ in range(rounds):
-            self.settle((share.T @ x).T, share.sum(axis=0))
-            score = x @ self.logs + self.prior
-            share = np.exp(score - score.max(axis=1, keepdims=True))
-            share /= share.sum(axis=1, keepdims=True)
-
-    def settle(self, mass: np.ndarray, docs: np.ndarray) -> None:
-        """Take the kinds from the expected uses of each word (words, kinds) and documents of each kind."""
-        mass = mass + 0.01
-        self.logs = np.log(mass / mass.sum(axis=0)).astype(np.float32)
-        self.prior = np.log((docs + 1) / (docs.sum() + self.count))
-
-    def expect(self, at: np.ndarray, counts: np.ndarray, sizes: np.ndarray, sums: np.ndarray) -> None:
-        """Add to ``sums`` (words and one more, kinds) what documents of ``sizes`` distinct words (at least one) use
-        of each word, and in the last row the documents, by their shares in the kinds."""
-        starts = np.cumsum(sizes) - sizes
-        score = np.add.reduceat(self.logs[at] * counts[:, None], starts, axis=0) + self.prior
-        share = np.exp(score - score.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-        sums[-1] += share.sum(axis=0)
-        uses = np.repeat(share, sizes, axis=0) * counts[:, None]
-        for k in range(self.count):
-            sums[:-1, k] += np.bincount(at, uses[:, k], len(sums) - 1)
-
-    def of(self, words: list[bytes]) -> int:
-        known = [k for w in words if (k := self.at.get(w)) is not None]
-        return int(np.argmax(self.prior + self.logs[known].sum(axis=0))) if known else int(np.argmax(self.prior))
-
-
-def common_words(train: DataFrame, most: int) -> list[bytes]:
-    """The commonest words of ``train`` (text), counted in each task first."""
+def count_words(docs: DataFrame) -> tuple[DataFrame, int]:
+    """word (binary), n (occurrences in all documents), c (in training documents) of ``text`` and ``held_out``, spread
+    over the tasks by word; and the number of training documents. Counted in each task first; the table grows with
+    the corpus."""
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {0: Counter()}
-        for batch in steps(batches):
-            for text in texts(batch.column(0)):
-                counts[0].update(text.split())
-            if len(counts[0]) >= COUNTED:
-                yield from _counted(counts)
-        yield from _counted(counts)
-
-    found = train.mapInArrow(run, "word binary, kind int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
-
-
-def fit_kinds(rows: DataFrame, kinds: int, turns: int = KIND_STEPS) -> Kinds:
-    """Started from a bounded sample, settled by ``turns`` expectation steps over all training documents."""
-    train = rows.where("NOT held_out AND text IS NOT NULL")
-    sample, chars = [], 0
-    for row in train.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE_DOCS).toLocalIterator():
-        chars += len(row[0])
-        if chars > SAMPLE_CHARS and sample:
-            break
-        sample.append(row[0].encode().lower())
-    kept = common_words(train.select("text"), SAMPLE_WORDS)
-    now = Kinds(sample, kinds, kept)
-    number = train.sparkSession.sparkContext.broadcast(now.at)
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            out = []
-            for text in texts(batch.column(0)):
-                found = Counter(k for w in text.split() if (k := number.value.get(w)) is not None)
-                if found:
-                    out.append((np.fromiter(found.keys(), np.int32, len(found)).tobytes(), np.fromiter(found.values(), np.int32, len(found)).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["at", "counts"])
-
-    docs = materialize(train.select("text").mapInArrow(known, "at binary, counts binary"), "known-words")
-    names = [f"c{k}" for k in range(kinds)]
-    for _ in range(turns):
-        shared = docs.sparkSession.sparkContext.broadcast(now)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(kept) + 1, kinds))
-            for batch in steps(batches):
-                at, counts = (c.to_pylist() for c in batch.columns)
-                if at:
-                    shared.value.expect(np.frombuffer(b"".join(at), np.int32), np.frombuffer(b"".join(counts), np.int32), np.array([len(x) // 4 for x in at]), sums)
-            used = np.flatnonzero(sums.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, k]) for k in range(kinds))], names=["word", *names])
-
-        sums = np.zeros((len(kept) + 1, kinds))
-        for r in docs.mapInArrow(run, "word long, " + ", ".join(f"{c} double" for c in names)).groupBy("word").agg(*(F.sum(c).alias(c) for c in names)).collect():
-            sums[r[0]] = r[1:]
-        if not sums[-1].any():
-            break
-        now.settle(sums[:-1], sums[-1])
-    return now
-
-
-def count_words(docs: DataFrame, kinds: Kinds) -> tuple[DataFrame, list[int]]:
-    """word (binary), n (occurrences in all documents), c0, c1, ... (in training documents of each kind) of ``text``
-    and ``held_out``; and the training documents of each kind. Counted in each task first; the table grows with the
-    corpus. A document counts as its end, the empty word."""
-    shared = docs.sparkSession.sparkContext.broadcast(kinds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {k: Counter() for k in range(-1, kinds_count)}
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in steps(batches):
             for text, held in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words = text.split()
-                own = counts[-1 if held else shared.value.of(words)]
-                own.update(words)
-                own[b""] += 1
-            if sum(map(len, counts.values())) >= COUNTED:
+                own = counts[held]
+                own.update(text.split())
+                own[b""] += 1  # a document counts as its end, the empty word
+            if sum(map(len, counts)) >= COUNTED:
                 yield from _counted(counts)
         yield from _counted(counts)
 
-    kinds_count = kinds.count
-    found = docs.select("text", "held_out").mapInArrow(run, "word binary, kind int, n long")
-    per_kind = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(kinds.count)]
-    words = materialize(found.groupBy("word").agg(F.sum("n").alias("n"), *per_kind), "words")
-    ends = words.where(F.length("word") == 0).select(*(f"c{k}" for k in range(kinds.count))).first()
-    return words.where(F.length("word") > 0), list(ends or [0] * kinds.count)
+    found = docs.select("text", "held_out").mapInArrow(run, "word binary, n long, c long")
+    words = materialize(found.repartition(spread, "word").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "words")
+    ends = words.where(F.length("word") == 0).select("c").first()
+    return words.where(F.length("word") > 0), ends[0] if ends else 0
 
 
-def _counted(counts: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
-    for kind, found in counts.items():
+def _counted(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+    for held, found in enumerate(counts):
         words = list(found.items())
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([kind] * len(part), pa.int32()), pa.array([n for _, n in part], pa.int64())], names=["word", "kind", "n"])
+            n = pa.array([n for _, n in part], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), n, pa.array([0] * len(part), pa.int64()) if held else n], names=["word", "n", "c"])
         found.clear()
 
 
-def fit(words: DataFrame, path: str, ends: list[int], rounds: int = ROUNDS) -> tuple[Pieces, list[float]]:
-    """Pieces' probabilities and the log-probability of a text's end, for each kind, from the counts of all training
-    words. Expected counts are summed by tasks; a row for each piece of the vocabulary comes to the driver."""
-    now, kinds = first_pieces(path), len(ends)
-    names = [f"c{k}" for k in range(kinds)]
-    trained = words.where(" + ".join(names) + " > 0").select("word", *names)
-    end: list[float] = []
+def _log(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(x)
+
+
+def fit(words: DataFrame, path: str, ends: int, discount: float, rounds: int = ROUNDS) -> tuple[DataFrame, Pieces, float]:
+    """``words`` (word, n, c) with ``kept``, the uses of each word's own arc; the pieces with their probabilities; and the
+    log-probability of a text's end. Each step writes the words with what they keep, and beside them its tasks' sums
+    of the pieces' uses; a row for each piece of the vocabulary comes to the driver."""
+    now, end = first_pieces(path), 0.0
+    state = words.withColumn("kept", F.greatest(F.col("c") - F.lit(discount), F.lit(0.0)))
+    total = state.agg(F.sum("kept"), F.sum("c")).first()
+    now.total = max(float(total[1] or 0) + ends, 1.0)
+    names = ["word", "n", "c", "kept", "piece", "uses"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
     for turn in range(rounds):
         shared = words.sparkSession.sparkContext.broadcast(now)
-        width = 1 if turn < rounds - 1 else kinds  # the last step divides the counts by kind
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
-            pieces = shared.value
-            sums = np.zeros((pieces.none, width))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            pieces: Pieces = shared.value
+            sums = np.zeros(pieces.none + 1)
             for batch in batches:
-                counts = np.column_stack([c.to_numpy() for c in batch.columns[1:]]).astype(float)
-                pieces.expect(batch.column(0).to_pylist(), counts if width > 1 else counts.sum(axis=1, keepdims=True), sums)
-            used = np.flatnonzero(sums.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, k] if k < width else np.zeros(len(used))) for k in range(kinds))], names=["piece", *names])
-
-        spread = trained.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
-        rows = spread.mapInArrow(run, "piece long, " + ", ".join(f"{c} double" for c in names)).groupBy("piece").agg(*(F.sum(c).alias(c) for c in names)).collect()
-        sums = np.zeros((now.none, width))
-        for r in rows:
-            sums[r[0]] = r[1 : 1 + width]
-        stops = np.array([sum(ends)] if width == 1 else ends, float)
-        totals = sums.sum(axis=0) + stops + 0.01 * (1 + now.none)
-        now = Pieces(now.inner, now.final, np.log((sums + 0.01) / totals))
-        end = np.log((stops + 0.01) / totals).tolist()
-    return now, end
-
-
-def mixed(lattice: np.ndarray, own: np.ndarray, own_total: np.ndarray, count: np.ndarray, total: int) -> np.ndarray:
-    """log10 of the lattice with the whole-word piece as one more way, by its counts in the kind and in all kinds."""
-    with np.errstate(divide="ignore"):
-        whole = np.logaddexp(np.log(OWN * own / np.maximum(own_total, 1)), np.log(ALL * count / max(total, 1)))
-    return np.logaddexp(lattice + math.log(1 - OWN - ALL), whole) / math.log(10)
-
-
-def solve(words: DataFrame, pieces: Pieces, totals: list[int]) -> DataFrame:
-    """word, n, c, lp0, lp1, ...: log10 of each word's probability in each kind."""
-    shared, kinds, tokens = words.sparkSession.sparkContext.broadcast(pieces), len(totals), sum(totals)
+                word, n, c, kept = batch.columns
+                counts, new = c.to_numpy().astype(float), kept.to_numpy().copy()
+                seen = np.flatnonzero(counts)
+                if len(seen):
+                    new[seen] = pieces.expect(word.take(pa.array(seen)).to_pylist(), counts[seen], _log(new[seen] / pieces.total), discount, sums)
+                yield pa.RecordBatch.from_arrays([word, n, c, pa.array(new), *(pa.nulls(len(new), t) for t in kinds[4:])], names=names)
+            used = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(used), t) for t in kinds[:4]), pa.array(used), pa.array(sums[used])], names=names)
+
+        done = materialize(state.mapInArrow(run, "word binary, n long, c long, kept double, piece long, uses double"), f"lattice-{turn}")
+        state, sums = done.where("word IS NOT NULL").select(*names[:4]), np.zeros(now.none)
+        for r in done.where("piece IS NOT NULL").groupBy("piece").agg(F.sum("uses")).collect():
+            sums[r[0]] = r[1]
+        kept = state.agg(F.sum("kept")).first()[0] or 0.0
+        total = kept + sums.sum() + ends + 0.01 * (1 + now.none)
+        now, end = Pieces(now.inner, now.final, np.log((sums + 0.01) / total), total), math.log((ends + 0.01) / total)
+    return state, now, end
+
+
+def solve(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """word, n, c, lp: log10 of each word's probability. The words are spread over the tasks already."""
+    shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.column_stack([c.to_numpy() for c in batch.columns[2:]]).astype(float)
-            c = own.sum(axis=1)
-            lattice = shared.value.log_probs(batch.column(0).to_pylist()) if len(own) else np.zeros(own.shape)
-            lps = mixed(lattice, own, np.array(totals, float), c[:, None], tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c.astype(np.int64)), *(pa.array(lps[:, k]) for k in range(kinds))], names=["word", "n", "c", *(f"lp{k}" for k in range(kinds))])
+            lps = shared.value.log_probs(batch.column(0).to_pylist(), _log(batch.column(3).to_numpy() / shared.value.total)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lps)], names=["word", "n", "c", "lp"])
 
-    # distinct words cost more to solve than to read: spread them over all tasks
-    spread = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
-    return spread.mapInArrow(run, "word binary, n long, c long, " + ", ".join(f"lp{k} double" for k in range(kinds)))
+    return words.mapInArrow(run, "word binary, n long, c long, lp double")
 
 
-def _rows(hot: dict[bytes, tuple], kinds: int):
-    """Rows of (uid, doc_id, held_out, word, times, total, known, base, lp0, ...): a document's first row holds the
-    sums over its hot words and a word of its own that joins nothing; then come its other words. ``uid`` numbers the
-    documents of a partition."""
+def _documents(hot):
+    """Rows of (uid, doc_id, held_out, total, known, base, lp, words): a document's words, the sums over its hot words,
+    and its other words, each once with its times. ``uid`` numbers the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid, zeros = TaskContext.get().partitionId() << 40, (0.0,) * (kinds + 1)
+        uid, known = TaskContext.get().partitionId() << 40, hot.value
         for batch in steps(batches, 200):
-            out = []
-            for key, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
+            uids, totals, sums, word, times, ends = [], [], [], [], [], [0]
+            for text in texts(batch.column(2)):
                 uid += 1
+                uids.append(uid)
                 counts = Counter(text.split())
-                rare, met = [], []
-                for word, times in counts.items():
-                    if (h := hot.get(word)) is None:
-                        rare.append((uid, None, None, word, times, 0, 0, *zeros))
-                    else:
-                        met.append((times, *h))
-                sums = np.array([x[2:] for x in met]).T @ np.array([x[0] for x in met], float) if met else zeros
-                out.append((uid, key, held, b" %d" % uid, 0, sum(counts.values()), sum(x[0] for x in met if x[1]), *map(float, sums)))
-                out += rare
-            kinds_of = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), *(pa.float64(),) * (kinds + 1))
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds_of)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True)], names=["uid", "doc_id", "held_out", "word", "times", "total", "known", "base", *(f"lp{k}" for k in range(kinds))])
+                met = [(w, h) for w in counts if (h := known.get(w)) is not None]
+                n = np.array([counts.pop(w) for w, _ in met], float)
+                sums.append(n @ np.array([h for _, h in met], float) if met else (0.0, 0.0, 0.0))
+                totals.append(int(n.sum()) + counts.total())
+                word += counts
+                times += counts.values()
+                ends.append(len(word))
+            sums = np.array(sums, float).reshape(-1, 3)
+            inner = pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
+            columns = [pa.array(uids, pa.int64()), *batch.columns[:2], pa.array(totals, pa.int64()), *(pa.array(x) for x in (sums[:, 0].astype(np.int64), sums[:, 1], sums[:, 2])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)]
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "held_out", "total", "known", "base", "lp", "words"])
 
     return run
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, kinds: int = KINDS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32 of the id as text, modulo 5, is not 1, and from those without an id. Null texts
-    are empty: their end alone. Repeated rows are scored one by one; without training rows every count is 0."""
+    are empty: their end alone. Repeated rows are scored one by one; without training rows every count is 0, and the
+    pieces keep the scores that their ranks give."""
     path = path or vocabulary()
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out("doc_id", 5, 1) & F.col("doc_id").isNotNull())
-    words, ends = count_words(rows, fit_kinds(rows, kinds))
-    cs = [f"c{k}" for k in range(kinds)]
-    sums = words.agg(F.sum("n"), F.count(F.when(F.expr(" + ".join(cs)) > 0, 1)), *(F.sum(c) for c in cs)).first()
-    totals = [(c or 0) + e for c, e in zip(sums[2:], ends, strict=True)]
-    stops, tokens, distinct, everything = sum(ends), sum(totals), sums[1] + (1 if sum(ends) else 0), sums[0] or 0
+    words, ends = count_words(rows)
+    once, twice = (F.count(F.when(F.col("c") == k, 1)) for k in (1, 2))
+    everything, trained, distinct, n1, n2 = (x or 0 for x in words.agg(F.sum("n"), F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), once, twice).first())
+    tokens, distinct = trained + ends, distinct + (1 if ends else 0)
     floor = tokens + 0.5 * (distinct + 1)
-    pieces, end = fit(words, path, ends)
-    stop = mixed(np.array(end), np.array(ends, float), np.array(totals, float), np.array(float(stops)), tokens).tolist()
-    scored = materialize(solve(words, pieces, totals), "word-scores")
-    lps = [f"lp{k}" for k in range(kinds)]
+    words, pieces, end = fit(words, path, ends, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, ROUNDS if tokens else 0)
+    scored = materialize(solve(words, pieces), "word-scores")
     base = F.log10((F.col("c") + 0.5) / F.lit(floor))
     is_hot = (F.col("n") > everything / HOT_WORDS) | (F.col("c") > tokens / HOT_WORDS)
-    hot = {bytes(r[0]): tuple(r[1:]) for r in scored.where(is_hot).select("word", F.col("c") > 0, base, *lps).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = "uid long, doc_id long, held_out boolean, word binary, times long, total long, known long, base double, " + ", ".join(f"{x} double" for x in lps)
-    found = rows.select("doc_id", "held_out", "text").mapInArrow(lambda batches: _rows(shared.value, kinds)(batches), schema)
-    cold = scored.where(~is_hot).select("word", (F.col("c") > 0).cast("long").alias("w_known"), base.alias("w_base"), *(F.col(x).alias(f"w_{x}") for x in lps))
+    hot = {bytes(r[0]): tuple(r[1:]) for r in scored.where(is_hot).select("word", (F.col("c") > 0).cast("int"), base, "lp").collect()}
+    schema = "uid long, doc_id long, held_out boolean, total long, known long, base double, lp double, words array<struct<word: binary, times: long>>"
+    found = materialize(rows.select("doc_id", "held_out", "text").mapInArrow(_documents(docs.sparkSession.sparkContext.broadcast(hot)), schema), "documents")
+    cold = scored.where(~is_hot).select("word", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"), "lp")
+    met = found.select("uid", F.explode("words").alias("x")).select("uid", "x.word", "x.times").join(cold, "word")
+    rest = met.groupBy("uid").agg(*(F.sum(F.col(c) * F.col("times")).alias(f"cold_{c}") for c in ("known", "base", "lp")))
 
     def whole(part: str):
-        return F.sum(F.col(part) + F.col("times") * F.coalesce(F.col(f"w_{part}"), F.lit(0))).alias(part)
-
-    sums = found.join(cold, "word", "left").groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("total").alias("n"), *map(whole, ["known", "base", *lps]))
-    # the mixture: log of the sum over kinds of their share times the text's probability
-    ways = F.array(*(F.col(x) + F.lit(stop[k] + math.log10((ends[k] + 1) / (stops + kinds))) for k, x in enumerate(lps)))
-    top = F.array_max(ways)
-    score = top + F.log10(F.aggregate(ways, F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(10.0), x - top)))
-    return sums.select("doc_id", "held_out", (F.col("n") + 1).alias("n_tokens"), (F.col("known") + (1 if stops else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + math.log10((stops + 0.5) / floor)).alias("base_score"), score.alias("score"))
+        return F.col(part) + F.coalesce(f"cold_{part}", F.lit(0))
+
+    sums = found.drop("words").join(rest, "uid", "left")
+    return sums.select("doc_id", "held_out", (F.col("total") + 1).alias("n_tokens"), (whole("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (whole("base") + math.log10((ends + 0.5) / floor)).alias("base_score"), (whole("lp") + (end / math.log(10) if ends else math.log10(0.5 / floor))).alias("score"))

@@ -1,3 +1,4 @@
+import json
 import math
 import zlib
 from collections import Counter
@@ -22,20 +23,22 @@ def cuts(word, inner, final):
 def test_forward_and_expected_uses_match_enumeration():
     inner = {b"a": 0.1, b"b": 0.05, b"ab": 0.2, b"ba": 0.1, b"aba": 0.02}
     final = {b"a": 0.1, b"b": 0.1, b"ab": 0.05, b"bab": 0.03}
-    scores = np.log([*inner.values(), *final.values()])
-    pieces = lattice.Pieces(*lattice._numbered(inner, final), np.column_stack([scores, scores - 1]))
-    words = [b"a", b"ab", b"abab", b"xyz", b"ba", b"babab", b"aababab", b"bab"]
-    expected, logs = np.zeros((pieces.none, 1)), []
-    for k, word in enumerate(words):
+    pieces = lattice.Pieces(*lattice._numbered(inner, final), np.log([*inner.values(), *final.values()]))
+    words = [b"a", b"ab", b"abab", b"ba", b"babab", b"aababab", b"bab"]
+    own = np.array([0.3, 0.0, 0.01, 0.2, 0.001, 0.0, 0.5])
+    counts, discount = np.arange(1.0, len(words) + 1), 0.6
+    expected, logs, keeps = np.zeros(pieces.none), [], []
+    for word, p, c in zip(words, own, counts, strict=True):
         ways = list(cuts(word, inner, final))
-        total = sum(p for _, p in ways)
-        logs.append([math.log(total) if total else -math.inf, math.log(sum(p * math.exp(-len(way)) for way, p in ways)) if total else -math.inf])
-        for way, p in ways:
+        total = sum(q for _, q in ways)
+        logs.append(math.log(total + p))
+        keeps.append(max(c * p / (total + p) - discount, 0))
+        for way, q in ways:
             for piece, last in way:
-                expected[(pieces.final if last else pieces.inner)[piece]] += (k + 1) * p / total
-    assert pieces.log_probs(words).ravel().tolist() == pytest.approx(np.array(logs).ravel().tolist())
-    got = np.zeros((pieces.none, 1))
-    pieces.expect(words, np.arange(1.0, len(words) + 1)[:, None], got)
+                expected[(pieces.final if last else pieces.inner)[piece]] += (c - keeps[-1]) * q / total
+    assert pieces.log_probs([*words, b"xyz"], lattice._log(np.append(own, 0))).tolist() == pytest.approx([*logs, -math.inf])
+    got = np.zeros(pieces.none)
+    assert pieces.expect(words, counts, lattice._log(own), discount, got) == pytest.approx(keeps)
     assert got == pytest.approx(expected)
 
 
@@ -43,7 +46,7 @@ def test_vocabulary_reads_every_word():
     inner, final = lattice.ranked_pieces(vocabulary())
     assert len(inner) + len(final) >= 49_000 and b"the" in final
     pieces = lattice.first_pieces(vocabulary())
-    assert (pieces.log_probs([w.encode() for w in ("the", "żółw", "中文", "a" * 3000, "\x00é")] + [b"\xff\xc0"]) > -math.inf).all()
+    assert (pieces.log_probs([w.encode() for w in ("the", "żółw", "中文", "a" * 3000, "\x00é")] + [b"\xff\xc0"], np.full(6, -np.inf)) > -math.inf).all()
 
 
 def test_judge(spark):
@@ -60,11 +63,46 @@ def test_judge(spark):
     assert all(-math.inf < r.score < 0 for r in got)
 
 
+def test_score_matches_brute_force(spark, tmp_path):
+    """All steps over again with dictionaries and enumerated cuts."""
+    vocab = ["a", "b", "ab", "ba", "a</w>", "b</w>", "ab</w>", "aba</w>"]
+    (path := tmp_path / "v.json").write_text(json.dumps({"model": {"vocab": {x: k for k, x in enumerate(vocab)}}}))
+    rows = [(i, ["ab ab a", "aba b", "abba ba", "b", "", "babab ab"][i % 6]) for i in range(40)] + [(41, "c abc"), (46, None), (None, "a aab")]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    words = lambda t: (t or "").encode().split()
+    c = Counter(w for (_, t), h in zip(rows, held, strict=True) if not h for w in words(t))
+    ends = held.count(False)
+    n1, n2 = (sum(n == k for n in c.values()) for k in (1, 2))
+    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    inner, final = lattice.ranked_pieces(str(path))
+    weight = {(p, last): 1 / (100 + r) for last, part in ((False, inner), (True, final)) for p, r in part.items()}
+    prob = {p: x / sum(weight.values()) for p, x in weight.items()}
+    kept, total = {w: max(n - discount, 0) for w, n in c.items()}, sum(c.values()) + ends
+    split = lambda: ({p: prob[p, False] for p in inner}, {p: prob[p, True] for p in final})
+    for _ in range(lattice.ROUNDS):
+        uses = Counter()
+        for w, n in c.items():
+            ways = list(cuts(w, *split()))
+            rest, own = sum(q for _, q in ways), kept[w] / total
+            kept[w] = max(n * own / (own + rest) - discount, 0)
+            for way, q in ways:
+                for piece in way:
+                    uses[piece] += (n - kept[w]) * q / rest
+        total = sum(kept.values()) + sum(uses.values()) + ends + 0.01 * (1 + len(prob))
+        prob, end = {p: (uses[p] + 0.01) / total for p in prob}, (ends + 0.01) / total
+    score = lambda t: math.log10(end) + sum(math.log10(sum(q for _, q in cuts(w, *split())) + kept.get(w, 0) / total) for w in words(t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.score) for r in lattice.judge(docs, path=str(path)).collect())
+    expected = sorted((str(i), score(t)) for i, t in rows)
+    assert [x for x, _ in got] == [x for x, _ in expected]
+    assert [x for _, x in got] == pytest.approx([x for _, x in expected])
+
+
 def test_hot_and_cold_words_agree(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"the cat w{i % 7} v{i % 3}") for i in range(60)], "doc_id long, text string")
-    a = sorted(map(tuple, lattice.judge(docs, kinds=2).collect()))
+    a = sorted(map(tuple, lattice.judge(docs).collect()))
     monkeypatch.setattr(lattice, "HOT_WORDS", 1)  # no word is hot
-    b = sorted(map(tuple, lattice.judge(docs, kinds=2).collect()))
+    b = sorted(map(tuple, lattice.judge(docs).collect()))
     assert [x[:5] for x in a] == [x[:5] for x in b]
     assert [x[5:] for x in a] == [pytest.approx(x[5:]) for x in b]
 
