@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -53,6 +54,42 @@ def test_held_out_accuracy_and_edges(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_predictions_match_brute_force():
+    rng = np.random.default_rng(11)
+    samples = {"aa": [make(rng, ["ta", "ri", "nö"], 150)], "bb": [make(rng, ["sch", "ung", "ei"], 40)], "cc": [make(rng, ["مر", "حب", "ا"], 90)], "dd": ["漢字仮名 交文" * 30]}
+    model = language.Model(samples)
+    found = [make(rng, ["ta", "sch", "مر", "漢"], n) for n in (1, 3, 40, 400)] + [make(rng, ["ta", "ri", "nö"], 900), "漢字", "ŧŧŧ", "Ta, RI! nö"] + [make(rng, ["ung", "ei", "nö"], int(rng.integers(1, 300))) for _ in range(30)]
+    totals, letters = model.phrases(found)
+    names, scores = model.predict(found)
+    for k, text in enumerate(found):
+        symbols = [chr(x + 48) for x in model.symbol[np.frombuffer(" ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode() + b" " * (not text[-1].isalpha()), np.uint8)]]
+        costs = []
+        for j, learnt in enumerate(model.learnt):
+            assert totals[j, k] == (c := phrases(symbols, [chr(x + 48) for x in learnt]))
+            costs.append(c * math.log2(len(learnt) + 2))
+        order = sorted(range(4), key=lambda j: costs[j])
+        assert names[k] == model.names[order[0]] and math.isclose(scores[k], costs[order[1]] / (costs[order[0]] + costs[order[1]]))
+        assert letters[k] == sum(map(str.isalpha, text))
+
+
+def test_scripts_are_told_apart_letter_by_letter():
+    rng = np.random.default_rng(12)
+    hans = ["".join(map(chr, rng.integers(0x4E00, 0x5200, 400))) for _ in range(2)]
+    model = language.Model({"x": [hans[0]], "y": [hans[1]]})
+    assert model.predict([hans[0][50:90], hans[1][200:230]])[0] == ["x", "y"]
+
+
+def test_long_documents_are_learnt_beyond_their_beginnings(spark):
+    rows = [(i, "kopf " * 4000 + ("innen " if lang == "aa" else "außen ") * 4000, lang) for i in range(60) for lang in [["aa", "bb"][i % 2]]]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict(["innen innen", "außen außen"])[0] == ["aa", "bb"]
+
+
+def test_malformed_text(spark):
+    docs = spark.createDataFrame([(i, "ta ri no") for i in range(9)], "doc_id long, text string").selectExpr("doc_id", "'aa' lang", "CASE WHEN doc_id = 8 THEN cast(X'746120ff' AS string) ELSE text END text")
+    assert {r.lang_pred for r in language.judge(docs).collect()} == {"aa"}
+
+
 def test_nothing_labelled_and_no_rows(spark):
     frame = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language.judge(frame).collect()] == ["und"]
