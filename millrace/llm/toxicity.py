@@ -3,11 +3,12 @@
 Two models, one of toxic and one of ordinary text, give each word a likelihood, letter by letter after the five
 letters before it in the word. Both discount their own counts and back off to one shared Kneser-Ney model of the
 lower orders, so an expression rare in either class costs both the same, and the difference of their
-log-likelihoods comes only from what a class has seen. Toxic text being mostly ordinary words, a toxic word's
-likelihood is a mixture of both models. The difference per distinct word, calibrated on labelled documents that the
-models were not trained on, is the score.
+log-likelihoods comes only from what a class has seen. Toxic text being mostly ordinary words, a word of toxic text
+has a mixture of both models as its likelihood. A text's two log-likelihoods are sums over all its words, repeats
+included; their difference by the number of words, calibrated on labelled documents that the models were not trained
+on, is the score. An expression is a word: letters before the word do not count.
 
-A model is fitted on at most ``SAMPLE_DOCS`` documents of a class and ``SAMPLE_CHARS`` characters, those with the
+A model is fitted on at most ``SAMPLE_DOCS`` documents of a class and ``SAMPLE_CHARS`` bytes, those with the
 smallest hash of their id; scoring reads every text whole.
 """
 
@@ -42,6 +43,15 @@ def held_out(id_col: str, parts: int, part: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(parts)) == part
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text in UTF-8, in training and in scoring."""
+    return text.split()
+
+
+def letters_of(word: bytes) -> str:
+    return word.decode("utf-8", "replace").lower()
+
+
 class Windows:
     """The n-grams of words: for each letter and each word's end, hashes of the 0 to 5 letters before it."""
 
@@ -175,15 +185,15 @@ class Scorer(dict):
         self.model = model
 
     def means(self, found: Iterable[bytes]) -> np.ndarray:
-        """Mean ratio per distinct word of each text; 0 for texts without words."""
-        split = [set(t.split()) for t in found]
+        """Mean ratio per word of each text; 0 for texts without words."""
+        split = [words_of(t) for t in found]
         new = list({w for ws in split for w in ws} - self.keys())
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = list({w for ws in split for w in ws})
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            self.update(zip(part, self.model.words([w.decode().lower() for w in part]).tolist(), strict=True))
+            self.update(zip(part, self.model.words([letters_of(w) for w in part]).tolist(), strict=True))
         get = self.__getitem__
         return np.array([sum(map(get, ws)) / len(ws) if ws else 0.0 for ws in split])
 
@@ -206,7 +216,8 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
     # ids can repeat in the documents: one text stands for each, so that none crowds out others
     met = docs.where("text IS NOT NULL").join(F.broadcast(picked.dropDuplicates(["id"])), "id")
     once = met.groupBy("label", "held", "rank", "id").agg(F.min("text").alias("text"))
-    return once.orderBy("label", "held", "rank", "id").select("label", "held", "text")
+    # as bytes: malformed UTF-8 passes
+    return once.orderBy("label", "held", "rank", "id").select("label", "held", F.col("text").cast("binary").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
@@ -215,18 +226,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts, chars, held = (Counter(), Counter()), Counter(), []
-    for label, apart, text in _sample(rows, known, sample_docs).toLocalIterator():
+    for label, apart, raw in _sample(rows, known, sample_docs).toLocalIterator():
+        text = bytes(raw).lower()
         chars[label, apart] += len(text)
         if chars[label, apart] > (sample_chars // 4 if apart else sample_chars) and chars[label, apart] > len(text):
             continue
         if apart:
             held.append((text, label))
         else:
-            counts[label].update(set(text.lower().split()))
+            counts[label].update(map(letters_of, words_of(text)))
     model = Model(counts[1], counts[0])
     del counts
     scorer = Scorer(model)
-    means = [scorer.means([text.lower().encode()])[0] for text, _ in held]
+    means = [scorer.means([text])[0] for text, _ in held]
     model.calibrate(np.array(means), np.array([label for _, label in held]))
     return model
 

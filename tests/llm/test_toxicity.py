@@ -101,3 +101,32 @@ def test_model_matches_brute_force():
     for word in [*toxic, *ordinary]:
         assert model.words([word])[0] == pytest.approx(brute(toxic, ordinary, word), abs=1e-5)
     assert model.words(["zzz"])[0] < 1
+
+
+def test_scores_of_texts_match_brute_force():
+    toxic, ordinary = Counter({"abcdefg": 5, "abd": 2, "ba": 1}), Counter({"abcdef": 2, "ab": 7, "bad": 1})
+    model = toxicity.Model(toxic, ordinary)
+    model.slope, model.offset = 2.5, -0.5
+    found = ["abd ab ab", "", "ba abcdefg abcdefg bad", "ABD ab"]
+    expected = []
+    for text in found:
+        words = text.lower().split()
+        mean = sum(brute(toxic, ordinary, w) for w in words) / max(1, len(words))
+        expected.append(1 / (1 + np.exp(0.5 - 2.5 * mean)))
+    assert toxicity.Scorer(model).scores(t.lower().encode() for t in found) == pytest.approx(expected, abs=1e-4)
+
+
+def test_training_and_scoring_see_the_same_words(spark):
+    # other white space than ASCII's parts no words; malformed UTF-8 is a letter like any other
+    odd = "grok\x85fool\u00a0x"
+    docs = spark.createDataFrame([(i, odd if i % 2 else f"calm w{i}") for i in range(1, 80)], "doc_id long, text string")
+    docs = docs.unionByName(spark.sql("SELECT 900L doc_id, cast(X'67726f6bff20ff' AS string) text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 80)] + [(900, 0)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.judge(docs, labels).collect()}
+    assert got[5].predicted == 1 and got[6].predicted == 0 and len(got) == 80
+    assert toxicity.words_of(odd.encode()) == [odd.encode()]
+
+
+def test_reject_of_no_rows(spark):
+    frame = spark.createDataFrame([], "doc_id long, text string, score int")
+    assert toxicity.reject(frame, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).collect() == []
