@@ -36,15 +36,42 @@ ROUNDS = 2
 #: A word with over 1/HOT_WORDS of all training tokens, or of all tokens, is hot; each makes fewer than HOT_WORDS.
 HOT_WORDS = 400_000
 #: Distinct words that a task counts before it passes them on.
-COUNTED = 300_000
+COUNTED = 500_000
 SUFFIX = "</w>"
+#: So few words of one length look their pieces up one by one.
+FEW = 24
+#: Words that are solved together.
+TOGETHER = 60_000
+_STEP, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _hash(letters: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of rows of letters, going on from those of what stands before them."""
+    out = np.zeros(len(letters), np.uint64) if hashes is None else hashes
+    for k in range(letters.shape[1]):
+        out = (out + letters[:, k] + np.uint64(1)) * _STEP
+        out = out ^ out >> np.uint64(32)
+    return out
+
+
+def together(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` or more, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 class Pieces:
     """Numbers of the pieces that continue a word and of those that end it, and their log-probabilities; the last is
     that of no piece. ``total`` is the uses of all arcs that the probabilities are shares of.
 
-    Words of one length are solved side by side. All recursions are in log space."""
+    Words of one length are solved side by side, and many find their pieces by 64-bit hashes of their substrings.
+    All recursions are in log space."""
 
     def __init__(self, inner: dict[bytes, int], final: dict[bytes, int], logs: np.ndarray, total: float = 1.0) -> None:
         self.inner, self.final, self.total = inner, final, total
@@ -52,13 +79,56 @@ class Pieces:
         self.logs = np.append(logs, -np.inf)
         self.longest = max(map(len, [*inner, *final]), default=1)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "slots"}  # each worker makes its own
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Open addressing from the pieces' hashes to their numbers."""
+        if not hasattr(self, "slots"):
+            pieces = [*self.inner, *self.final]
+            hashes = np.zeros(len(pieces), np.uint64)
+            for same in _by_length(pieces):
+                hashes[same] = _hash(np.frombuffer(b"".join([pieces[k] for k in same]), np.uint8).reshape(len(same), -1))
+            hashes[len(self.inner) :] *= FINAL
+            size = 1 << (4 * len(pieces)).bit_length()
+            keys, numbers, left = np.zeros(size, np.uint64), np.full(size, self.none, np.int32), np.arange(len(pieces))
+            at = (hashes >> np.uint64(30)) & np.uint64(size - 1)
+            while len(left):
+                free = left[keys[at[left]] == 0]
+                keys[at[free]], numbers[at[free]] = hashes[free], free  # of several for one slot the last stays
+                left = left[keys[at[left]] != hashes[left]]
+                at[left] = (at[left] + np.uint64(1)) & np.uint64(size - 1)
+            self.slots = keys, numbers
+        return self.slots
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, or of no piece."""
+        keys, numbers = self._table()
+        mask = np.uint64(len(keys) - 1)
+        at = (hashes >> np.uint64(30)) & mask
+        met = keys[at]
+        out = np.where(met == hashes, numbers[at], self.none)
+        left = np.flatnonzero((met != hashes) & (met != 0))
+        while len(left):
+            at[left] = (at[left] + np.uint64(1)) & mask
+            met = keys[at[left]]
+            out[left] = np.where(met == hashes[left], numbers[at[left]], self.none)
+            left = left[(met != hashes[left]) & (met != 0)]
+        return out
+
     def _edges(self, words: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, words that have a piece there, its number), by start, of words of one length."""
         n, none = len(words[0]), self.none
+        letters = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n) if len(words) > FEW else None
         for start in range(n):
+            hashes = np.zeros(len(words), np.uint64)
             for end in range(start + 1, min(n, start + self.longest) + 1):
-                get = self.final.get if end == n else self.inner.get
-                numbers = np.array([get(w[start:end], none) for w in words])
+                if letters is None:
+                    get = self.final.get if end == n else self.inner.get
+                    numbers = np.array([get(w[start:end], none) for w in words])
+                else:
+                    hashes = _hash(letters[:, end - 1 : end], hashes)
+                    numbers = self._find(hashes * FINAL if end == n else hashes)
                 hit = np.flatnonzero(numbers != none)
                 if len(hit):
                     yield start, end, hit, numbers[hit]
@@ -97,7 +167,7 @@ class Pieces:
         return kept
 
 
-def _by_length(words: list[bytes], most: int = 2000) -> Iterator[np.ndarray]:
+def _by_length(words: list[bytes], most: int = 4000) -> Iterator[np.ndarray]:
     """Places of the words of each length, ``most`` at once and fewer of very long ones."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
@@ -153,15 +223,16 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, int]:
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        trained, others = Counter(), Counter()
         for batch in steps(batches):
             for text, held in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                own = counts[held]
+                own = others if held else trained
                 own.update(text.split())
                 own[b""] += 1  # a document counts as its end, the empty word
-            if sum(map(len, counts)) >= COUNTED:
-                yield from _counted(counts)
-        yield from _counted(counts)
+            if len(trained) + len(others) >= COUNTED:
+                yield from _counted(trained, others)
+                trained, others = Counter(), Counter()
+        yield from _counted(trained, others)
 
     found = docs.select("text", "held_out").mapInArrow(run, "word binary, n long, c long")
     words = materialize(found.repartition(spread, "word").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "words")
@@ -169,14 +240,13 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, int]:
     return words.where(F.length("word") > 0), ends[0] if ends else 0
 
 
-def _counted(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
-    for held, found in enumerate(counts):
-        words = list(found.items())
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            n = pa.array([n for _, n in part], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), n, pa.array([0] * len(part), pa.int64()) if held else n], names=["word", "n", "c"])
-        found.clear()
+def _counted(trained: Counter, others: Counter) -> Iterator[pa.RecordBatch]:
+    words = list(trained | others)
+    for i in range(0, len(words), 20_000):
+        part = words[i : i + 20_000]
+        c = np.fromiter((trained[w] for w in part), np.int64, len(part))
+        n = c + np.fromiter((others[w] for w in part), np.int64, len(part))
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(n), pa.array(c)], names=["word", "n", "c"])
 
 
 def _log(x: np.ndarray) -> np.ndarray:
@@ -200,7 +270,7 @@ def fit(words: DataFrame, path: str, ends: int, discount: float, rounds: int = R
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             pieces: Pieces = shared.value
             sums = np.zeros(pieces.none + 1)
-            for batch in batches:
+            for batch in together(batches):
                 word, n, c, kept = batch.columns
                 counts, new = c.to_numpy().astype(float), kept.to_numpy().copy()
                 seen = np.flatnonzero(counts)
@@ -225,7 +295,7 @@ def solve(words: DataFrame, pieces: Pieces) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in together(batches):
             lps = shared.value.log_probs(batch.column(0).to_pylist(), _log(batch.column(3).to_numpy() / shared.value.total)) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lps)], names=["word", "n", "c", "lp"])
 

@@ -49,6 +49,16 @@ def test_vocabulary_reads_every_word():
     assert (pieces.log_probs([w.encode() for w in ("the", "żółw", "中文", "a" * 3000, "\x00é")] + [b"\xff\xc0"], np.full(6, -np.inf)) > -math.inf).all()
 
 
+def test_many_words_find_the_same_pieces_as_few(monkeypatch):
+    rng = np.random.default_rng(4)
+    pieces = lattice.first_pieces(vocabulary())
+    words = list({"".join(rng.choice(["the", "ung", "é", "qu", "a", "中", "ing"], rng.integers(1, 7))).encode() for _ in range(4000)})
+    none = np.full(len(words), -np.inf)
+    many = pieces.log_probs(words, none)
+    monkeypatch.setattr(lattice, "FEW", 10**9)
+    assert many == pytest.approx(pieces.log_probs(words, none), abs=1e-9)
+
+
 def test_judge(spark):
     rows = [(i, ["the cat sat", "The CAT ran off", "der hund lief", "le chien court vite"][i % 4] + f" w{i % 13}") for i in range(120)]
     rows += [(500, None), (501, ""), (None, "the hund"), (502, "the " * 50_000), (503, "unknownword x y"), (3, rows[3][1])]
