@@ -35,12 +35,17 @@ class Encoder(dict):
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.alphabet = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if chr(c).isalpha()}
         self.marks: dict[str, bytes] = {"": b""}
+        self.older: dict[bytes, bytes] = {}
         self.plain = self._agree()
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        if (out := self.older.get(word)) is not None:
+            self[word] = out
+            return out
+        if len(self) >= REMEMBERED // 2:  # common words are met again before they are forgotten
+            self.older = dict(self)
             self.clear()
-        text = word.decode()
+        text = word.decode("utf-8", "replace")
         if self.plain and word.isalpha() and word.islower():
             packed = self.packed
             out = b"".join([packed[t.id] for t in self.tokenize(text)])

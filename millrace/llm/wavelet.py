@@ -1,9 +1,11 @@
 """Token ids in wavelet-matrix files, one for each shard of ascending ids.
 
 A file holds a header, the shard's document ids and lengths, and for each bit of the ids, highest first, a bit
-plane with its rank directory; the planes are compressed block by block. ``WaveletMatrix`` answers
-access, rank (counting), and select (occurrence lookup) from one file. Shards are ranges of document ids, cut at
-quantiles, so that files in shard order hold all documents in ascending order.
+plane cut into blocks: each is compressed by itself, and the header has where it lies and the ones before it. So
+``WaveletMatrix`` answers access, rank (counting), and select (occurrence lookup) from one compressed file, of
+which ``access`` reads the header and a block of each plane. Tasks take ranges of document ids, cut by Spark's range
+partitioning, encode their documents and cut their files where the tokens they count are enough; files in order of
+their names hold all documents in ascending order.
 """
 
 from __future__ import annotations
@@ -12,33 +14,80 @@ import io
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .arrow import append, texts
+from .arrow import small_batches, steps, texts
 from .store import fresh_path, materialize
 from .tokens import encoder, vocabulary
 
-MAGIC = b"WMX1"
-#: Bits between two entries of a rank directory.
-BLOCK = 512
-#: Tokens a shard aims at.
+MAGIC = b"WMX2"
+#: Bits of a plane's block.
+BLOCK = 1 << 15
+#: Blocks of a plane that a reader keeps.
+KEPT = 64
+#: Tokens a shard holds when it is closed, but for its last document.
 SHARD_TOKENS = 2_000_000
+#: A shard's number is its task's number and its place among that task's shards.
+_TASK, _GROUP = 24, 34
+
+
+class Plane:
+    """Bits in blocks, with the ones before each block and in the end of all; a block is fetched when it is met."""
+
+    def __init__(self, ones: np.ndarray, fetch: Callable[[int], np.ndarray]) -> None:
+        self.ones, self.fetch, self.held = ones, fetch, {}
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        """Of packed bits."""
+        step = BLOCK // 8
+        counts = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), step), dtype=np.int64) if len(bits) else np.zeros(0, np.int64)
+        return cls(np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), lambda k: bits[k * step : (k + 1) * step])
+
+    def block(self, k: int) -> np.ndarray:
+        if k not in self.held:
+            if len(self.held) >= KEPT:
+                self.held.clear()
+            self.held[k] = self.fetch(k)
+        return self.held[k]
+
+    def bit(self, at: int) -> int:
+        return int(self.block(at // BLOCK)[at % BLOCK // 8]) >> at % 8 & 1
+
+    def rank1(self, at: int) -> int:
+        """Ones before position ``at``."""
+        k, rest = divmod(at, BLOCK)
+        if not rest:
+            return int(self.ones[k])
+        bits = self.block(k)
+        part = int(bits[rest // 8] & ((1 << rest % 8) - 1)).bit_count() if rest % 8 else 0
+        return int(self.ones[k]) + int(np.bitwise_count(bits[: rest // 8]).sum(dtype=np.int64)) + part
+
+    def select(self, bit: int, nth: int) -> int:
+        """Position of the nth one or zero."""
+        before = self.ones if bit else np.arange(len(self.ones)) * BLOCK - self.ones
+        k = int(np.searchsorted(before[:-1], nth, side="right")) - 1
+        found = np.flatnonzero(np.unpackbits(self.block(k), bitorder="little") == bit)
+        return k * BLOCK + int(found[nth - int(before[k])])
+
+    def bits(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint8), *(self.fetch(k) for k in range(len(self.ones) - 1))])
 
 
 class WaveletMatrix:
     """Bit planes of a sequence of unsigned integers."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray] | None = None) -> None:
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int]) -> None:
         self.n, self.planes, self.zeros = n, planes, zeros
-        self.ranks = ranks or [_directory(p) for p in planes]
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -47,29 +96,21 @@ class WaveletMatrix:
         left, planes, zeros = ids.astype(kind), [], []
         for k in reversed(range(bits)):
             ones = (left & kind(1 << k)) != 0
-            planes.append(np.packbits(ones, bitorder="little"))
+            planes.append(Plane.of(np.packbits(ones, bitorder="little")))
             zeros.append(int(len(left) - np.count_nonzero(ones)))
             left = np.concatenate([left[~ones], left[ones]])
         return cls(len(left), planes, zeros)
 
-    def _rank1(self, plane: int, at: int) -> int:
-        """Ones before position ``at``."""
-        block, bits = at // BLOCK, self.planes[plane]
-        start = block * BLOCK // 8
-        whole = int(np.bitwise_count(bits[start : at // 8]).sum())
-        part = int(bits[at // 8] & ((1 << at % 8) - 1)).bit_count() if at % 8 else 0
-        return int(self.ranks[plane][block]) + whole + part
-
     def _step(self, plane: int, bit: int, at: int) -> int:
-        ones = self._rank1(plane, at)
+        ones = self.planes[plane].rank1(at)
         return self.zeros[plane] + ones if bit else at - ones
 
     def access(self, at: int) -> int:
         if not 0 <= at < self.n:
             raise IndexError(at)
         value = 0
-        for k, bits in enumerate(self.planes):
-            bit = int(bits[at // 8]) >> at % 8 & 1
+        for k, plane in enumerate(self.planes):
+            bit = plane.bit(at)
             value = value << 1 | bit
             at = self._step(k, bit, at)
         return value
@@ -96,24 +137,15 @@ class WaveletMatrix:
         at = start + nth
         for k in reversed(range(len(self.planes))):
             bit = value >> (len(self.planes) - 1 - k) & 1
-            at = self._select(k, bit, at - self.zeros[k] if bit else at)
+            at = self.planes[k].select(bit, at - self.zeros[k] if bit else at)
         return at
 
-    def _select(self, plane: int, bit: int, nth: int) -> int:
-        """Position of the nth one or zero of a plane: binary search in its directory, then in the block."""
-        ranks = self.ranks[plane].astype(np.int64)
-        if not bit:
-            ranks = np.arange(len(ranks)) * BLOCK - ranks
-        block = int(np.searchsorted(ranks, nth, side="right")) - 1
-        bits = np.unpackbits(self.planes[plane][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[nth - int(ranks[block])])
-
     def decode(self) -> np.ndarray:
         """The whole sequence: planes undone from the last, each partition reversed."""
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         values = np.zeros(self.n, kind)
-        for k, bits in reversed(list(enumerate(self.planes))):
-            ones = np.unpackbits(bits, count=self.n, bitorder="little").view(bool)
+        for k, plane in reversed(list(enumerate(self.planes))):
+            ones = np.unpackbits(plane.bits(), count=self.n, bitorder="little").view(bool)
             back = np.empty_like(values)
             back[~ones] = values[: self.zeros[k]]
             back[ones] = values[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k))
@@ -121,73 +153,68 @@ class WaveletMatrix:
         return values.astype(np.uint32)
 
 
-def _directory(bits: np.ndarray) -> np.ndarray:
-    step = BLOCK // 8
-    padded = np.zeros((len(bits) // step + 1) * step, np.uint8)
-    padded[: len(bits)] = bits
-    counts = np.bitwise_count(padded).reshape(-1, step).sum(axis=1, dtype=np.uint32)
-    return np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.uint32)
-
-
 def write_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """One shard's file. Null document ids are kept as such."""
-    tree, out, pack = WaveletMatrix.build(ids), io.BytesIO(), zstandard.ZstdCompressor(level=1)
+    tree, pack = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1, write_checksum=True)
     known = np.array([x is not None for x in doc_ids], bool)
     parts = [np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), np.array(lengths, "<i8").tobytes()]
-    for bits, ranks in zip(tree.planes, tree.ranks, strict=True):
-        parts += [bits.tobytes(), ranks.astype("<u4").tobytes()]
+    for plane in tree.planes:
+        parts += [plane.fetch(k).tobytes() for k in range(len(plane.ones) - 1)]
     packed = [pack.compress(p) for p in parts]
-    out.write(MAGIC + struct.pack("<QQI", len(doc_ids), tree.n, len(tree.planes)))
-    out.write(np.array(tree.zeros, "<u8").tobytes())
-    out.write(np.array([len(p) for p in packed], "<u8").tobytes())
+    head = struct.pack("<QQI", len(doc_ids), tree.n, len(tree.planes)) + np.array(tree.zeros, "<u8").tobytes()
+    head += b"".join(plane.ones.astype("<u8").tobytes() for plane in tree.planes) + np.array([len(p) for p in packed], "<u8").tobytes()
+    body = io.BytesIO()
+    body.write(MAGIC + struct.pack("<QI", len(head), zlib.crc32(head)) + head)
     for p in packed:
-        out.write(p)
-    body = out.getvalue()
+        body.write(p)
+    body = body.getvalue()
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, lengths and tokens of a shard; a damaged file raises."""
-    if data[:4] != MAGIC or zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
+def open_file(read: Callable[[int, int], bytes]) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """Document ids, lengths and tokens of a shard, of which ``read`` gives so many bytes from a place on. Blocks of
+    tokens are read when they are met; a damaged header or block raises."""
+    start = len(MAGIC) + struct.calcsize("<QI")
+    first = read(0, start)
+    size, check = struct.unpack("<QI", first[len(MAGIC) :]) if len(first) == start else (0, 0)
+    if first[: len(MAGIC)] != MAGIC or zlib.crc32(head := read(start, size)) != check:
         raise ValueError("not a whole wavelet-matrix file")
-    docs, n, planes = struct.unpack_from("<QQI", data, 4)
-    at = 4 + struct.calcsize("<QQI")
-    zeros = np.frombuffer(data, "<u8", planes, at).astype(int).tolist()
-    at += 8 * planes
-    sizes = np.frombuffer(data, "<u8", 3 + 2 * planes, at).astype(int)
-    at += 8 * len(sizes)
-    parts, unpack = [], zstandard.ZstdDecompressor()
-    for size in sizes:
-        parts.append(unpack.decompress(data[at : at + size]))
-        at += size
-    known = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=docs).astype(bool)
-    doc_ids = [x if k else None for x, k in zip(np.frombuffer(parts[0], "<i8").tolist(), known, strict=True)]
-    tree = WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[3::2]], zeros, [np.frombuffer(p, "<u4") for p in parts[4::2]])
-    return doc_ids, np.frombuffer(parts[2], "<i8"), tree
-
-
-def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n (tokens), ids (little-endian unsigned 32-bit integers, the end id last) of doc_id and text."""
-    end = struct.pack("<I", end_id)
+    docs, n, planes = struct.unpack_from("<QQI", head)
+    blocks = -(-n // BLOCK)
+    numbers = np.frombuffer(head, "<u8", offset=struct.calcsize("<QQI")).astype(np.int64)
+    zeros, ones, sizes = numbers[:planes].tolist(), numbers[planes : planes * (blocks + 2)].reshape(planes, blocks + 1), numbers[planes * (blocks + 2) :]
+    places = start + size + np.concatenate([[0], np.cumsum(sizes)])
+    unpack = zstandard.ZstdDecompressor()
+
+    def part(k: int) -> bytes:
+        try:
+            return unpack.decompress(read(int(places[k]), int(sizes[k])))
+        except zstandard.ZstdError as e:
+            raise ValueError("a damaged block") from e
 
-    def make(batch: pa.RecordBatch) -> list:
-        encode_ids = encoder(path).ids
-        found = [encode_ids(t) + end for t in texts(batch.column(1), lower=False)]
-        return [[len(x) // 4 for x in found], found]
+    known = np.unpackbits(np.frombuffer(part(1), np.uint8), count=docs).astype(bool)
+    doc_ids = [x if k else None for x, k in zip(np.frombuffer(part(0), "<i8").tolist(), known, strict=True)]
+    made = [Plane(ones[k], lambda b, k=k: np.frombuffer(part(3 + k * blocks + b), np.uint8)) for k in range(planes)]
+    return doc_ids, np.frombuffer(part(2), "<i8"), WaveletMatrix(n, made, zeros)
 
-    added = append(docs, [T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())], make)
-    return added.select("doc_id", "n", "ids")
 
+def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """``open_file`` of a file that is there as a whole, and is checked as a whole."""
+    if zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
+        raise ValueError("not a whole wavelet-matrix file")
+    return open_file(lambda at, size: data[at : at + size])
 
-def _write(folder: str):
-    """Shard files from rows sorted by (shard, doc_id). A file gets its name when it is whole, so a task that is
-    run again, or twice at once, leaves one good file for each shard."""
+
+def _write(folder: str, path: str, end_id: int, shard_tokens: int):
+    """Shard files from rows (doc_id, text) in ascending order. A file gets its name when it is whole, so a task
+    that is run again, or twice at once, leaves one good file for each shard."""
+    end = struct.pack("<I", end_id)
 
     def put(shard: int, ids: list, lengths: list, parts: list) -> tuple:
         data = write_file(ids, lengths, np.frombuffer(b"".join(parts), "<u4"))
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        part, name = f"{root}/.{shard}-{uuid.uuid4().hex}", f"{root}/{shard:08d}.wmx"
+        part, name = f"{root}/.{shard}-{uuid.uuid4().hex}", f"{root}/{shard:016d}.wmx"
         with store.open_output_stream(part) as f:
             f.write(data)
         try:
@@ -199,18 +226,20 @@ def _write(folder: str):
         return shard, len(ids), sum(lengths), len(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, lengths, parts = None, [], [], []
+        encode, shard = encoder(path).ids, TaskContext.get().partitionId() << _TASK
+        ids, lengths, parts, held = [], [], [], 0
         done: list[tuple] = []
-        for batch in batches:
-            for s, i, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != shard and shard is not None:
+        for batch in steps(batches):
+            for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1), lower=False), strict=True):
+                found = encode(text) + end
+                ids.append(key)
+                lengths.append(len(found) // 4)
+                parts.append(found)
+                held += lengths[-1]
+                if held >= shard_tokens:
                     done.append(put(shard, ids, lengths, parts))
-                    ids, lengths, parts = [], [], []
-                shard = s
-                ids.append(i)
-                lengths.append(n)
-                parts.append(x)
-        if shard is not None:
+                    shard, ids, lengths, parts, held = shard + 1, [], [], [], 0
+        if ids:
             done.append(put(shard, ids, lengths, parts))
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in range(4)], names=["shard", "docs", "tokens", "bytes"])
 
@@ -219,18 +248,14 @@ def _write(folder: str):
 
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, folder: str | None = None) -> tuple[str, DataFrame]:
     """Encode all documents into the files of a shared folder. Returns the folder and the manifest: shard, docs,
-    tokens, bytes. Ids that repeat over several cuts are dealt over the shards between them."""
-    spark, path = docs.sparkSession, path or vocabulary()
-    folder = folder or fresh_path(spark, "tokens")
+    tokens, bytes. Rows of one id, however many, are dealt by their texts."""
+    folder = folder or fresh_path(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, round(size / 4 / shard_tokens))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else []
-    at = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    low, same = (F.size(F.filter(at, lambda c: c < F.col("doc_id"))), F.size(F.filter(at, lambda c: c == F.col("doc_id"))))
-    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(low + F.when(same > 1, F.pmod(F.xxhash64("ids"), same)).otherwise(0)).cast("long")
-    dealt = encode(rows, path, end_id).withColumn("shard", shard).select("shard", "doc_id", "n", "ids").repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
-    return folder, materialize(dealt.mapInArrow(_write(folder), "shard long, docs long, tokens long, bytes long"), "manifest")
+    # a guess at the tokens sets the number of tasks; files are cut by the true count
+    tasks = max(1, round((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / 4 / shard_tokens))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = small_batches(rows).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return folder, materialize(dealt.mapInArrow(_write(folder, path or vocabulary(), end_id, shard_tokens), "shard long, docs long, tokens long, bytes long"), "manifest")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,13 +270,13 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files. The manifest has a row for each
-    shard; its running total is the only thing computed in one task."""
-    from pyspark.sql import Window as W
-
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files. The manifest has a row for each shard; its
+    running totals are those of groups of a thousand tasks, of which one task adds up the sums, and within them."""
     files = spark.read.format("binaryFile").load(folder + "/*.wmx").select("path", "content")
-    before = F.sum("tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
-    starts = manifest.select("shard", F.coalesce(before, F.lit(0)).alias("first"))
+    group = F.shiftright("shard", _GROUP).alias("group")
+    before = lambda col, order: F.coalesce(F.sum(col).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = manifest.groupBy(group).agg(F.sum("tokens").alias("tokens")).select("group", before("tokens", W.orderBy("group")).alias("ahead"))
+    starts = manifest.select("shard", group, before("tokens", W.partitionBy(group).orderBy("shard")).alias("inner")).join(groups, "group").select("shard", (F.col("ahead") + F.col("inner")).alias("first"))
     rows = files.mapInArrow(_documents, "shard long, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(starts, "shard").select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 

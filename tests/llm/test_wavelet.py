@@ -39,6 +39,43 @@ def test_damaged_file_raises():
         wavelet.read_file(bytes(data))
 
 
+def test_access_reads_a_block_of_each_plane():
+    rng = np.random.default_rng(1)
+    ids = (rng.zipf(1.2, 400_000) % 49_408).astype(np.uint32)
+    data, reads = wavelet.write_file([1], [len(ids)], ids), []
+
+    def read(at, size):
+        reads.append(size)
+        return data[at : at + size]
+
+    _, _, tree = wavelet.open_file(read)
+    for at in (0, 123_456, 399_999):
+        for plane in tree.planes:
+            plane.held.clear()
+        reads.clear()
+        assert tree.access(at) == ids[at] and len(reads) <= len(tree.planes)
+        assert sum(reads) < 0.2 * len(data)
+    assert tree.rank(int(ids[5])) == np.count_nonzero(ids == ids[5])
+    broken = bytearray(data)
+    broken[len(data) // 2] ^= 1
+    _, _, tree = wavelet.open_file(lambda at, size: bytes(broken[at : at + size]))
+    with pytest.raises(ValueError):
+        tree.decode()
+
+
+def test_ids_that_repeat_are_dealt_over_tasks(spark):
+    docs = spark.createDataFrame([(7, f"text number {i}") for i in range(400)] + [(k, "x") for k in range(7)], "doc_id long, text string")
+    folder, manifest = wavelet.write_shards(docs, shard_tokens=100)
+    assert manifest.count() > 8 and manifest.agg({"tokens": "max"}).first()[0] < 120
+    got = wavelet.read_shards(spark, folder, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [*range(7), *[7] * 400]
+
+
+def test_malformed_text(spark):
+    docs = spark.sql("SELECT 1L doc_id, cast(X'6120ff62' AS string) text")
+    assert [r.n_tokens for r in wavelet.roundtrip(docs).collect()] == [len(plain("a \ufffdb", 2))]
+
+
 def test_encoder_equals_the_library():
     own = encoder(vocabulary())
     for text in ["don't I'll WE'RE", "a b c", "x\u0085y", "\x1c\x1d a\x1eb", "İstanbul ΑΣ ﬁ", "a​b", "é ́", "12a3 ...?! é,È;", "<|startoftext|>x"]:
