@@ -1,7 +1,9 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from millrace.llm import golay, mixing, packing, toxicity
+from millrace.llm import mixing, packing, toxicity
+
+from .test_jaccard import kept_by_brute_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,18 +27,8 @@ def test_each_stage_against_brute_force(spark):
     for r in rows[1]:
         largest[lower(r.text)] = max(largest.get(lower(r.text), -1), r.doc_id)
     assert {r.doc_id for r in rows[2]} == set(largest.values())
-    # near copies: the smallest id of each component
-    prints = {r.doc_id: golay.fingerprint(lower(r.text)) for r in rows[2]}
-    left, keep = sorted(prints), set()
-    while left:
-        keep.add(left[0])
-        todo, left = [left[0]], left[1:]
-        while todo:
-            at = todo.pop()
-            near = [i for i in left if (prints[i] ^ prints[at]).bit_count() <= 4]
-            left = [i for i in left if i not in set(near)]
-            todo += near
-    assert {r.doc_id for r in rows[3]} == keep
+    # near copies: the smallest id of what similarities of 0.8 or more connect
+    assert {r.doc_id for r in rows[3]} == kept_by_brute_force(sorted((r.doc_id, r.text) for r in rows[2]))
     # mixing: as often as the operator says
     copies = {r.doc_id: r.copies for r in mixing.judge(states[3]).collect()}
     assert Counter(r.doc_id for r in rows[4]) == Counter({i: n for i, n in copies.items() if n})
@@ -50,3 +42,34 @@ def test_each_stage_against_brute_force(spark):
         assert [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 4096
     assert len(bins) <= 1.02 * sum(p.length for p in pieces) / 4096 + 1
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == Counter(p.doc_id for p in rows[5])
+
+
+def stages(spark, tmp_path, docs):
+    """The pipeline over these documents; the labels are those of the smallest tables."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    docs.write.parquet(f"{folder}/documents.parquet")
+    (folder / "labels.parquet").symlink_to(f"{SF}/labels.parquet")
+    states = [spark.read.parquet(f"{folder}/documents.parquet")]
+    for _, stage in corpus_pipeline.STAGES:
+        states.append(stage(spark, states[-1], str(folder)).cache())
+    return states
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    long = " ".join(f"word{k % 977}" for k in range(60_000))
+    rows = [(1, "the cat sat on the mat today", "s1"), (2, "The cat sat on the mat today", "s1"), (2, "The cat sat on the mat today", "s1"), (3, None, None), (4, "", "s2"), (None, "no id but some words here", "s2"), (None, None, None), (5, long, "s2"), (6, long + " more", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS score", "'x' AS fp", "2 AS digest", "3 AS copies", "4 AS uid")
+    states = stages(spark, tmp_path, docs)
+    assert all(s.columns == docs.columns for s in states[:-1])
+    found = [sorted(str(r.doc_id) for r in s.collect()) for s in states]
+    # of the copies one of the rows of id 2 stays; null and empty texts are one group, of which the largest id stays
+    assert found[2] == ["2", "4", "5", "6", "None"]
+    # of the two long texts the smaller id stays; a text without words is like no other
+    assert found[3] == ["2", "4", "5", "None"]
+    assert set(found[4]) <= set(found[3]) and set(found[5]) == set(found[4])
+
+
+def test_no_documents(spark, tmp_path):
+    states = stages(spark, tmp_path, spark.createDataFrame([], "doc_id long, text string, source string"))
+    assert [s.count() for s in states] == [0] * 6
