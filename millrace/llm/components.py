@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, materialize
+from .store import discard, materialize, meet
 
 #: Edges that a task contracts at once.
 BLOCK = 200_000
@@ -56,9 +56,9 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, root) for every node of ``edges`` (long columns u, v; no nulls), root being the smallest node reachable.
 
-    Each step aggregates before it shuffles and joins a minimum back, so a node with very many neighbours is a
-    skewed join at worst, which the planner splits; nothing is collected. Stars come out after about log(diameter)
-    rounds; running out of ``rounds`` raises instead of returning half-merged components."""
+    Each step aggregates before it shuffles and joins a minimum back; the minima of nodes with very many neighbours are
+    few and go to all tasks instead. Nothing is collected. Stars come out after about log(diameter) rounds; running
+    out of ``rounds`` raises instead of returning half-merged components."""
     spark = edges.sparkSession
     now = materialize(edges.select("u", "v").mapInArrow(contract, "u long, v long"), "edges")
     state = None
@@ -68,11 +68,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return now.select("u", F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
         state, last = mark, now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = meet(both, least, "u", "n", 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # after a large step every edge points from the larger to the smaller node
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = meet(large, least, "u", "n", 2 * mark[0]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         now = materialize(small, "edges")
-        discard(spark, last)
+        for done in (last, large):
+            discard(spark, done)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

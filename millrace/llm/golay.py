@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from . import jaccard
 from .arrow import append, texts
 from .components import components
-from .store import fresh, materialize
+from .store import fresh, materialize, meet
 
 WIDTH = 4
 DISTANCE = 4
@@ -200,15 +200,16 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def classes(prints: DataFrame, id_col: str, distance: int = DISTANCE, edges: DataFrame | None = None) -> DataFrame:
-    """One row per distinct fingerprint: fp, component_id (smallest id reachable; null if no row there has one).
+    """One row per distinct fingerprint: fp, component_id (smallest id reachable; null if no row there has one), root,
+    id (its own smallest) and n (its rows).
 
     ``edges`` (u, v) replaces the links by distance."""
-    least = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("id")), "fingerprints")
+    least = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("id"), F.count("*").alias("n")), "fingerprints")
     roots = components(links(least, distance) if edges is None else edges)
     # a fingerprint without links stands for itself
-    rooted = least.join(roots, least["fp"] == roots["u"], "left").select(least["fp"], "id", F.coalesce("root", least["fp"]).alias("root"))
-    first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(first, "root").select("fp", "component_id", "root", "id")
+    rooted = materialize(least.join(roots, least["fp"] == roots["u"], "left").select(least["fp"], "id", "n", F.coalesce("root", least["fp"]).alias("root")), "roots")
+    first = rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("prints"))
+    return meet(rooted, first, "root", "prints", rooted.count()).select("fp", "component_id", "root", "id", "n")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
@@ -217,8 +218,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     Null or wordless texts have fingerprint zero and are linked like any other. Rows with a null id take part;
     ids of a component are compared without them. Repeated rows come out as often as they came in."""
     rows = materialize(add_fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "fp", "text", width).select("doc_id", "fp"), "prints")
-    found = materialize(classes(rows, "doc_id", distance).select("fp", "component_id"), "classes")
-    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = materialize(classes(rows, "doc_id", distance).select("fp", "component_id", "n"), "classes")
+    return meet(rows, found, "fp", "n", found.agg(F.sum("n")).first()[0] or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:

@@ -23,13 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append, small_batches, steps, texts
-from .store import fresh, materialize
+from .store import fresh, materialize, meet
 
 #: Bytes of distinct text that a table may hold before it goes to spill files.
 TABLE_BYTES = 32 << 20
 FAN_OUT = 16
-#: A group with over 1/HOT_PARTS of all rows counts as hot; there are fewer than HOT_PARTS of them.
-HOT_PARTS = 500
 
 
 class OpenTable:
@@ -170,20 +168,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
     id and text) exactly one is kept. An empty table gives an empty result."""
     rows = append(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), [T.StructField("digest", T.BinaryType())], _digest(1)).select("doc_id", "digest")
     copies = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
-    met = _meet(copies, materialize(groups(docs, id_col, text_col, table_bytes), "grace-groups"))
+    found = materialize(groups(docs, id_col, text_col, table_bytes).withColumn("size", F.col("group_size")), "grace-groups")
+    met = meet(copies, found, "digest", "size", found.agg(F.sum("size")).first()[0] or 0)
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("doc_id", "keep_id", "group_size", (first & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def _meet(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Inner join on the digest in which no group of copies lands in one task: the groups that could are fewer
-    than HOT_PARTS, which bounds the broadcast; the others hold at most 1/HOT_PARTS of the rows each."""
-    total = found.agg(F.sum("group_size")).first()[0] or 0
-    hot = F.col("group_size") > total / HOT_PARTS
-    hot_groups = F.broadcast(found.where(hot))
-    return rows.join(hot_groups, "digest").unionByName(rows.join(F.broadcast(found.where(hot).select("digest")), "digest", "left_anti").join(found.where(~hot), "digest"))
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``docs`` without all but one row of each group of equal texts, with its columns unchanged.
 
