@@ -1,4 +1,4 @@
-"""pandas functions that need no session until they are used."""
+"""pandas functions that need no session until they are used, and values that expressions share."""
 
 from __future__ import annotations
 
@@ -22,3 +22,8 @@ def pandas_function(returns: str) -> Callable:
         return call
 
     return wrap
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used, inside of lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lazy import bound
 from ..functions.text import trim
 
+#: Fixed value.
 MARKER = r"<!--\s*Page\s+(\d+)\s*-->"
 
 
@@ -40,22 +42,31 @@ def merge(markdown: Column, page_count: Column, ocr: Column) -> Column:
     With markers every page gets one, then its section and its recognized text, where there are any. Without
     markers the text stands on page 1, and markers begin with page 2. Nothing for a page count of 0."""
     base = F.coalesce(markdown, F.lit(""))
-    parts, marked = sections(base), base.rlike(MARKER)
     found = F.coalesce(ocr, F.create_map().cast("map<int,string>"))
 
-    def page(p: Column) -> Column:
-        of_page = F.filter(parts, lambda s: s["page"] == p)
-        section = F.coalesce(trim(F.try_element_at(of_page, F.lit(-1))["text"]), F.lit(""))
-        text = F.coalesce(trim(F.try_element_at(found, p)), F.lit(""))
-        bare = F.array(trim(base), F.when(text != "", F.concat(F.lit("\n\n<!-- OCR page "), p.cast("string"), F.lit(" -->\n\n"), text)))
-        full = F.array(F.concat(F.lit("<!-- Page "), p.cast("string"), F.lit(" -->")), F.when(section != "", section), F.when(text != "", F.concat(F.lit("\n\n<!-- OCR -->\n\n"), text)))
-        return F.array_compact(F.when(~marked & (p == 1), bare).otherwise(full))
+    def whole(x: Column) -> Column:
+        def page(p: Column) -> Column:
+            # the sections stand in reverse, so that of markers that repeat the last one is met first
+            at = F.array_position(x["numbers"], p).cast("int")
+            section = F.coalesce(trim(F.get(x["texts"], at - 1)), F.lit(""))
+            text = F.coalesce(trim(F.try_element_at(x["ocr"], p)), F.lit(""))
+            bare = F.array(trim(x["base"]), F.when(text != "", F.concat(F.lit("\n\n<!-- OCR page "), p.cast("string"), F.lit(" -->\n\n"), text)))
+            full = F.array(F.concat(F.lit("<!-- Page "), p.cast("string"), F.lit(" -->")), F.when(section != "", section), F.when(text != "", F.concat(F.lit("\n\n<!-- OCR -->\n\n"), text)))
+            return F.array_compact(F.when(~x["marked"] & (p == 1), bare).otherwise(full))
 
-    pages = F.when(page_count > 0, F.flatten(F.transform(F.sequence(F.lit(1), page_count.cast("int")), page))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(pages, "\n\n")
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), page_count.cast("int")), page)), "\n\n")
 
+    def cut(x: Column) -> Column:
+        return F.struct(x["base"].alias("base"), x["marked"].alias("marked"), F.transform(x["parts"], lambda s: s["page"]).alias("numbers"), F.transform(x["parts"], lambda s: s["text"]).alias("texts"), x["ocr"].alias("ocr"))
 
-def merge_pages(docs: DataFrame, ocr: DataFrame, id_col: str = "id", markdown_col: str = "markdown", count_col: str = "page_count") -> DataFrame:
-    """``docs`` with ``merged``: recognized pages (id, page, text) come in by one shuffle on the document."""
-    grouped = ocr.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(F.col("page").cast("int"), "text"))).alias("_ocr"))
+    once = F.struct(base.alias("base"), base.rlike(MARKER).alias("marked"), F.reverse(sections(base)).alias("parts"), found.alias("ocr"))
+    return F.when(page_count > 0, bound(bound(once, cut), whole)).otherwise("")
+
+
+def merge_pages(docs: DataFrame, ocr: DataFrame, id_col: str = "id", markdown_col: str = "markdown", count_col: str = "page_count", order_col: str | None = None) -> DataFrame:
+    """``docs`` with ``merged``: recognized pages (id, page, text) come in by one shuffle on the document. Of texts for one
+    page the last by ``order_col`` counts, else the largest; a text without a page is in none."""
+    one = F.max_by("text", order_col) if order_col else F.max("text")
+    single = ocr.where(F.col("page").isNotNull()).groupBy(id_col, F.col("page").cast("int").alias("page")).agg(one.alias("text"))
+    grouped = single.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("page", "text"))).alias("_ocr"))
     return docs.join(grouped, id_col, "left").withColumn("merged", merge(F.col(markdown_col), F.coalesce(count_col, F.lit(0)), F.col("_ocr"))).drop("_ocr")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import catalogs, geometry, text
+from ..functions.lazy import bound
 from ..operators import audio, export, history, image, pages, recognition
 from ..sources import archive, classify
 
@@ -221,10 +222,8 @@ def overlapping(spark, sf_dir) -> DataFrame:
     """Turns with the last four words of the turn before put in front."""
     c = table(spark, sf_dir, "conversations")
     before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    tail = text.words(before)
-    return c.withColumn("prev", before).withColumn("part", F.when(before.isNull(), F.col("text")).otherwise(F.concat_ws(" ", F.array_join(F.slice(tail, F.greatest(F.size(tail) - 3, F.lit(1)), 4), " "), "text")))
-
-
+    tail = bound(text.words(F.col("prev")), lambda ws: F.array_join(F.slice(ws, F.greatest(F.size(ws) - 3, F.lit(1)), 4), " "))
+    return c.withColumn("prev", before).withColumn("part", F.when(F.col("prev").isNull(), F.col("text")).otherwise(F.concat_ws(" ", tail, "text")))
 
 
 def _words(column: str) -> str:

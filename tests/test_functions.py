@@ -178,3 +178,36 @@ def test_boxes(spark):
     w, h = 100, 20
     o = math.floor(w * h / (2 * (w + h)) * 1.5 + 0.5)
     assert (20 - max(o, 10), 20 - max(o, 8), 120 + max(o, 10), 40 + max(o, 8)) in [(x.x0, x.y0, x.x1, x.y1) for x in got]
+
+
+def test_stitch_all_folds_pair_by_pair(spark):
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(60):
+        parts, text = [], [rnd.choice(["One", "two", "three", "four"]) for _ in range(30)]
+        for _ in range(rnd.randrange(0, 6)):
+            at = rnd.randrange(0, 20)
+            parts.append(rnd.choice(["", " ", "\n"]) + " ".join(text[at : at + rnd.randrange(0, 16)]))
+        rows.append((parts,))
+    found = spark.createDataFrame(rows, "parts array<string>")
+
+    def plain(a, b):
+        x, y = a.split(), b.split()
+        if not x or not y:
+            return " ".join(x or y)
+        k = next((k for k in range(min(12, len(x), len(y)), 1, -1) if [w.lower() for w in x[-k:]] == [w.lower() for w in y[:k]]), 0)
+        return " ".join(x) + " " + " ".join(y[k:])
+
+    for r in found.select("parts", audio.stitch_all(F.col("parts")).alias("got")).collect():
+        kept, out = [p for p in r.parts if p.strip()], ""
+        for k, p in enumerate(kept):
+            out = p if k == 0 else plain(out, p)
+        assert r.got == out
+
+
+def test_merge_pages_takes_the_last_text_of_a_page(spark):
+    docs = spark.createDataFrame([(1, "<!-- Page 1 -->a<!-- Page 2 -->b<!-- Page 1 -->c", 3), (2, None, 0), (3, "plain", 2)], "id long, markdown string, page_count int")
+    ocr = spark.createDataFrame([(1, 2, "old", 1), (1, 2, "new", 2), (1, None, "lost", 3), (3, 2, "z", 1), (9, 1, "none", 1)], "id long, page int, text string, at int")
+    got = {r.id: r.merged for r in pages.merge_pages(docs, ocr, order_col="at").collect()}
+    assert got[1] == "<!-- Page 1 -->\n\nc\n\n<!-- Page 2 -->\n\nb\n\n\n\n<!-- OCR -->\n\nnew\n\n<!-- Page 3 -->"
+    assert got[2] == "" and got[3] == "plain\n\n<!-- Page 2 -->\n\n\n\n<!-- OCR -->\n\nz"
