@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each document gets an exponential key, -ln(u) / quality (Efraimidis and Spirakis), u being a hash of its id, so
-that reruns agree. Complete epochs of a source come first; the rest of its target is filled with the documents of
+that reruns agree. Quality is a column of the documents, or where none is named a stand-in made from the text. Complete epochs of a source come first; the rest of its target is filled with the documents of
 the smallest keys, by a prefix sum. The prefix sum has two levels: sums of key ranges, and a running sum inside the
 one range of each source in which its budget ends. No task ever sorts a whole source, and the documents meet only
 a table with one row for each source.
@@ -93,21 +93,27 @@ def _taken(rows: DataFrame, found: DataFrame, seed: int) -> DataFrame:
     return met.withColumn("copies", F.col("plan_epochs") + more.cast("long"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+def _weight(docs: DataFrame, text_col: str, size: Column, quality_col: str | None) -> Column:
+    return F.col(quality_col).cast("double") if quality_col else quality(F.col(text_col), size)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = SEED, quality_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
 
     Null texts have size 0; documents without a source form a source of their own, ranked last. Rows of one id and
-    size have one key and are taken together. An empty table gives an empty result; sources of size 0 get 0."""
-    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("size"), F.col(text_col).alias("text"))
-    rows = rows.select("source", "id", "size", quality(F.col("text"), F.col("size")).alias("weight"))
+    size have one key and are taken together. A null quality is 1, one of 0 or less the least. An empty table gives an
+    empty result; sources of size 0 get 0."""
+    size = words(F.col(text_col))
+    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), size.alias("size"), _weight(docs, text_col, size, quality_col).alias("weight"))
+    rows = materialize(rows, "sizes")  # one pass over the texts
     met = _taken(rows, plan(rows, weights, budget, epochs, seed), seed)
     return met.select(F.col("id").alias("doc_id"), "size", F.col("plan_source_size").alias("source_size"), F.col("plan_target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = SEED, quality_col: str | None = None) -> DataFrame:
     """``docs`` as the mix takes them: each document as often as its epochs say, columns unchanged."""
     (whole,) = fresh(docs, "whole")
     size = words(F.col(text_col))
-    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), size.alias("size"), quality(F.col(text_col), size).alias("weight"), F.struct(*docs.columns).alias(whole))
-    met = _taken(rows, plan(rows.drop(whole), weights, budget, epochs, seed), seed)
+    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), size.alias("size"), _weight(docs, text_col, size, quality_col).alias("weight"), F.struct(*docs.columns).alias(whole))
+    met = _taken(rows, plan(materialize(rows.drop(whole), "sizes"), weights, budget, epochs, seed), seed)
     return met.where("copies > 0").select(whole, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(f"{whole}.*")

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -68,3 +69,22 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.judge(docs).collect() == [] and mixing.mix(docs).collect() == []
+
+
+def test_draw_is_weighted_by_a_quality_column(spark):
+    rows = [(i, "w " * (1 + i % 5), "s", [4.0, 0.25, None, -1.0][i % 4]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, grade double")
+    got = {r.doc_id: r for r in mixing.judge(docs, budget=0.5, epochs=1, quality_col="grade").collect()}
+    uniform = {r.doc_id: r.u for r in docs.selectExpr("doc_id", f"(shiftrightunsigned(xxhash64({mixing.SEED}, doc_id), 11) + 0.5D) / {1 << 53}D AS u").collect()}
+    # brute force: keys ascending, documents whose middle is within the target
+    keys = sorted((-math.log(uniform[i]) / max({None: 1.0}.get(q, q), 1e-9), i) for i, _, _, q in rows)
+    held, expected = 0, set()
+    for _, i in keys:
+        size = 1 + i % 5
+        if held + size / 2 <= got[i].target:
+            expected.add(i)
+        held += size
+    assert {i for i, r in got.items() if r.copies} == expected
+    share = [sum(i % 4 == k for i in expected) / 500 for k in range(4)]
+    assert share[0] > 0.85 and share[1] < 0.35 and share[1] < share[2] < share[0] and share[3] == 0
+    assert mixing.mix(docs, budget=0.5, epochs=1, quality_col="grade").count() == len(expected)
