@@ -59,14 +59,27 @@ def read_stored(data: bytes, entry: Entry) -> bytes | None:
     return _body(data, entry) if entry.method == 0 else None
 
 
-def read_entry(data: bytes, entry: Entry, most: int = 1 << 28) -> bytes | None:
-    """Bytes of a stored or deflated entry, ``most`` at the most."""
+#: Bytes that a compressed part may inflate to; a larger one is an error.
+MOST_BYTES = 1 << 28
+
+
+def inflated(packed: bytes, window: int = 15, most: int = MOST_BYTES) -> bytes:
+    """Deflated bytes inflated, what a damaged end leaves of them included; more than ``most`` raise."""
+    unpack = zlib.decompressobj(window)
+    out = unpack.decompress(packed, most)
+    if unpack.unconsumed_tail and unpack.decompress(unpack.unconsumed_tail, 1):
+        raise ValueError(f"a part of over {most} bytes")
+    return out
+
+
+def read_entry(data: bytes, entry: Entry, most: int = MOST_BYTES) -> bytes | None:
+    """Bytes of a stored or deflated entry; one of over ``most`` raises."""
     body = _body(data, entry)
     if body is None or entry.method == 0:
         return body
     if entry.method != 8:
         return None
-    return zlib.decompressobj(-15).decompress(body, most)
+    return inflated(body, -15, most)
 
 
 # Media types of packages whose first entry names them, and entries that others have.

@@ -180,3 +180,58 @@ def test_decode_image():
     assert np.array_equal(image.decode_image(bmp), img)
     with pytest.raises(ValueError):
         image.decode_image(b"\xff\xd8\xff")
+
+
+def test_inflation_is_bounded():
+    data = packed({"big": b"x" * 5000})
+    entry = archive.read_entries(data)[0]
+    assert archive.read_entry(data, entry, 5000) == b"x" * 5000
+    with pytest.raises(ValueError):
+        archive.read_entry(data, entry, 4999)
+
+
+def test_rtf_code_units_and_stand_ins():
+    read = lambda x: documents.read(x, "rtf")[0]
+    assert read(rb"{\rtf1 it\u8217?s \u-10179?\u-8704? ok \u-10179? end}") == "it’s \U0001f600 ok � end"
+    assert read(rb"{\rtf1 {\uc0\u233}x {\uc2\u233\'e9?}y \u233 ?z}") == "éx éy éz"
+
+
+def test_workbook_order_and_names():
+    sheet = lambda v: f'<worksheet><sheetData><row><c r="A1"><v>{v}</v></c></row></sheetData></worksheet>'
+    book = '<workbook xmlns:r="urn:r"><sheets><sheet name="Later" r:id="r2"/><sheet name="First" r:id="r1"/></sheets></workbook>'
+    links = '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>'
+    parts = {"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": links, "xl/worksheets/sheet1.xml": sheet(1), "xl/worksheets/sheet2.xml": sheet(2)}
+    assert documents.read(packed(parts), "xlsx")[0] == "## Later\n\n| 2 |\n| --- |\n\n## First\n\n| 1 |\n| --- |"
+
+
+def object_stream(objects):
+    """Objects (number, body) in a compressed stream, as files since version 1.5 have them."""
+    head, body = "", b""
+    for key, x in objects:
+        head += f"{key} {len(body)} "
+        body += x + b" "
+    packed_ = zlib.compress(head.encode() + body)
+    return b"50 0 obj <</Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d>> stream\n%s\nendstream endobj\n" % (len(objects), len(head), len(packed_), packed_)
+
+
+def test_pdf_with_object_streams_fonts_and_page_tree():
+    codes = b"1 beginbfchar <0003> <0416> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<00e9> <d83dde00>] endbfrange"
+    objects = [(1, b"<</Type /Catalog /Pages 2 0 R>>"), (2, b"<</Type /Pages /Kids [6 0 R 5 0 R] /Resources <</Font <</F1 7 0 R>>>>>>"), (5, b"<</Type /Page /Contents 8 0 R>>"), (6, b"<</Type /Page /Contents [9 0 R]>>"), (7, b"<</Type /Font /ToUnicode 10 0 R>>")]
+    hexed = b"BT /F1 12 Tf <000300100011001200200021> Tj ET".hex().encode() + b">"
+    streams = b"8 0 obj <</Length 14>> stream\nBT (two) Tj ET\nendstream endobj\n9 0 obj <</Filter [/ASCIIHexDecode] /Length %d>> stream\n%s\nendstream endobj\n10 0 obj <</Length %d>> stream\n%s\nendstream endobj\n" % (len(hexed), hexed, len(codes), codes)
+    data = b"%PDF-1.5\n" + object_stream(objects) + streams + b"%%EOF"
+    assert documents.pdf_pages(data) == ["Жabcé\U0001f600", "two"]
+
+
+def test_pdf_without_pages_is_an_error():
+    with pytest.raises(documents.DocumentError):
+        documents.read(b"%PDF-1.7\nnothing here", "pdf")
+
+
+def test_pdf_image():
+    pixels = np.arange(60, dtype=np.uint8).reshape(4, 5, 3)
+    raw = zlib.compress(pixels.tobytes())
+    data = b"%%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj 2 0 obj <</Type /Pages /Kids [3 0 R]>> endobj 3 0 obj <</Type /Page /Resources <</XObject <</I 4 0 R>>>>>> endobj 4 0 obj <</Subtype /Image /Width 5 /Height 4 /BitsPerComponent 8 /Filter /FlateDecode /Length %d>> stream\n%s\nendstream endobj" % (len(raw), raw)
+    assert np.array_equal(image.decode_image(documents.pdf_image(data, 1)), pixels)
+    with pytest.raises(ValueError):
+        documents.pdf_image(data, 2)
