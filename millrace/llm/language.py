@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .arrow import append, texts
 from .store import materialize
-from .toxicity import held_out
+from .toxicity import held_out, smallest_hashes
 
 SAMPLE_DOCS = 200
 SAMPLE_BYTES = 32_000
@@ -199,11 +199,11 @@ def _parse(steps: np.ndarray, lanes: np.ndarray, follows: np.ndarray) -> tuple[n
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", table_bytes: int = TABLE_BYTES) -> Model:
-    """Learn from rows with an id, text and language. Ids are picked first, at most ``SAMPLE_DOCS`` of a language in each
-    task; only the picked ones, whose number is bounded, meet the texts. An id's least text stands for it."""
+    """Learn from rows with an id, text and language. Ids are picked first, ``SAMPLE_DOCS`` of a
+    language; only these meet the texts. An id's least text stands for it."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = rows.select("id", "lang").distinct().withColumn("n", place).where(F.col("n") <= SAMPLE_DOCS)
+    picked = smallest_hashes(rows.select("id", "lang"), SAMPLE_DOCS, "lang").distinct().withColumn("n", place).where(F.col("n") <= SAMPLE_DOCS)
     met = rows.join(materialize(picked, "languages"), ["id", "lang"])
     # the n-th window lies n golden sections into its text; ten characters for each byte leave room for other than letters
     span = 10 * max(240, SAMPLE_BYTES // SAMPLE_DOCS)

@@ -1,13 +1,15 @@
 """Token ids from the tokenizers library, with a bounded store of words already encoded.
 
 The vocabulary's pre-tokenizer splits at white space and drops it, so the ids of a text are those of its words
-in turn, and any word may be encoded by itself. Words of plain letters go straight to the BPE model, whose input
-the normalizer and the byte-level alphabet would leave as it is; all others take the whole tokenizer."""
+in turn, and any word may be encoded by itself. Words of plain letters, between marks or not, go straight to the
+library's BPE model, whose input the normalizer and the byte-level alphabet would leave as it is; all others take the
+whole tokenizer."""
 
 from __future__ import annotations
 
 import re
 import struct
+from codecs import charmap_decode
 from functools import cache
 
 import public_tokenizers
@@ -16,9 +18,12 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words remembered by a worker at most.
-REMEMBERED = 400_000
-#: Letters of ASCII and Latin-1, composed already, then punctuation: two pre-tokens.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+REMEMBERED = 800_000
+#: Letters of ASCII and Latin-1, composed already, in UTF-8 between marks of ASCII: a pre-token each. An apostrophe
+#: before letters may take some of them, and a special token begins with ``<|``.
+_PLAIN = re.compile(rb"([!-&(-/:;=?@\[-`{}~]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:;=?@\[-`{}~]*)")
+_UPPER = re.compile(rb"[A-Z]|\xc3[\x80-\x9e]")
+SPECIAL = b"<|"
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -33,8 +38,12 @@ class Encoder(dict):
         self.tokenize = self.tokenizer.model.tokenize
         self.packed = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.alphabet = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if chr(c).isalpha()}
-        self.marks: dict[str, bytes] = {"": b""}
+        letters = ["?"] * 256  # as the byte-level alphabet spells each byte
+        for c in (*range(0x41, 0x7B), *range(0xC0, 0x100)):
+            for byte, letter in zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0], strict=True):
+                letters[byte] = letter
+        self.letters = "".join(letters)
+        self.marks: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
         self.plain = self._agree()
 
@@ -45,14 +54,10 @@ class Encoder(dict):
         if len(self) >= REMEMBERED // 2:  # common words are met again before they are forgotten
             self.older = dict(self)
             self.clear()
-        text = word.decode("utf-8", "replace")
-        if self.plain and word.isalpha() and word.islower():
-            packed = self.packed
-            out = b"".join([packed[t.id] for t in self.tokenize(text)])
-        elif self.plain and (m := _PLAIN.fullmatch(text)):
+        if self.plain and (m := _PLAIN.fullmatch(word)):
             out = self._plain(*m.groups())
         else:
-            out = self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            out = self._pack(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
         self[word] = out
         return out
 
@@ -60,25 +65,33 @@ class Encoder(dict):
         packed = self.packed
         return b"".join([packed[k] for k in ids])
 
-    def _plain(self, letters: str, marks: str) -> bytes:
-        if marks or not letters.islower():
-            if marks not in self.marks:
-                if len(self.marks) > 10_000:
-                    self.marks = {"": b""}
-                self.marks[marks] = self._pack([t.id for t in self.tokenize(marks)])
-            return self[letters.lower().encode()] + self.marks[marks]
+    def _spelt(self, word: bytes) -> bytes:
         packed = self.packed
-        return b"".join([packed[t.id] for t in self.tokenize(letters if letters.isascii() else letters.translate(self.alphabet))])
+        return b"".join([packed[t.id] for t in self.tokenize(charmap_decode(word, "strict", self.letters)[0])])
+
+    def _marks(self, marks: bytes) -> bytes:
+        if (out := self.marks.get(marks)) is None:
+            if len(self.marks) > 10_000:
+                self.marks = {b"": b""}
+            out = self.marks[marks] = self._pack([t.id for t in self.tokenize(marks.decode())])
+        return out
+
+    def _plain(self, before: bytes, letters: bytes, after: bytes) -> bytes:
+        if before or after:
+            return self._marks(before) + self[letters] + self._marks(after)
+        return self[letters.decode().lower().encode()] if _UPPER.search(letters) else self._spelt(letters)
 
     def _agree(self) -> bool:
         """Whether model and tokenizer agree on plain words, as they do for this vocabulary."""
         self.plain = True
-        words = ("the", "Mixed", "zzyxqh", "end.", "well?!", "Éçàß", "Ñandú,", "ÿØÞ")
+        words = ("the", "Mixed", "zzyxqh", "end.", "well?!", "Éçàß", "Ñandú,", "ÿØÞ", "(so)", "it'", "a&&&", '"Él"', "{_x_}%%%")
         return all(self[w.encode()] == self._pack(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in words)
 
     def ids(self, text: bytes) -> bytes:
-        """Ids of a text (UTF-8, not lower-cased beforehand)."""
-        return b"".join(map(self.__getitem__, text.split()))
+        """Ids of a text (UTF-8)."""
+        # the normalizer lowers letters anyway; fewer different words are then met. Special tokens keep their case
+        words = (text if SPECIAL in text else text.lower()).split()
+        return b"".join(map(self.__getitem__, words))
 
 
 @cache

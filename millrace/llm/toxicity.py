@@ -52,6 +52,14 @@ def letters_of(word: bytes) -> str:
     return word.decode("utf-8", "replace").lower()
 
 
+def smallest_hashes(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Of each group some 20 ``n`` rows (all of smaller groups), those with the smallest hashes of ``id``: the ``n`` smallest
+    are among them, and ranking them is little work. The groups are labels or languages: their sizes are broadcast."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_of"))
+    share = F.xxhash64("id") / F.lit(float(1 << 64)) + 0.5
+    return rows.join(F.broadcast(sizes), list(keys)).where(share < 20.0 * n / F.col("_of")).drop("_of")
+
+
 class Windows:
     """The n-grams of words: for each letter and each word's end, hashes of the 0 to 5 letters before it."""
 
@@ -207,7 +215,8 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
     and a quarter of that, held, to calibrate with. Ids are picked first; only the picked ids, whose number is bounded,
     meet the texts, so no text is shuffled but those of the sample."""
     rank, held = F.xxhash64("id"), F.pmod(F.hash("id"), F.lit(5)) == 0
-    known = docs.where("text IS NOT NULL").select("id").join(labels, "id").withColumn("held", held).withColumn("rank", rank)
+    known = docs.where("text IS NOT NULL").select("id").join(labels, "id").withColumn("held", held)
+    known = smallest_hashes(known, sample_docs, "label", "held").withColumn("rank", rank)
     sizes = {(label, part): max(1, sample_docs // 4) if part else sample_docs for label in (0, 1) for part in (False, True)}
     picked = None
     for (label, part), n in sizes.items():

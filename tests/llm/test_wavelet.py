@@ -78,7 +78,7 @@ def test_malformed_text(spark):
 
 def test_encoder_equals_the_library():
     own = encoder(vocabulary())
-    for text in ["don't I'll WE'RE", "a b c", "x\u0085y", "\x1c\x1d a\x1eb", "İstanbul ΑΣ ﬁ", "a​b", "é ́", "12a3 ...?! é,È;", "<|startoftext|>x"]:
+    for text in ["don't I'll WE'RE", "a b c", "x\u0085y", "\x1c\x1d a\x1eb", "İstanbul ΑΣ ﬁ", "a​b", "é ́", "12a3 ...?! é,È;", "<|startoftext|>x", "'the 'tis (so) it' a&&& {_x_}%%% É'' -- _a_ <|a|> \\x ~ß~ `q` 'S x's! y't. <|endoftext|>, (<|endoftext|>)", "MIXED Case, ÉCLAIR! I\u0307 E\u0301 K\u212a ΣΑΣ ſ", "<|ENDOFTEXT|> UP"]:
         assert own.ids(text.encode()) == np.array(Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
