@@ -1,4 +1,4 @@
-"""Image and audio arithmetic as columns."""
+"""Audio arithmetic and order statistics as columns."""
 
 from __future__ import annotations
 
@@ -10,62 +10,6 @@ from .text import round_half_up
 CHUNK_SECONDS, OVERLAP_SECONDS, RATE = 30, 2, 16_000
 
 
-def luma(r: Column, g: Column, b: Column) -> Column:
-    return F.floor((299 * r + 587 * g + 114 * b) / 1000)
-
-
-def stretch(v: Column, lo: Column, hi: Column) -> Column:
-    """Contrast stretched to 0..255; ranges under 40 stay."""
-    return F.when(hi - lo < 40, v).otherwise(round_half_up((v - lo) * 255.0 / (hi - lo)))
-
-
-def detector_dims(w: Column, h: Column) -> Column:
-    """Detector input: longest side 960 at most, 16 at least, rounded up to 32."""
-    r = F.least(F.lit(1.0), 960.0 / F.greatest(w, h))
-
-    def side(x: Column) -> Column:
-        return (F.ceil(F.greatest(F.lit(16), round_half_up(x * r)) / 32.0) * 32).cast("int")
-
-    return F.struct(side(w).alias("w"), side(h).alias("h"))
-
-
-def recognizer_width(w: Column, h: Column) -> Column:
-    """Recognizer input 48 high: 8 to 480 wide, rounded up to 8."""
-    return (F.ceil(F.greatest(F.lit(8), F.least(F.lit(480), round_half_up(48.0 * w / h))) / 8.0) * 8).cast("int")
-
-
-def unclip(box: Column, scale_x: Column, scale_y: Column, sw: Column, sh: Column) -> Column:
-    """A detector box scaled to the image, clamped, and widened; struct of x0, y0, x1, y1."""
-
-    def clamp(x: Column, top: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(top.cast("long"), round_half_up(x)))
-
-    x0, y0 = clamp(box["x0"] * scale_x, sw), clamp(box["y0"] * scale_y, sh)
-    x1, y1 = clamp(box["x1"] * scale_x, sw), clamp(box["y1"] * scale_y, sh)
-    w, h = x1 - x0, y1 - y0
-    # a box without area has no offset to widen by
-    offset = F.coalesce(round_half_up(F.try_divide(w * h, 2.0 * (w + h)) * 1.5), F.lit(0))
-    ex, ey = F.greatest(offset, round_half_up(w * 0.1)), F.greatest(offset, round_half_up(h * 0.4))
-    return F.struct(
-        F.greatest(F.lit(0), x0 - ex).cast("int").alias("x0"),
-        F.greatest(F.lit(0), y0 - ey).cast("int").alias("y0"),
-        F.least(sw.cast("long"), x1 + ex).cast("int").alias("x1"),
-        F.least(sh.cast("long"), y1 + ey).cast("int").alias("y1"),
-    )
-
-
-def text_boxes(boxes: Column, scale_x: Column, scale_y: Column, sw: Column, sh: Column) -> Column:
-    """Boxes of an image: widened, those under 3 pixels dropped, by y then x."""
-    wide = F.transform(boxes, lambda b: unclip(b, scale_x, scale_y, sw, sh))
-    kept = F.filter(wide, lambda b: (b["x1"] - b["x0"] >= 3) & (b["y1"] - b["y0"] >= 3))
-    return F.transform(F.array_sort(F.transform(kept, lambda b: F.struct(b["y0"], b["x0"], b["x1"], b["y1"]))), lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1")))
-
-
-def raster_scale(w: Column, h: Column, longest: int = 2200) -> Column:
-    """Scale at which a page is drawn."""
-    return F.least(F.lit(2.0), F.lit(float(longest)) / F.greatest(w, h))
-
-
 def chunk_bounds(n: Column, size: int = CHUNK_SECONDS * RATE, overlap: int = OVERLAP_SECONDS * RATE) -> Column:
     """Array of (chunk_no, start, end) of ``n`` samples: windows that overlap, until one reaches the end."""
     hop = size - overlap
@@ -77,10 +21,6 @@ def duration_seconds(samples: Column) -> Column:
     return round_half_up(samples / float(RATE)).cast("long")
 
 
-def clamp_percent(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
-
-
 def upper_median(values: Column) -> Column:
     """Middle value, the upper of two; 0 of none."""
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)).otherwise(F.lit(0))

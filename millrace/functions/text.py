@@ -50,7 +50,7 @@ def format_bytes(n: Column) -> Column:
     )
 
 
-#: Markdown marks taken off, in order: (pattern, replacement).
+#: Markdown marks taken off, in order: (pattern, replacement).
 RAW_STEPS = (
     (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
     (r"\[([^\]]*)\]\([^)]*\)", "$1"),
@@ -72,7 +72,7 @@ def raw_text(markdown: Column) -> Column:
     return trim(markdown)
 
 
-#: Blocks of Arabic script.
+#: Blocks of Arabic script.
 RTL = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 
 
@@ -177,10 +177,6 @@ def phase_label(phase: Column) -> Column:
     return F.coalesce(F.element_at(names, phase), phase)
 
 
-def ui_phase(phase: Column, fallback: Column) -> Column:
-    return F.when(phase.isin("downloading-model", "loading-model"), "model").otherwise(fallback)
-
-
 def mime(format: Column) -> Column:
     kinds = F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair))
     return F.coalesce(F.element_at(kinds, format), F.lit(""))

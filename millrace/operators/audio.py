@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import chunk_bounds
+from ..functions.geometry import CHUNK_SECONDS, OVERLAP_SECONDS
 from ..functions.lazy import bound
 from ..functions.text import trim, words
 
@@ -70,10 +70,10 @@ def _low_or_none(ws: Column) -> Column:
     return F.when(F.size(ws) > 0, _low(ws)).otherwise(F.array().cast("array<string>"))
 
 
-def chunks(docs: DataFrame, id_col: str, samples_col: str) -> DataFrame:
-    """(id, chunk_no, samples): one row a chunk, so that a long recording spreads over tasks."""
-    bounds = chunk_bounds(F.size(samples_col))
-    return docs.select(id_col, samples_col, F.explode(bounds).alias("c")).select(id_col, F.col("c.chunk_no").alias("chunk_no"), F.slice(samples_col, (F.col("c.start") + 1).cast("int"), (F.col("c.end") - F.col("c.start")).cast("int")).alias("samples"))
+def event_windows(rows: DataFrame, ts: str = "ts") -> DataFrame:
+    """(start, end, n): rows counted in the windows of recordings, 30 seconds every 28, by event time; of a stream, too."""
+    over = F.window(ts, f"{CHUNK_SECONDS} seconds", f"{CHUNK_SECONDS - OVERLAP_SECONDS} seconds")
+    return rows.groupBy(over.alias("w")).agg(F.count("*").alias("n")).select("w.start", "w.end", "n")
 
 
 def transcripts(parts: DataFrame, id_col: str, order_col: str = "chunk_no", text_col: str = "text") -> DataFrame:

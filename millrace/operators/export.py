@@ -11,11 +11,25 @@ from ..functions.text import trim, zip_entry_name
 from ..sources.archive import build_zip
 
 
+#: Parts in which the rows of one name are numbered.
+PARTS = 64
+
+
 def unique_names(rows: DataFrame, name: str, order: str, to: str = "entry") -> DataFrame:
-    """Repeats of a name are numbered before their extension; the numbered names are not checked again."""
-    nth = F.row_number().over(W.partitionBy(name).orderBy(order)) - 1
+    """Repeats of a name are numbered before their extension, in the order of ``order``, a number; the numbered names are
+    not checked again. A name that very many rows share is numbered in ranges of ``order``, each by itself, after the
+    rows of the ranges before it."""
+    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    width = max(((ends.hi or 0) - (ends.lo or 0) + 1) / PARTS, 1e-9)
+    dealt = rows.withColumn("_part", F.coalesce(F.floor((F.col(order) - F.lit(ends.lo or 0)) / F.lit(width)), F.lit(-1)))
+    sizes = dealt.groupBy(name, "_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(name).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    met = dealt.withColumn("_at", F.row_number().over(W.partitionBy(name, "_part").orderBy(order)))
+    both = before.select(F.col(name).alias("_name_"), F.col("_part").alias("_part_"), "_before")
+    nth = met.join(both, met[name].eqNullSafe(both["_name_"]) & (met["_part"] == both["_part_"])).withColumn("_nth", F.col("_before") + F.col("_at") - 1)
     numbered = F.regexp_replace(F.col(name), r"\.md$", "")
-    return rows.withColumn("_nth", nth).withColumn(to, F.when((F.col("_nth") == 0) | ~F.endswith(name, F.lit(".md")), F.col(name)).otherwise(F.concat(numbered, F.lit(" ("), F.col("_nth").cast("string"), F.lit(").md")))).drop("_nth")
+    entry = F.when((F.col("_nth") == 0) | ~F.endswith(name, F.lit(".md")), F.col(name)).otherwise(F.concat(numbered, F.lit(" ("), F.col("_nth").cast("string"), F.lit(").md")))
+    return nth.withColumn(to, entry).drop("_nth", "_part", "_at", "_name_", "_part_", "_before")
 
 
 def combined_markdown(order: Column, name: Column, markdown: Column, status: Column) -> Column:

@@ -1,15 +1,16 @@
-"""The keyed history of conversions, kept as Parquet. Each change writes a new version beside the old one and then
-points to it, so readers never see a path that is being overwritten."""
+"""The keyed history of conversions, kept as Parquet. Each change writes new versions of some parts beside the old ones
+and then a new state, so readers never see a path that is being overwritten."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import trim
+from ..functions.text import trim, words
 from ..sources.schema import RESULT
 
 MOST_IN_MEMORY = 200
@@ -62,52 +63,113 @@ def exportable(history: DataFrame) -> DataFrame:
     return history.where(F.col("status") == "ok")
 
 
-def edited(history: DataFrame, edits: DataFrame) -> DataFrame:
-    """``history`` after edits (id, text): the trimmed text where the untrimmed one differs."""
-    new = edits.groupBy("id").agg(F.last("text").alias("_text"))
+def edited(history: DataFrame, edits: DataFrame, order: str | None = None) -> DataFrame:
+    """``history`` after edits (id, text): the trimmed text where the untrimmed one differs. Of several edits of a row the
+    last by ``order`` counts, else the largest text."""
+    new = edits.groupBy("id").agg((F.max_by("text", order) if order else F.max("text")).alias("_text"))
     met = history.join(new, "id", "left")
     changed = F.col("_text").isNotNull() & ~F.col("_text").eqNullSafe(F.col("markdown"))
     return met.withColumn("markdown", F.when(changed, trim(F.col("_text"))).otherwise(F.col("markdown"))).drop("_text").select(*history.columns)
 
 
+def session(rows: DataFrame, sequence: str) -> DataFrame:
+    """Results of a session as they are shown: the one that came last is first."""
+    return rows.orderBy(F.col(sequence).desc())
+
+
+def last(jobs: Column, n: int) -> Column:
+    """The last ``n`` of an array, all of a shorter one."""
+    return F.slice(jobs, F.greatest(F.size(jobs) - n, F.lit(0)) + 1, n)
+
+
+def summary(history: DataFrame) -> DataFrame:
+    """One row: conversions, those that can be exported, those that failed, and the words of the former."""
+    ok = F.col("status") == "ok"
+    count = F.sum(F.when(ok, F.size(words(F.col("markdown")))).otherwise(0))
+    return history.agg(F.count("*").alias("n"), F.count_if(ok).alias("exportable"), F.count_if(~ok).alias("failed"), F.coalesce(count, F.lit(0)).alias("words"))
+
+
 def combined(session: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of the session and of the store, repeats and all."""
     return session.unionByName(stored, allowMissingColumns=True)
 
 
 class Store:
-    """History under a path: data in versioned folders, and a one-row table that names the current one."""
+    """History under a path: rows in ``PARTS`` parts by a hash of their ids, each part a folder for each version of it, and a
+    list of states, each naming the version of every part. A change rewrites the parts that it touches; a state is
+    written by a rename that fails where another writer was first. Versions that no state of the last ``KEPT`` names go."""
+
+    PARTS, KEPT = 16, 3
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._fs = self._at("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> str | None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return None
-        # pointers are appended, so that one that is being written hides none before it
-        return self.spark.read.schema("version string, n long").json(f"{self.path}/current").agg(F.max_by("version", "n")).first()[0]
+    def _states(self) -> list[int]:
+        if not self._fs.exists(self._at("states")):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._at("states"))]
+        return sorted(int(n) for n in names if n.isdigit())
 
-    def read(self) -> DataFrame:
-        version = self._pointer()
-        return self.spark.createDataFrame([], RESULT) if version is None else self.spark.read.schema(RESULT).parquet(f"{self.path}/{version}")
+    def _state(self, n: int | None) -> dict[int, str]:
+        if n is None:
+            return {}
+        return {r.part: r.version for r in self.spark.read.schema("part int, version string").json(f"{self.path}/states/{n}").collect()}
+
+    def _last(self) -> tuple[int | None, dict[int, str]]:
+        n = max(self._states(), default=None)
+        return n, self._state(n)
 
-    def _put(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        last = 0 if self._pointer() is None else self.spark.read.schema("version string, n long").json(f"{self.path}/current").agg(F.max("n")).first()[0]
-        self.spark.createDataFrame([(version, last + 1)], "version string, n long").coalesce(1).write.mode("append").json(f"{self.path}/current")
+    def _rows(self, state: dict[int, str], parts: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/rows/{state[p]}" for p in sorted(state) if parts is None or p in parts]
+        return self.spark.read.schema(RESULT).parquet(*paths) if paths else self.spark.createDataFrame([], RESULT)
+
+    def read(self) -> DataFrame:
+        return self._rows(self._last()[1])
+
+    def _commit(self, n: int | None, state: dict[int, str]) -> None:
+        new = 0 if n is None else n + 1
+        part = self._at(f"states/.{uuid.uuid4().hex}")
+        self.spark.createDataFrame([*state.items()], "part int, version string").coalesce(1).write.json(part.toString())
+        # a folder moved onto one that exists would land inside of it: look first, then look what became of it
+        if self._fs.exists(self._at(f"states/{new}")) or not self._fs.rename(part, self._at(f"states/{new}")):
+            self._fs.delete(part, True)
+            raise RuntimeError("the history was changed by another writer; read it again")
+        if self._fs.exists(self._at(f"states/{new}/{part.getName()}")):
+            self._fs.delete(self._at(f"states/{new}/{part.getName()}"), True)
+            raise RuntimeError("the history was changed by another writer; read it again")
+        for old in self._states()[: -self.KEPT]:
+            gone = set(self._state(old).values()).difference(*(self._state(k).values() for k in self._states()[-self.KEPT :]))
+            for version in gone:
+                self._fs.delete(self._at(f"rows/{version}"), True)
+            self._fs.delete(self._at(f"states/{old}"), True)
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(self.PARTS)).cast("int")
+
+    def _change(self, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        n, state = self._last()
+        touched = sorted(r[0] for r in ids.select(self._part().alias("p")).distinct().collect())
+        if not touched:
+            return
+        version = uuid.uuid4().hex
+        change(self._rows(state, touched)).withColumn("part", self._part()).write.partitionBy("part").parquet(f"{self.path}/rows/{version}")
+        kept = {p: v for p, v in state.items() if p not in touched}
+        written = [p for p in touched if self._fs.exists(self._at(f"rows/{version}/part={p}"))]
+        self._commit(n, kept | {p: f"{version}/part={p}" for p in written})
 
     def add(self, results: DataFrame) -> None:
         """Upsert; failed conversions are not kept."""
-        self._put(upsert(self.read(), exportable(results)))
+        good = exportable(results)
+        self._change(good, lambda rows: upsert(rows, good))
 
     def delete(self, ids: DataFrame) -> None:
-        self._put(delete(self.read(), ids))
+        self._change(ids, lambda rows: delete(rows, ids))
 
     def clear(self) -> None:
-        self._put(self.spark.createDataFrame([], RESULT))
+        self._commit(self._last()[0], {})
 
 
 def ranked(rows: DataFrame, most: int, *order: Column) -> DataFrame:

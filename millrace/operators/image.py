@@ -1,16 +1,12 @@
-"""Raster images before recognition, in numpy: one fused pandas function a row, rows never exploded to pixels."""
+"""Raster images before recognition, in numpy: rows are never exploded to pixels."""
 
 from __future__ import annotations
 
 import math
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-
-from ..functions.lazy import pandas_function
 
 
 def _round(x: np.ndarray) -> np.ndarray:
@@ -236,21 +232,3 @@ def decode_image(data: bytes) -> np.ndarray:
     if color == 3:
         return palette[img[..., 0]]
     return np.repeat(img[..., :1], 3, axis=2) if color in (0, 4) else img[..., :3]
-
-
-@pandas_function("struct<w:int,h:int,px:binary,error:string>")
-def prepared(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Decoded and preprocessed pixels (gray bytes) of image files, or an error."""
-    for series in contents:
-        rows = []
-        for data in series:
-            try:
-                img = decode_image(bytes(data))
-                try:
-                    img = preprocess(img)
-                except Exception:  # recognition can still try the image as it is
-                    img = img[..., :3]
-                rows.append((img.shape[1], img.shape[0], img[..., 0].tobytes(), None))
-            except Exception as e:
-                rows.append((None, None, None, str(e)))
-        yield pd.DataFrame(rows, columns=["w", "h", "px", "error"])

@@ -27,15 +27,6 @@ def page_sections(docs: DataFrame, id_col: str, markdown_col: str) -> DataFrame:
     return last.select(id_col, "page", "text")
 
 
-def page_spine(docs: DataFrame, id_col: str, count_col: str) -> DataFrame:
-    """(id, page) for pages 1 to the page count."""
-    return docs.where(F.col(count_col) > 0).select(id_col, F.explode(F.sequence(F.lit(1), F.col(count_col).cast("int"))).alias("page"))
-
-
-def flagged_pages(docs: DataFrame, id_col: str, pages_col: str) -> DataFrame:
-    return docs.select(id_col, F.explode(pages_col).alias("page"))
-
-
 def merge(markdown: Column, page_count: Column, ocr: Column) -> Column:
     """Markdown of a document from its text layer and a map of recognized text by page.
 

@@ -3,13 +3,18 @@ empty slot gives error rows, never made-up text."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+from ..sources.documents import pdf_image, whole
 
 WEAK = 0.5
 
@@ -27,7 +32,7 @@ class Line(NamedTuple):
 
 #: image bytes and language -> lines; samples and language -> text
 OcrEngine = Callable[[bytes, str], list[Line]]
-AsrEngine = Callable[[list, str], str]
+AsrEngine = Callable[[np.ndarray, str], str]
 
 
 def dictionary(spark: SparkSession, path: str) -> list[str]:
@@ -51,29 +56,34 @@ def _missing(kind: str):
     return engine
 
 
-def _whole(data: bytes, page: int) -> bytes:
-    """No renderer: engines get the document itself."""
-    return data
+def page_picture(data: bytes, page: int) -> bytes:
+    """The image that fills a scanned page; pages of no image need a renderer, and engines get the document itself."""
+    try:
+        return pdf_image(data, page)
+    except ValueError:
+        return data
 
 
 @dataclass(frozen=True)
 class Engines:
-    """Picklable callables; ``render`` draws a page (from 1) of a document as an image."""
+    """Picklable callables; ``render`` draws a page (from 1) of a document as an image. Confidences are divided by the
+    scale of their engine: the fallback's are percentages."""
 
     ocr: OcrEngine = field(default_factory=lambda: _missing("OCR"))
     ocr_fallback: OcrEngine = field(default_factory=lambda: _missing("fallback OCR"))
     asr: AsrEngine = field(default_factory=lambda: _missing("speech"))
     asr_name: str = "whisper-tiny"
-    render: Callable[[bytes, int], bytes] = _whole
+    render: Callable[[bytes, int], bytes] = page_picture
+    ocr_scale: float = 1.0
+    fallback_scale: float = 100.0
 
 
-OCR_RESULT = "struct<text:string,lines:array<struct<text:string,confidence:double>>,mean_confidence:double,engine:string,code:string,message:string>"
+OCR_RESULT = "struct<text:string,mean_confidence:double,engine:string,code:string,message:string,ms:bigint>"
+ASR_RESULT = "struct<text:string,code:string,message:string,ms:bigint>"
 
 
-def _shaped(lines: list[Line], engine: str) -> tuple:
-    kept = [x for x in lines if x.text]
-    scale = 100.0 if any(x.confidence > 1 for x in kept) else 1.0
-    kept = [Line(x.text, x.confidence / scale) for x in kept]
+def _shaped(lines: list[Line], scale: float, engine: str) -> tuple:
+    kept = [Line(x.text, x.confidence / scale) for x in lines if x.text]
     mean = sum(x.confidence for x in kept) / len(kept) if kept else 0.0
     return "\n".join(x.text for x in kept), [tuple(x) for x in kept], mean, engine, None, None
 
@@ -81,99 +91,104 @@ def _shaped(lines: list[Line], engine: str) -> tuple:
 def run_ocr(image: bytes, language: str, engines: Engines) -> tuple:
     """The primary engine; the fallback if that fails, finds no line or is unsure; an error if the fallback fails."""
     try:
-        first = _shaped(engines.ocr(image, language), "rapidocr")
+        first = _shaped(engines.ocr(image, language), engines.ocr_scale, "rapidocr")
         if first[1] and first[2] >= WEAK:
             return first
     except Exception:
         pass
     try:
-        return _shaped(engines.ocr_fallback(image, language), "tesseract")
+        return _shaped(engines.ocr_fallback(image, language), engines.fallback_scale, "tesseract")
     except EngineError as e:
         return None, None, None, None, e.code, str(e)
     except Exception as e:
         return None, None, None, None, "internal", str(e)
 
 
+def _ms(start: float) -> int:
+    return int((time.perf_counter() - start) * 1000)
+
+
 def ocr_column(engines: Engines):
     """Recognition of (image, language); null images give nulls."""
 
     @F.pandas_udf(OCR_RESULT)
     def recognize(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for images, languages in batches:
-            rows = [(None,) * 6 if i is None else run_ocr(bytes(i), lang, engines) for i, lang in zip(images, languages, strict=True)]
-            yield pd.DataFrame(rows, columns=["text", "lines", "mean_confidence", "engine", "code", "message"])
+            rows = []
+            for data, language in zip(images, languages, strict=True):
+                start = time.perf_counter()
+                if data is None:
+                    rows.append((None,) * 6)
+                    continue
+                text, _, *rest = run_ocr(bytes(data), language, engines)
+                rows.append((text and whole(text), *rest, _ms(start)))
+            yield pd.DataFrame(rows, columns=["text", "mean_confidence", "engine", "code", "message", "ms"])
 
     return recognize
 
 
-def ocr_pages_column(engines: Engines):
-    """Recognition of (document, pages, language): text by page, a fallback label for each page that needed one, and the
-    first error; null documents give nulls."""
+def pictures_column(engines: Engines):
+    """The pages (numbers) of a document as images, or the reason why there is none; null documents give nulls."""
 
-    @F.pandas_udf("struct<pages:map<int,string>,fallbacks:array<string>,code:string,message:string>")
-    def recognize(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for documents, numbers, languages in batches:
+    @F.pandas_udf("array<struct<page:int,image:binary,message:string>>")
+    def draw(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for documents, numbers in batches:
             rows = []
-            for data, pages, lang in zip(documents, numbers, languages, strict=True):
-                text, fallbacks, error = {}, [], (None, None)
+            for data, pages in zip(documents, numbers, strict=True):
+                found = []
                 for page in [] if data is None or pages is None else pages:
                     try:
-                        found = run_ocr(engines.render(bytes(data), int(page)), lang, engines)
+                        found.append({"page": int(page), "image": engines.render(bytes(data), int(page)), "message": None})
                     except Exception as e:
-                        found = None, None, None, None, "internal", str(e)
-                    text[int(page)] = found[0] or ""
-                    fallbacks += ["OCR: Tesseract"] * (found[3] == "tesseract")
-                    if found[4] and not error[0]:
-                        error = found[4:]
-                rows.append((text, fallbacks, *error))
-            yield pd.DataFrame(rows, columns=["pages", "fallbacks", "code", "message"])
+                        found.append({"page": int(page), "image": None, "message": whole(str(e))})
+                rows.append(found)
+            yield pd.Series(rows)
 
-    return recognize
+    return draw
 
 
 def asr_column(engines: Engines):
-    @F.pandas_udf("struct<text:string,code:string,message:string>")
+    """Transcription of (samples, language); null samples give nulls."""
+
+    @F.pandas_udf(ASR_RESULT)
     def transcribe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for samples, languages in batches:
             rows = []
             for s, lang in zip(samples, languages, strict=True):
+                start = time.perf_counter()
+                if s is None:
+                    rows.append((None,) * 4)
+                    continue
                 try:
-                    rows.append((engines.asr(list(s), lang), None, None))
+                    rows.append((whole(engines.asr(np.asarray(s, np.float32), lang)), None, None, _ms(start)))
                 except EngineError as e:
-                    rows.append((None, e.code, str(e)))
+                    rows.append((None, e.code, str(e), _ms(start)))
                 except Exception as e:
-                    rows.append((None, "internal", str(e)))
-            yield pd.DataFrame(rows, columns=["text", "code", "message"])
+                    rows.append((None, "internal", whole(str(e)), _ms(start)))
+            yield pd.DataFrame(rows, columns=["text", "code", "message", "ms"])
 
     return transcribe
 
 
-def quality(lines: DataFrame, *keys: str) -> DataFrame:
-    """Lines (keys, text, confidence) as n, mean_confidence (0 of none) and weak."""
-    kept = F.when(F.col("text") != "", F.col("confidence"))
-    out = lines.groupBy(*keys).agg(F.count(kept).alias("n"), F.coalesce(F.avg(kept), F.lit(0.0)).alias("mean_confidence"))
-    return out.withColumn("weak", (F.col("n") == 0) | (F.col("mean_confidence") < WEAK))
+class OcrLines:
+    """SQL: ``FROM images, LATERAL ocr_lines(content, 'en')``: line_no, text, confidence; no rows where recognition fails."""
 
+    engines: Engines
 
-def ctc_collapse(steps: DataFrame, key: str, order: str, letter: str, blank: str) -> DataFrame:
-    """(key, decoded): per key, letters in order without blanks and without repeats of the one before."""
-    from pyspark.sql import Window as W
+    def eval(self, content: bytes, language: str) -> Iterator[tuple]:
+        found = run_ocr(bytes(content or b""), language, self.engines)
+        for k, (text, confidence) in enumerate(found[1] or []):
+            yield k, text, float(confidence)
 
-    before = F.lag(letter).over(W.partitionBy(key).orderBy(order))
-    kept = steps.withColumn("_p", before).where((F.col(letter) != blank) & ~F.col(letter).eqNullSafe(F.col("_p")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, letter))), lambda x: x[letter])
-    return kept.groupBy(key).agg(F.array_join(ordered, "").alias("decoded"))
 
+def register(spark: SparkSession, engines: Engines) -> None:
+    """Make ``ocr_lines`` known to SQL, with these engines."""
+    own = type("OcrLines", (OcrLines,), {"engines": engines})
+    spark.udtf.register("ocr_lines", udtf(own, returnType="line_no int, text string, confidence double"))
 
-def otsu_thresholds(values: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, threshold) of (key, value 0..255) rows: the last threshold of the largest variance between classes. A key
-    has 256 distinct values at most, so its window is small however many rows it has."""
-    from pyspark.sql import Window as W
 
-    bins = values.groupBy(key, value).agg(F.count("*").alias("c"))
-    upto, whole = W.partitionBy(key).orderBy(value), W.partitionBy(key)
-    v = F.col(value).cast("double")
-    x = bins.withColumns({"wb": F.sum("c").over(upto), "sb": F.sum(v * F.col("c")).over(upto), "n": F.sum("c").over(whole), "s": F.sum(v * F.col("c")).over(whole), "nxt": F.lead(value).over(upto)})
-    mb, mf = F.col("sb") / F.col("wb"), (F.col("s") - F.col("sb")) / (F.col("n") - F.col("wb"))
-    between = F.when(F.col("nxt").isNotNull(), F.col("wb").cast("double") * (F.col("n") - F.col("wb")) * F.pow(mb - mf, F.lit(2)))
-    return x.withColumn("b", between).groupBy(key).agg(F.coalesce(F.max_by(F.col("nxt") - 1, F.when(F.col("b").isNotNull(), F.struct("b", value))), F.lit(128)).cast("int").alias("threshold"))
+def quality(lines: DataFrame, *keys: str) -> DataFrame:
+    """Lines (keys, text, confidence) as n, mean_confidence (0 of none) and weak."""
+    kept = F.when(F.col("text") != "", F.col("confidence"))
+    out = lines.groupBy(*keys).agg(F.count(kept).alias("n"), F.coalesce(F.avg(kept), F.lit(0.0)).alias("mean_confidence"))
+    return out.withColumn("weak", (F.col("n") == 0) | (F.col("mean_confidence") < WEAK))

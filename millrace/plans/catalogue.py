@@ -125,16 +125,16 @@ SIZES = [(0,), (1023,), (1024,), (1587,), (1048575,), (1048576,), (5767168,), (1
 
 
 @query(f"""
-    WITH s(n) AS (VALUES {values(SIZES)}), x AS (SELECT n FROM s UNION ALL SELECT n_chars FROM documents WHERE (n_chars * 10) % 1024 <> 512),
-    y AS (SELECT n, CASE WHEN n < 1048576 THEN CAST(floor(n / 1024.0 * 10 + 0.5) AS BIGINT) WHEN n < 1073741824 THEN CAST(floor(n / 1048576.0 * 10 + 0.5) AS BIGINT) ELSE CAST(floor(n / 1073741824.0 * 100 + 0.5) AS BIGINT) END AS v FROM x)
+    WITH s(n) AS (VALUES {values(SIZES)}), x AS (SELECT n FROM s UNION ALL SELECT n_chars FROM documents),
+    y AS (SELECT n, CASE WHEN n < 1048576 THEN (n * 20 + 1024) // 2048 WHEN n < 1073741824 THEN (n * 20 + 1048576) // 2097152 ELSE (n * 200 + 1073741824) // 2147483648 END AS v FROM x)
     SELECT n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (v // 10) || '.' || (v % 10) || ' KB' WHEN n < 1073741824 THEN (v // 10) || '.' || (v % 10) || ' MB'
-        ELSE (v // 100) || '.' || lpad(CAST(v % 100 AS VARCHAR), 2, '0') || ' GB' END AS label FROM y""")
+        WHEN n IS NOT NULL THEN (v // 100) || '.' || lpad(CAST(v % 100 AS VARCHAR), 2, '0') || ' GB' END AS label FROM y""")
 def format_bytes(spark, sf_dir):
     rows = spark.createDataFrame(SIZES, "n long").unionByName(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("n")))
     return rows.select("n", text.format_bytes(F.col("n")).alias("label"))
 
 
-_SPACE = text.SPACE
+SPACE = _SPACE = text.SPACE
 
 
 def _raw_sql(column: str) -> str:
@@ -269,14 +269,19 @@ def chunk_bounds(spark, sf_dir):
 @query("""
     WITH e AS (SELECT user_id, row_number() OVER w - 1 AS i, value AS v, coalesce(lead(value) OVER w, value) AS nxt, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
     o AS (SELECT user_id, unnest(generate_series(0, greatest(1, CAST(floor(n / 2.5 + 0.5) AS BIGINT)) - 1)) AS j FROM (SELECT DISTINCT user_id, n FROM e))
-    SELECT o.user_id, o.j, round(v + (nxt - v) * (j * 2.5 - floor(j * 2.5)), 6) AS v FROM o JOIN e ON e.user_id = o.user_id AND e.i = least(CAST(floor(j * 2.5) AS BIGINT), n - 1)""")
+    SELECT o.user_id, o.j, CAST(CAST(v + (nxt - v) * (CAST(j AS DOUBLE) * 2.5 - floor(CAST(j AS DOUBLE) * 2.5)) AS FLOAT) AS DOUBLE) AS v FROM o JOIN e ON e.user_id = o.user_id AND e.i = least(CAST(floor(j * 2.5) AS BIGINT), n - 1)""")
 def resample_linear(spark, sf_dir):
     """Each user's values as samples at 40 kHz, brought to 16 kHz."""
-    w = W.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("value").alias("a"), F.coalesce(F.lead("value").over(w), "value").alias("b"))
-    spine = e.groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.floor(F.col("n") / 2.5 + 0.5)) - 1)).alias("j"))
-    at = spine.select("user_id", "j", F.least(F.floor(F.col("j") * 2.5), F.col("n") - 1).alias("i"), (F.col("j") * 2.5 - F.floor(F.col("j") * 2.5)).alias("f"))
-    return at.join(e, ["user_id", "i"]).select("user_id", "j", F.round(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"), 6).alias("v"))
+    from ..sources.audio import resample
+
+    def run(batches):
+        import numpy as np
+
+        for pdf in batches:
+            yield pdf.assign(v=[resample(np.asarray(v, float), 40_000) for v in pdf["v"]])
+
+    values = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
+    return values.mapInPandas(run, "user_id long, v array<float>").select("user_id", F.posexplode("v").alias("j", "v")).select("user_id", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -328,25 +333,27 @@ _LETTERS = "SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents"
 
 
 @query(f"""
-    WITH v AS (SELECT doc_id, unicode(ch) AS v FROM ({_LETTERS}) WHERE ch <> '' AND unicode(ch) <= 255), b AS (SELECT doc_id, v, count(*) AS c FROM v GROUP BY ALL),
+    WITH v AS (SELECT doc_id, least(unicode(ch), 255) AS v FROM ({_LETTERS}) WHERE ch <> ''), b AS (SELECT doc_id, v, count(*) AS c FROM v GROUP BY ALL),
     x AS (SELECT doc_id, v, sum(c) OVER w AS wb, sum(CAST(v AS DOUBLE) * c) OVER w AS sb, sum(c) OVER (PARTITION BY doc_id) AS n, sum(CAST(v AS DOUBLE) * c) OVER (PARTITION BY doc_id) AS s, lead(v) OVER w AS nxt FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY v)),
     y AS (SELECT *, CASE WHEN nxt IS NOT NULL THEN CAST(wb AS DOUBLE) * (n - wb) * pow(sb / wb - (s - sb) / (n - wb), 2) END AS bt FROM x)
     SELECT doc_id, CAST(coalesce(arg_max(nxt - 1, (bt, v)) FILTER (bt IS NOT NULL), 128) AS INTEGER) AS threshold FROM y GROUP BY doc_id""")
 def histogram_otsu(spark, sf_dir):
-    letters = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
-    grays = letters.select("doc_id", F.when(F.octet_length("ch") > 2, 256).otherwise(F.ascii("ch")).alias("v")).where("v <= 255")
-    return recognition.otsu_thresholds(grays, "doc_id", "v")
+    """Texts as rows of pixels: their code points, 255 at most."""
+    from .media import gray_letters
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rows.mapInPandas(lambda b: gray_letters(b, lambda img: (image.otsu(img),), ["threshold"]), "doc_id long, threshold int")
 
 
 @query(f"""
-    WITH v AS (SELECT doc_id, unicode(ch) AS v FROM ({_LETTERS}) WHERE ch <> '' AND unicode(ch) <= 255)
-    SELECT doc_id, min(v) AS lo, max(v) AS hi, CAST(CASE WHEN max(v) - min(v) < 40 THEN max(v) ELSE 255 END AS BIGINT) AS top, CAST(floor(CASE WHEN max(v) - min(v) < 40 THEN 100 ELSE (100 - min(v)) * 255.0 / (max(v) - min(v)) END + 0.5) AS BIGINT) AS hundred FROM v GROUP BY doc_id""")
+    WITH v AS (SELECT doc_id, least(unicode(ch), 255) AS v FROM ({_LETTERS}) WHERE ch <> ''), m AS (SELECT doc_id, min(v) AS lo, max(v) AS hi FROM v GROUP BY doc_id)
+    SELECT doc_id, lo, hi, CAST(sum(CASE WHEN hi - lo < 40 THEN v ELSE floor((v - lo) * (CAST(255 AS DOUBLE) / (hi - lo)) + 0.5) END) AS BIGINT) AS total FROM v JOIN m USING (doc_id) GROUP BY doc_id, lo, hi""")
 def contrast_minmax(spark, sf_dir):
-    letters = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
-    grays = letters.select("doc_id", F.when(F.octet_length("ch") > 2, 256).otherwise(F.ascii("ch")).alias("v")).where("v <= 255")
-    ends = grays.groupBy("doc_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo, hi = F.col("lo"), F.col("hi")
-    return ends.select("doc_id", "lo", "hi", geometry.stretch(hi, lo, hi).cast("long").alias("top"), geometry.stretch(F.lit(100), lo, hi).cast("long").alias("hundred"))
+    """The same pixels, stretched: their sum."""
+    from .media import gray_letters
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rows.mapInPandas(lambda b: gray_letters(b, lambda img: (int(img.min()), int(img.max()), int(image.stretch(img).sum(dtype="int64"))), ["lo", "hi", "total"]), "doc_id long, lo int, hi int, total long")
 
 
 _GAPS = "SELECT user_id, ts, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events"
@@ -397,10 +404,19 @@ def latest_progress(spark, sf_dir):
     WITH e AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
     SELECT user_id, string_agg(event_type[1:2], '' ORDER BY ts, event_id) AS decoded FROM e WHERE event_type <> (SELECT min(event_type) FROM events) AND (p IS NULL OR p <> event_type) GROUP BY user_id""")
 def ctc_collapse(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    blank = e.agg(F.min("event_type").alias("blank"))
-    steps = e.join(F.broadcast(blank)).select("user_id", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") == F.col("blank"), "").otherwise(F.substring("event_type", 1, 2)).alias("letter"))
-    return recognition.ctc_collapse(steps, "user_id", "at", "letter", "")
+    """Each user's event types as the classes of a recognizer's steps, the first type as the blank."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    types = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
+
+    def run(batches):
+        import numpy as np
+
+        number = {t: k for k, t in enumerate(types)}
+        for pdf in batches:
+            yield pdf.assign(decoded=[image.ctc(9.0 * np.eye(len(types))[[number[t] for t in steps]], [t[:2] for t in types[1:]])[0] for steps in pdf["steps"]])[["user_id", "decoded"]]
+
+    steps = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("steps"))
+    return steps.mapInPandas(run, "user_id long, decoded string").where("decoded <> ''")
 
 
 SETTINGS = [(1, "auto", "whisper-tiny", "loading onnx-community/whisper-tiny now"), (2, "hi", "moonshine-base", "PP-OCRv3 Devanagari recognition"), (3, "ur", "whisper-base", None), (4, "xx", "moonshine-tiny", "nothing known"), (5, "en", "whisper-huge", "PP-OCRv3 mobile detection and PP-OCRv5 English recognition")]
@@ -439,9 +455,13 @@ BOXES = [(1, 1000, 500, 320, 160, 10, 10, 60, 20), (2, 1000, 500, 320, 160, 0, 0
     SELECT i, CAST(greatest(0, a - ex) AS INTEGER) AS x0, CAST(greatest(0, b - ey) AS INTEGER) AS y0, CAST(least(sw, c + ex) AS INTEGER) AS x1, CAST(least(sh, d + ey) AS INTEGER) AS y1,
         CAST(ceil(greatest(16, floor(sw * least(1.0, 960.0 / greatest(sw, sh)) + 0.5)) / 32.0) * 32 AS INTEGER) AS det_w, CAST(ceil(greatest(8, least(480, floor(48.0 * sw / sh + 0.5))) / 8.0) * 8 AS INTEGER) AS rec_w FROM e""")
 def box_geometry(spark, sf_dir):
-    s = spark.createDataFrame(BOXES, "i int, sw int, sh int, pw int, ph int, x0 int, y0 int, x1 int, y1 int")
-    box = geometry.unclip(F.struct("x0", "y0", "x1", "y1"), F.col("sw") / F.col("pw"), F.col("sh") / F.col("ph"), F.col("sw"), F.col("sh"))
-    return s.select("i", box.alias("b"), geometry.detector_dims(F.col("sw"), F.col("sh"))["w"].alias("det_w"), geometry.recognizer_width(F.col("sw"), F.col("sh")).alias("rec_w")).select("i", "b.x0", "b.y0", "b.x1", "b.y1", "det_w", "rec_w")
+    import pandas as pd
+
+    from .media import text_boxes
+
+    names = ["i", "x0", "y0", "x1", "y1", "det_w", "rec_w"]
+    rows = spark.createDataFrame(BOXES, "i int, sw int, sh int, pw int, ph int, x0 int, y0 int, x1 int, y1 int")
+    return rows.mapInPandas(lambda batches: (pd.DataFrame([text_boxes(*map(int, r)) for r in b.itertuples(index=False)], columns=names) for b in batches), ", ".join(f"{n} int" for n in names))
 
 
 @query()
@@ -486,3 +506,6 @@ def convert_documents(spark, sf_dir):
 
     files = as_files(table(spark, sf_dir, "documents")).select(F.col("name").alias("path"), "name", F.octet_length("content").cast("long").alias("length"), "content")
     return convert(files).select("id", "file_name", F.col("detected.format").alias("format"), F.md5("markdown").alias("md_md5"), "status", F.col("error.code").alias("code"))
+
+
+from . import media  # noqa: E402, F401  # registers its queries

@@ -1,7 +1,9 @@
 """Conversion of files to Markdown: classify, route by category, and bring all branches to one schema.
 
-One pass over the bytes serves all categories but audio and video, whose recordings are exploded into chunks in a second
-one. A Python reader gets the bytes of its own category and nulls for other rows. A failure is a row with an error."""
+Text and refused files go straight through. All others take a second path: a reader gets the bytes of its own category;
+then a file becomes rows of its own, one for what was read of it and one for each picture to recognize and each chunk
+to transcribe, which are dealt over all tasks, so that one large file is many tasks' work; and the texts come
+together again by one shuffle on the file, without pictures or samples. A failure is a row with an error."""
 
 from __future__ import annotations
 
@@ -10,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import chunk_bounds
 from ..functions.text import decode_text, effective_language, fence, trim
 from ..operators import audio, pages
-from ..operators.recognition import Engines, asr_column, ocr_column, ocr_pages_column
+from ..operators.recognition import Engines, asr_column, ocr_column, pictures_column
 from ..sources.audio import wav_samples
 from ..sources.classify import classified
 from ..sources.documents import analyze
@@ -31,12 +34,12 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def _result(rows: DataFrame, engine: Column, markdown: Column, warnings: Column, fallbacks: Column, code: Column, message: Column, confidence: Column | None = None) -> DataFrame:
+def _result(rows: DataFrame, engine: Column, markdown: Column, warnings: Column, fallbacks: Column, code: Column, message: Column, confidence: Column | None = None, spent: Column | None = None) -> DataFrame:
     """Rows (id, name, length, detected, ...) in the result schema; an error where ``code`` is not null."""
     bad = code.isNotNull()
     unknown = F.struct(F.lit("unknown").alias("category"), F.lit("unknown").alias("format"), F.lit(0.0).alias("confidence"), F.lit("—").alias("label"), _null("string").alias("reason"))
     ocr = _null("struct<mean_confidence:double>") if confidence is None else F.when(confidence.isNotNull(), F.struct(confidence.alias("mean_confidence")))
-    metadata = F.struct(F.when(bad, "").otherwise(engine).alias("engine"), fallbacks.cast("array<string>").alias("fallbacks_used"), F.lit(0).cast("long").alias("duration_ms"), F.col("length").cast("long").alias("size_bytes"), F.when(~bad, ocr).alias("ocr"))
+    metadata = F.struct(F.when(bad, "").otherwise(engine).alias("engine"), fallbacks.cast("array<string>").alias("fallbacks_used"), (F.lit(0) if spent is None else spent).cast("long").alias("duration_ms"), F.col("length").cast("long").alias("size_bytes"), F.when(~bad, ocr).alias("ocr"))
     return rows.select(
         "id",
         F.col("name").alias("file_name"),
@@ -56,42 +59,83 @@ def _fail(rows: DataFrame, code: Column, message: Column) -> DataFrame:
 
 
 def convert(files: DataFrame, engines: Engines | None = None, options: Options | None = None) -> DataFrame:
-    """Result rows of ``files`` (path, name, length, content). Ids are hashes of path and content, so reruns agree."""
+    """Result rows of ``files`` (path, name, length, content). Ids are hashes of path and content, so reruns agree,
+    and a file that is there twice is one result."""
     engines, options = engines or Engines(), options or Options()
     language = effective_language(F.lit(options.language))
     fits = files.where(F.col("length") <= options.max_file_size)
     keyed = classified(fits, options.strict).withColumn("id", F.sha2(F.concat_ws("|", "path", F.sha2("content", 256)), 256))
     large = too_large(files, options.max_file_size).withColumn("id", F.sha2("path", 256)).withColumn("detected", _null(DETECTED))
     out = _fail(large, F.col("error.code"), F.col("error.message"))
-    none, no_text, empty = F.array().cast("array<string>"), _null("string"), F.lit("")
-    kind, content = F.col("detected.category"), F.col("content")
+    none = F.array().cast("array<string>")
+    kind = F.col("detected.category")
     media = kind.isin("audio", "video")
-    rows = keyed.where(~media)
-    rows = rows.withColumn("a", analyze(F.when(kind == "document", content), F.col("detected.format")))
-    scanned = F.coalesce(F.size("a.pages_needing_ocr") > 0, F.lit(False))
-    rows = rows.withColumn("p", ocr_pages_column(engines)(F.when(scanned, content), F.col("a.pages_needing_ocr"), language)).withColumn("o", ocr_column(engines)(F.when(kind == "image", content), language))
-    refused, pdf = kind.isin("unsupported", "unknown"), F.col("a.page_count").isNotNull()
+    straight = kind.isin("text", "unsupported", "unknown")
+    rows, refused = keyed.where(straight), kind != "text"
     reason = F.coalesce(F.col("detected.reason"), F.concat(F.lit("Unsupported file type ("), F.col("detected.label"), F.lit(").")))
-    code = F.when(refused, F.col("detected.format")).otherwise(F.coalesce("a.code", "p.code", "o.code"))
-    message = F.when(refused, reason).otherwise(F.coalesce("a.message", "p.message", "o.message"))
+    # a file that is refused reports no size
+    rows = rows.withColumn("length", F.when(refused, 0).otherwise(F.col("length")))
+    out = out.unionByName(_result(rows, F.lit("text"), fence(decode_text(F.col("content"))), F.when(refused, F.array(reason)).otherwise(none), none, F.when(refused, F.col("detected.format")), reason))
+    read = _gathered(_recognized(_items(keyed.where(~straight), engines), engines, language))
+    scanned, pdf = F.coalesce(F.size("a.pages_needing_ocr") > 0, F.lit(False)), F.col("a.page_count").isNotNull()
+    first, texts = F.get("parts", F.lit(0)), F.transform("parts", lambda p: F.coalesce(p["text"], F.lit("")))
+    by_page = F.map_from_arrays(F.transform("parts", lambda p: p["no"]), texts)
+    said = audio.stitch_all(texts)
     markdown = (
-        F.when(kind == "text", fence(decode_text(content)))
-        .when(pdf, pages.merge(F.col("a.markdown"), F.col("a.page_count"), F.col("p.pages")))
+        F.when(pdf, pages.merge(F.col("a.markdown"), F.col("a.page_count"), by_page))
         .when(kind == "document", F.col("a.markdown"))
-        .otherwise(F.when(F.col("o.text") == "", "_No text detected._").otherwise(F.col("o.text")))
+        .when(kind == "image", F.when(first["text"] == "", "_No text detected._").otherwise(first["text"]))
+        .otherwise(F.when(said == "", "_No speech detected._").otherwise(said))
     )
-    engine = F.when(kind == "text", "text").when(pdf & scanned, "pdf-inspector+ocr").when(pdf, "pdf-inspector").when(kind == "document", "anydoc").otherwise("rapidocr")
-    warnings = F.when(refused, F.array(message)).when(kind == "image", F.array_compact(F.array(F.col("detected.reason"), F.when(trim(F.col("o.text")) == "", "No text was detected in this image.")))).otherwise(none)
-    fallbacks = F.when(kind == "image", F.array_compact(F.array(F.when(F.col("o.engine") == "tesseract", "OCR: Tesseract")))).otherwise(F.coalesce("p.fallbacks", none))
-    # a file that is refused reports no size
-    rows = rows.withColumn("length", F.when(refused, 0).otherwise(F.col("length")))
-    out = out.unionByName(_result(rows, engine, markdown, warnings, fallbacks, code, message, F.when(kind == "image", F.col("o.mean_confidence"))))
-    # audio and video: chunks of a long recording are transcribed apart, then stitched in order
-    heard = keyed.where(media).withColumn("w", wav_samples("content")).drop("content")
-    chunks = audio.chunks(heard.where("w.samples IS NOT NULL AND size(w.samples) > 0").select("id", F.col("w.samples").alias("samples")), "id", "samples")
-    said = chunks.withColumn("t", asr_column(engines)("samples", language)).select("id", "chunk_no", F.coalesce("t.text", empty).alias("text"), "t.code", "t.message")
-    folded = audio.transcripts(said, "id").join(said.groupBy("id").agg(F.first("code", ignorenulls=True).alias("code"), F.first("message", ignorenulls=True).alias("message")), "id")
-    media = heard.join(folded, "id", "left").withColumn("text", F.coalesce("text", empty))
-    code = F.coalesce(F.when(F.col("w.error").isNotNull(), "internal"), F.col("code"))
-    warnings = F.array_compact(F.array(F.when(trim(F.col("text")) == "", "No speech was detected in this audio.")))
-    return out.unionByName(_result(media, F.lit(engines.asr_name), F.when(F.col("text") == "", "_No speech detected._").otherwise(F.col("text")), warnings, none, code, F.coalesce("w.error", "message")))
+    engine = F.when(pdf & scanned, "pdf-inspector+ocr").when(pdf, "pdf-inspector").when(kind == "document", "anydoc").when(kind == "image", "rapidocr").otherwise(engines.asr_name)
+    silent = F.when(trim(said) == "", "No speech was detected in this audio.")
+    blank = F.when(trim(first["text"]) == "", "No text was detected in this image.")
+    warnings = F.when(kind == "image", F.array_compact(F.array(F.col("detected.reason"), blank))).when(media, F.array_compact(F.array(silent))).otherwise(none)
+    fallbacks = F.transform(F.filter("parts", lambda p: p["engine"] == "tesseract"), lambda p: F.lit("OCR: Tesseract"))
+    broken = F.get(F.filter("parts", lambda p: p["code"].isNotNull()), F.lit(0))
+    code, message = F.coalesce("a.code", "problem.code", broken["code"]), F.coalesce("a.message", "problem.message", broken["message"])
+    spent = F.coalesce("a.ms", F.lit(0)) + F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(p["ms"], F.lit(0)))
+    return out.unionByName(_result(read, engine, markdown, warnings, fallbacks, code, message, F.when(kind == "image", first["mean_confidence"]), spent))
+
+
+ITEM = "struct<no:int,image:binary,samples:array<float>,message:string>"
+
+
+def _items(rows: DataFrame, engines: Engines) -> DataFrame:
+    """(id, base, item): of each file what is known of it, with item.no -1, and its pictures and chunks, without that."""
+    kind, content = F.col("detected.category"), F.col("content")
+    rows = rows.withColumn("a", analyze(F.when(kind == "document", content), F.col("detected.format")))
+    rows = rows.withColumn("w", wav_samples(F.when(kind.isin("audio", "video"), content)))
+    rows = rows.withColumn("drawn", pictures_column(engines)(F.when(F.size("a.pages_needing_ocr") > 0, content), F.col("a.pages_needing_ocr")))
+
+    def item(no: Column, image: Column | None = None, samples: Column | None = None, message: Column | None = None) -> Column:
+        return F.struct(no.cast("int"), _null("binary") if image is None else image, _null("array<float>") if samples is None else samples, _null("string") if message is None else message).cast(ITEM)
+
+    none = F.array().cast(f"array<{ITEM}>")
+    cut = F.transform(chunk_bounds(F.size("w.samples")), lambda c: item(c["chunk_no"], samples=F.slice("w.samples", (c["start"] + 1).cast("int"), (c["end"] - c["start"]).cast("int"))))
+    parts = F.concat(
+        F.array(item(F.lit(-1))),
+        F.when(kind == "image", F.array(item(F.lit(0), content))).otherwise(none),
+        F.coalesce(F.transform("drawn", lambda p: item(p["page"], p["image"], message=p["message"])), none),
+        F.when(F.coalesce(F.size("w.samples") > 0, F.lit(False)), cut).otherwise(none),
+    )
+    problem = F.when(F.col("w.error").isNotNull(), F.struct(F.lit("internal").alias("code"), F.col("w.error").alias("message")))
+    base = F.struct("name", "length", "detected", "a", problem.alias("problem"))
+    exploded = rows.select("id", base.alias("base"), F.explode(parts).alias("item"))
+    return exploded.select("id", F.when(F.col("item.no") == -1, F.col("base")).alias("base"), "item")
+
+
+def _recognized(items: DataFrame, engines: Engines, language: Column) -> DataFrame:
+    """(id, base, part): the text of each picture and chunk, dealt over all tasks one by one."""
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = items.repartition(tasks, "id", "item.no")
+    read = spread.withColumn("o", ocr_column(engines)("item.image", language)).withColumn("t", asr_column(engines)("item.samples", language))
+    undrawn = F.when(F.col("item.message").isNotNull(), "internal")
+    part = F.struct(F.col("item.no").alias("no"), F.coalesce("o.text", "t.text").alias("text"), F.coalesce("o.code", "t.code", undrawn).alias("code"), F.coalesce("o.message", "t.message", "item.message").alias("message"), F.col("o.engine").alias("engine"), F.col("o.mean_confidence").alias("mean_confidence"), F.coalesce("o.ms", "t.ms").alias("ms"))
+    return read.select("id", "base", F.when(F.col("item.no") >= 0, part).alias("part"))
+
+
+def _gathered(parts: DataFrame) -> DataFrame:
+    """(id, name, length, detected, a, problem, parts): files with their parts in order."""
+    whole = parts.groupBy("id").agg(F.first("base", ignorenulls=True).alias("base"), F.array_sort(F.collect_list("part")).alias("parts"))
+    return whole.select("id", "base.*", "parts")

@@ -65,10 +65,13 @@ def resample(samples: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
 
 @pandas_function("struct<rate:int,samples:array<float>,error:string>")
 def wav_samples(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """16 kHz samples of each WAV file, or an error; never fails a task."""
+    """16 kHz samples of each WAV file, or an error; null for null; never fails a task."""
     for series in contents:
         rows = []
         for data in series:
+            if data is None:
+                rows.append((None, None, None))
+                continue
             try:
                 found = decode_wav(data)
                 rows.append((RATE, resample(*found), None) if found else (None, None, "not a WAV file that can be decoded"))

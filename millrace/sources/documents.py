@@ -7,11 +7,14 @@ import csv
 import io
 import re
 import struct
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 from ..functions.lazy import pandas_function
 from .archive import inflated, package_kind, read_entries, read_entry
@@ -388,21 +391,39 @@ def read(data: bytes, format: str) -> tuple[str, int | None, list[int]]:
     return markdown, None, []
 
 
-@pandas_function("struct<markdown:string,page_count:int,pages_needing_ocr:array<int>,code:string,message:string>")
+@pandas_function("struct<markdown:string,page_count:int,pages_needing_ocr:array<int>,code:string,message:string,ms:bigint>")
 def analyze(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """``read`` of (content, format); errors come back as code and message and never fail a task. Null content
     gives nulls."""
     for contents, formats in batches:
         rows = []
         for data, format in zip(contents, formats, strict=True):
+            start = time.perf_counter()
             if data is None:
-                rows.append((None,) * 5)
+                rows.append((None,) * 6)
                 continue
             try:
                 markdown, *rest = read(bytes(data), format)
-                rows.append((whole(markdown), *rest, None, None))
+                row = (whole(markdown), *rest, None, None)
             except DocumentError as e:
-                rows.append((None, None, None, e.code, str(e)))
+                row = (None, None, None, e.code, str(e))
             except Exception as e:  # a damaged file must cost no other row
-                rows.append((None, None, None, "internal", whole(f"{type(e).__name__}: {e}")))
-        yield pd.DataFrame(rows, columns=["markdown", "page_count", "pages_needing_ocr", "code", "message"])
+                row = (None, None, None, "internal", whole(f"{type(e).__name__}: {e}"))
+            rows.append((*row, int((time.perf_counter() - start) * 1000)))
+        yield pd.DataFrame(rows, columns=["markdown", "page_count", "pages_needing_ocr", "code", "message", "ms"])
+
+
+class PdfPages:
+    """SQL: ``FROM files, LATERAL pdf_pages(content)``: page, text; no rows for what is no PDF that can be read."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        try:
+            pages = pdf_pages(bytes(content or b""))
+        except Exception:
+            return
+        yield from ((k, whole(text)) for k, text in enumerate(pages, 1))
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``pdf_pages`` known to SQL."""
+    spark.udtf.register("pdf_pages", udtf(PdfPages, returnType="page int, text string"))

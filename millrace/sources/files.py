@@ -38,6 +38,11 @@ def named(files: DataFrame) -> DataFrame:
     return files.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
+def in_order(files: DataFrame, *order: str, to: str = "ordinal") -> DataFrame:
+    """``files`` with a number that rises in the given order, by name and path where none is given; it has gaps."""
+    return files.orderBy(*(order or ("name", "path"))).withColumn(to, F.monotonically_increasing_id())
+
+
 def pasted_images(items: DataFrame) -> DataFrame:
     """Of pasted items (kind, mime, ...) the images."""
     return items.where((F.col("kind") == "file") & F.startswith("mime", F.lit("image/")))

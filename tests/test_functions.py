@@ -159,25 +159,34 @@ def test_quality_and_search(spark):
     assert rows.where(history.matches("  ", F.col("t"))).count() == 3
 
 
-def test_otsu_flat_and_two_levels(spark):
+def test_otsu_flat_and_two_levels():
+    import numpy as np
+
     from millrace.operators import image
 
+    def brute(vs):
+        best = (-1.0, 128)
+        for t in range(256):
+            low, high = [v for v in vs if v <= t], [v for v in vs if v > t]
+            if low and high:
+                between = float(len(low)) * len(high) * (sum(low) / len(low) - sum(high) / len(high)) ** 2
+                best = max(best, (between, t))
+        return best[1]
+
     rng = random.Random(3)
-    sets = {0: [7] * 5, 1: [10] * 4 + [200] * 3, **{k: [rng.randrange(0, 256, rng.choice([1, 5, 50])) for _ in range(60)] for k in range(2, 12)}}
-    df = spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "k int, v int")
-    import numpy as np
+    sets = [[7] * 5, [10] * 4 + [200] * 3, *([rng.randrange(0, 256, rng.choice([1, 5, 50])) for _ in range(60)] for _ in range(10))]
+    got = [image.otsu(np.array(vs, np.uint8).reshape(1, -1)) for vs in sets]
+    assert got == [brute(vs) for vs in sets] and got[:2] == [128, 199]
 
-    got = {r.k: r.threshold for r in recognition.otsu_thresholds(df, "k", "v").collect()}
-    assert got == {k: image.otsu(np.array(vs, np.uint8).reshape(1, -1)) for k, vs in sets.items()} and got[0] == 128 and got[1] == 199
 
+def test_boxes():
+    from millrace.operators import ocr
 
-def test_boxes(spark):
-    b = F.array(F.struct(F.lit(10).alias("x0"), F.lit(10).alias("y0"), F.lit(60).alias("x1"), F.lit(20).alias("y1")), F.struct(F.lit(5).alias("x0"), F.lit(1).alias("y0"), F.lit(6).alias("x1"), F.lit(2).alias("y1")))
-    got = one(spark, geometry.text_boxes(b, F.lit(2.0), F.lit(2.0), F.lit(300), F.lit(200)))
-    assert [(x.x0, x.y0, x.x1, x.y1) for x in got] == sorted([(x.x0, x.y0, x.x1, x.y1) for x in got], key=lambda x: (x[1], x[0]))
+    got = ocr.text_boxes([(10, 10, 60, 20), (5, 1, 6, 2)], 2.0, 2.0, 300, 200)
+    assert got == sorted(got, key=lambda x: (x[1], x[0]))
     w, h = 100, 20
     o = math.floor(w * h / (2 * (w + h)) * 1.5 + 0.5)
-    assert (20 - max(o, 10), 20 - max(o, 8), 120 + max(o, 10), 40 + max(o, 8)) in [(x.x0, x.y0, x.x1, x.y1) for x in got]
+    assert (20 - max(o, 10), 20 - max(o, 8), 120 + max(o, 10), 40 + max(o, 8)) in got
 
 
 def test_stitch_all_folds_pair_by_pair(spark):
