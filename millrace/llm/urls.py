@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append
-from .store import materialize
+from .store import materialize, meet
 
 #: A block is 8 lanes of 32 bits; a key sets one bit in each lane of its block.
 LANES = 8
 BITS_PER_KEY = 16
-#: A filter beyond this is not broadcast; all candidates then go to the exact join.
+#: Bytes of a filter that are broadcast at once; a larger one is applied in ranges of its blocks, one after the other.
 FILTER_BYTES = 64 << 20
 _SALT = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint32)
 
@@ -38,24 +38,30 @@ def lanes(found: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block.astype(np.int64), np.uint32(1) << bit
 
 
-def build_filter(rules: DataFrame, blocks: int) -> np.ndarray:
-    """Filter of column ``key``: built by tasks, merged per block; only ``blocks`` rows come to the driver."""
+def build_filter(rules: DataFrame, blocks: int, low: int = 0, high: int | None = None) -> np.ndarray:
+    """Blocks ``low`` to ``high`` of the filter of column ``key``: built by tasks, merged per block; only these blocks come
+    to the driver."""
+    high = blocks if high is None else high
 
     def run(batches):
         for batch in batches:
             block, mask = lanes(hashes(batch.column(0).to_pylist()), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(mask[:, k].astype(np.int64)) for k in range(LANES))], names=["block", *(f"m{k}" for k in range(LANES))])
+            mine = (block >= low) & (block < high)
+            yield pa.RecordBatch.from_arrays([pa.array(block[mine] - low), *(pa.array(mask[mine, k].astype(np.int64)) for k in range(LANES))], names=["block", *(f"m{k}" for k in range(LANES))])
 
     made = rules.select("key").mapInArrow(run, "block long, " + ", ".join(f"m{k} long" for k in range(LANES)))
-    table = np.zeros((blocks, LANES), np.uint32)
+    table = np.zeros((high - low, LANES), np.uint32)
     for row in made.groupBy("block").agg(*(F.bit_or(f"m{k}").alias(f"m{k}") for k in range(LANES))).toLocalIterator():
         table[row[0]] = row[1:]
     return table
 
 
-def might_hold(table: np.ndarray, keys: list[str]) -> np.ndarray:
-    block, mask = lanes(hashes(keys), len(table))
-    return ((table[block] & mask) == mask).all(axis=1)
+def might_hold(table: np.ndarray, keys: list[str], blocks: int | None = None, low: int = 0) -> np.ndarray:
+    """Which keys the part of a filter from block ``low`` on does not rule out."""
+    block, mask = lanes(hashes(keys), len(table) if blocks is None else blocks)
+    at = block - low
+    apart = (at < 0) | (at >= len(table))
+    return apart | ((table[np.where(apart, 0, at)] & mask) == mask).all(axis=1)
 
 
 def split(url: str | None) -> tuple[str, str]:
@@ -96,24 +102,44 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     rules = materialize(rules, "url-rules")
     lengths = sorted(r[0] for r in rules.select("n").distinct().collect())
     blocks = max(1, 1 << (rules.count() * BITS_PER_KEY // (32 * LANES)).bit_length())
-    table = spark.sparkContext.broadcast(build_filter(rules, blocks)) if blocks * 4 * LANES <= filter_bytes else None
+    step = max(1, filter_bytes // (4 * LANES))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    for low in range(0, blocks, step):
+        shared = spark.sparkContext.broadcast(build_filter(rules, blocks, low, min(blocks, low + step)))
+        rows = materialize(_passed(rows, lengths, shared, blocks, low), "url-hits")
+    # each host and path once, however many pages have it; pages without a hit join nothing
+    same = F.struct("host", "path").alias("same")
+    asked = rows.where(F.size("hits") > 0).select(same, "hits").groupBy("same").agg(F.first("hits").alias("hits"), F.count("*").alias("pages"))
+    asked = materialize(asked, "url-asked")
+    keys = asked.select("same", F.explode("hits").alias("key"))
+    held = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).join(rules, "key"), "url-met")
+    fits = meet(keys, held, "key", "size", held.agg(F.sum("size")).first()[0] or 0)
+    best = fits.groupBy("same").agg(F.max(F.struct(F.length("key").alias("length"), (F.length("key") - F.col("n")).alias("host_length"), "key", "verdict")).alias("best"))
+    judged = materialize(asked.drop("hits").join(best, "same", "left"), "url-best")
+    met = meet(rows.where(F.size("hits") > 0).withColumn("same", same), judged, "same", "pages", judged.agg(F.sum("pages")).first()[0] or 0)
+    plain = rows.where(F.size("hits") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return met.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")).unionByName(plain)
+
+
+def _passed(rows: DataFrame, lengths: list[int], table, blocks: int, low: int) -> DataFrame:
+    """(page_id, host, path, hits) of (page_id, url), or of such rows again: the candidates that a part of the filter passes."""
 
     def make(batch: pa.RecordBatch) -> list:
-        parts = [split(u) for u in batch.column(1).to_pylist()]
-        own = [candidates(h, p, lengths) for h, p in parts]
+        if low:
+            own = batch.column(3).to_pylist()
+        else:
+            parts = [split(u) for u in batch.column(1).to_pylist()]
+            own = [candidates(h, p, lengths) for h, p in parts]
         flat = [k for ks in own for k in ks]
-        held = might_hold(table.value, flat) if table is not None and flat else np.ones(len(flat), bool)
+        held = might_hold(table.value, flat, blocks, low) if flat else np.zeros(0, bool)
         hits, at = [], 0
         for ks in own:
             hits.append([k for k, ok in zip(ks, held[at : at + len(ks)], strict=True) if ok])
             at += len(ks)
-        return [[h for h, _ in parts], [p for _, p in parts], hits]
-
-    fields = [T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("hits", T.ArrayType(T.StringType()))]
-    narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    rows = materialize(append(narrow, fields, make).select("page_id", "host", "path", "hits"), "url-hits")
-    # each host and path once, however many pages have it
-    hits = rows.where(F.size("hits") > 0).select("host", "path", "hits").dropDuplicates(["host", "path"]).select("host", "path", F.explode("hits").alias("key"))
-    best = hits.join(rules, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("length"), (F.length("key") - F.col("n")).alias("host_length"), "key", "verdict")).alias("best"))
-    met = rows.join(best, ["host", "path"], "left")
-    return met.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        return [hits] if low else [[h for h, _ in parts], [p for _, p in parts], hits]
+
+    field = T.StructField("passed", T.ArrayType(T.StringType()))
+    if low:
+        return append(rows, [field], make).select("page_id", "host", "path", F.col("passed").alias("hits"))
+    fields = [T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), field]
+    return append(rows, fields, make).select("page_id", "host", "path", F.col("passed").alias("hits"))

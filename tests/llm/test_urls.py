@@ -42,5 +42,6 @@ def test_filter_has_no_false_negatives_and_few_false_positives():
 def test_many_rules(spark):
     rules = [(f"h{i}.com/p{i % 3}/", "block" if i % 2 else "allow") for i in range(3000)]
     pages = spark.createDataFrame([(i, f"http://www.h{i}.com/p{i % 3}/z") for i in range(0, 6000, 7)], "page_id long, url string")
-    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, urls.rules_table(spark, rules)).collect()}
-    assert got == {i: (rules[i] if i < 3000 else (None, "allow")) for i in range(0, 6000, 7)}
+    for limit in (urls.FILTER_BYTES, 2048):  # at once, and in four ranges of blocks
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, urls.rules_table(spark, rules), filter_bytes=limit).collect()}
+        assert got == {i: (rules[i] if i < 3000 else (None, "allow")) for i in range(0, 6000, 7)}
