@@ -75,6 +75,12 @@ class Windows:
         self.at = np.flatnonzero(at)
         self.word = np.repeat(np.arange(len(words), dtype=np.int32), lengths + 1)
 
+    def taken(self, places: np.ndarray) -> Windows:
+        """These places alone."""
+        out = object.__new__(Windows)
+        out.codes, out.at, out.word = self.codes, self.at[places], self.word[places]
+        return out
+
     def context(self, length: int) -> np.ndarray:
         """Hash of the ``length`` letters before each letter; made anew each time, which is cheaper than to keep."""
         out = np.zeros(len(self.at), np.uint64)
@@ -115,14 +121,18 @@ class Model:
     def __init__(self, toxic: Counter, ordinary: Counter) -> None:
         words = list(toxic | ordinary)
         w = Windows(words)
-        own = [np.array([c[x] for x in words], float)[w.word] for c in (toxic, ordinary)]
-        top, first, _ = _count(w.grams(ORDER), own[0])
-        back = np.searchsorted(top, w.grams(ORDER))
-        counts = [np.bincount(back, weights=x, minlength=len(top)) for x in own]
-        context = w.context(ORDER - 1)[first]
+        top, first, back = np.unique(w.grams(ORDER), return_index=True, return_inverse=True)
+        counts = []
+        for c in (toxic, ordinary):
+            own = np.fromiter((c[x] for x in words), float, len(words))
+            counts.append(np.bincount(back, weights=own[w.word], minlength=len(top)))
+        del back
+        # what is shorter is the end of an n-gram, so the distinct n-grams have all of it
+        w = w.taken(first)
+        context = w.context(ORDER - 1)
         self.context, _, _ = _count(context, np.ones(len(context)))
         at = np.searchsorted(self.context, context)
-        shared = self._shared(w, first, sum(counts), at)
+        shared = self._shared(w, sum(counts), at)
         logs, backoff = [], []
         for c in counts:
             d = DISCOUNT
@@ -135,8 +145,9 @@ class Model:
         self.slope, self.offset = 1.0, 0.0
 
     @staticmethod
-    def _shared(w: Windows, first: np.ndarray, both: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Kneser-Ney probability from the counts of both classes, below the top order continuation counts."""
+    def _shared(w: Windows, both: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Kneser-Ney probability of the n-grams at ``w`` from the counts of both classes, below the top order
+        continuation counts."""
         prob = None
         for order in range(1, ORDER):
             grams, contexts = w.grams(order), w.context(order - 1)
@@ -151,7 +162,7 @@ class Model:
             lower = np.full(len(keys), 1.0 / max(len(keys), 1)) if prob is None else prob[np.searchsorted(below, w.grams(order - 1)[longer][spot])]
             prob = np.maximum(c - d, 0) / total[at] + d * kinds[at] / total[at] * lower
             below = keys
-        lower = prob[np.searchsorted(below, w.grams(ORDER - 1)[first])]
+        lower = prob[np.searchsorted(below, w.grams(ORDER - 1))]
         d, total, kinds = _discount(both), np.bincount(context, weights=both), np.bincount(context)
         return np.maximum(both - d, 0) / total[context] + d * kinds[context] / total[context] * lower
 
