@@ -1,7 +1,7 @@
 """Exact deduplication by Grace hash partitioning.
 
-Map tasks collapse the repeated texts of each batch of rows, so a text that a third of all rows share travels
-once per batch. The rest is dealt out by SHA-256 of the normalised text. A reduce task keeps an
+Map tasks collapse the repeated texts that they meet, so a text that a third of all rows share travels about once
+per task. The rest is dealt out by SHA-256 of the normalised text. A reduce task keeps an
 open-addressing table that compares complete content; when the table outgrows its memory, its entries and
 all further records go to spill files by further hash bits, and each file is treated in the same way.
 
@@ -28,6 +28,8 @@ from .store import fresh, materialize, meet
 #: Bytes of distinct text that a table may hold before it goes to spill files.
 TABLE_BYTES = 32 << 20
 FAN_OUT = 16
+#: Bytes of texts that a map task holds back for their copies.
+HELD_BYTES = 8 << 20
 
 
 class OpenTable:
@@ -107,19 +109,33 @@ def _read(name: str) -> Iterator[tuple]:
                 return
 
 
-def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every 2500 rows: a row for each distinct text, with its largest id, its rows and how many have that id."""
-    for batch in steps(batches, 2500):
+def _collapse(limit: int):
+    """A row for each distinct text, with its largest id, its rows and how many have that id. A task holds back ``limit``
+    bytes of texts; when they are more, those met once so far go on, and those that repeat stay for their next copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list] = {}
-        for text, key in zip(texts(batch.column(1)), batch.column(0).to_pylist(), strict=True):
-            if (e := found.get(text)) is None:
-                found[text] = [key, 1, 1]
-                continue
-            e[1] += 1
-            if key == e[0]:
-                e[2] += 1
-            elif e[0] is None or key is not None and key > e[0]:
-                e[0], e[2] = key, 1
+        size = 0
+        for batch in steps(batches, 1000):
+            for text, key in zip(texts(batch.column(1)), batch.column(0).to_pylist(), strict=True):
+                if (e := found.get(text)) is None:
+                    found[text] = [key, 1, 1]
+                    size += len(text)
+                    continue
+                e[1] += 1
+                if key == e[0]:
+                    e[2] += 1
+                elif e[0] is None or key is not None and key > e[0]:
+                    e[0], e[2] = key, 1
+            if size > limit:
+                kept = {t: e for t, e in found.items() if e[1] > 1}
+                if (size := sum(map(len, kept))) > limit // 2:
+                    kept, size = {}, 0
+                yield from sent({t: e for t, e in found.items() if t not in kept})
+                found = kept
+        yield from sent(found)
+
+    def sent(found: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
         keys = list(found)
         for i in range(0, len(keys), 1000):
             part = keys[i : i + 1000]
@@ -129,6 +145,8 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["digest", "text", "top", "rows", "ties"],
             )
 
+    return run
+
 
 def _grace(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +171,7 @@ def _groups(out: list[tuple]) -> pa.RecordBatch:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row for each distinct text (A-Z lower-cased, null as empty): digest, keep_id (its largest id; null
     only if no row has one), group_size, ties (rows that have that id)."""
-    local = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_collapse, "digest binary, text binary, top long, rows long, ties long")
+    local = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_collapse(HELD_BYTES), "digest binary, text binary, top long, rows long, ties long")
     return local.repartition("digest").mapInArrow(_grace(table_bytes), "digest binary, keep_id long, group_size long, ties long")
 
 

@@ -48,6 +48,15 @@ def test_empty(spark):
     assert grace.judge(docs).collect() == [] and grace.dedup(docs).collect() == []
 
 
+@pytest.mark.parametrize("held", [1, 300, 5000])
+def test_tasks_hold_back_texts_that_repeat(spark, monkeypatch, held):
+    monkeypatch.setattr(grace, "HELD_BYTES", held)
+    rows = [(k, "hot text" if k % 3 == 0 else f"text {k % 900} of some length") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in grace.judge(docs).collect())
+    assert got == expected(rows)
+
+
 def test_spill_recursion(tmp_path):
     records = [(hashlib.sha256(t).digest(), t, k, 1, 1) for k, t in enumerate(str(i % 700).encode() for i in range(3000))]
     got = sorted(grace.resolve(iter(records), 5000, str(tmp_path)))
