@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import golay, grace, language, lattice, mixing, packing, search, toxicity, urls, wavelet
 
@@ -14,8 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.judge(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, epochs=2)
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.judge(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, epochs=2).drop("source", "copies")
+    return op1(spark, sf_dir).drop("source", "copies")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +62,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1, capacity=4096)
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: sizes and targets of the sources."""
+    found = op1(spark, sf_dir).groupBy("source").agg(F.first("source_size").alias("source_size"), F.round(F.first("target"), 4).alias("target"))
+    return found.select("source", "source_size", "target")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
@@ -69,11 +80,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
     "pipeline": corpus_pipeline.run,
+    "mixing_targets": mixing_targets,
 }
 
 ASCII_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = f"regexp_extract_all({ASCII_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "mixing_targets": f"""
+        WITH d AS (SELECT source, CAST(sum(len({WORDS})) AS BIGINT) AS s FROM documents GROUP BY source),
+        w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS i, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] :: DOUBLE AS weight, 2.0 :: DOUBLE * s AS cap FROM d),
+        l AS (SELECT *, cap / weight AS ratio, (1.5 :: DOUBLE * sum(s) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w WINDOW b AS (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT source, s AS source_size, round(least(cap, coalesce((SELECT arg_min(level, (ratio, i)) FROM l WHERE cap > level * weight) * weight, cap)), 4) AS target FROM l""",
+    "op7_bm25_search": f"""
+        WITH t AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        a AS (SELECT count(*) AS docs, (SELECT count(*) FROM t) / count(*) AS mean FROM documents), f AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+        s AS (SELECT q.doc_id AS query_id, tf.doc_id, round(sum(ln(1 + (docs - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * (tf.c * CAST(2.2 AS DOUBLE) / (tf.c + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * n.n / mean)))), 9) AS score
+            FROM tf q JOIN tf ON tf.w = q.w JOIN f ON f.w = q.w JOIN n ON n.doc_id = tf.doc_id, a WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {ASCII_LOWER.format("text")} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
