@@ -24,12 +24,6 @@ def asr_models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ASR_MODELS, "family string, tier string, model_id string, size_bytes long")
 
 
-def known_sizes(spark: SparkSession) -> DataFrame:
-    """Models with a size, in the order in which a text is searched for them."""
-    rows = [OCR_DETECTOR, *((n, b) for _, n, b in OCR_RECOGNIZERS), *((m, b) for _, _, m, b in ASR_MODELS)]
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, model string, size_bytes long")
-
-
 def with_language(df: DataFrame, key: str) -> DataFrame:
     """``df`` with label and ocr_key of its language; English where the key is none of ours."""
     table = F.broadcast(languages(df.sparkSession).select(F.col("key").alias("_key"), F.col("label").alias("lang_label"), "ocr_key"))

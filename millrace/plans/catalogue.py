@@ -479,18 +479,18 @@ def zip_roundtrip(spark, sf_dir):
 
 
 @query("""
-    WITH r AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding) AS e FROM embeddings), p AS (SELECT vec_id, k % 8 AS x, k // 8 AS y, CAST(floor((e + 1) * 127) AS BIGINT) & 255 AS v FROM r WHERE k < 64),
+    WITH r AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding) AS e FROM embeddings), p AS (SELECT vec_id, k % 8 AS x, k // 8 AS y, CAST(floor((e + 1) * 127) AS BIGINT) & 255 AS v FROM r),
     n AS (SELECT a.vec_id, a.x, a.y, list_sort(list(b.v)) AS l FROM p a JOIN p b ON b.vec_id = a.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL)
     SELECT vec_id, sum((x + 8 * y + 1) * l[len(l) // 2 + 1]) AS checksum FROM n GROUP BY vec_id""")
 def median3(spark, sf_dir):
-    """The first 64 values of each vector as an image of 8 by 8."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 64), lambda x: F.floor((x.cast("double") + 1) * 127).bitwiseAND(F.lit(255).cast("long"))).alias("px"))
+    """Each vector as an image, 8 pixels across."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127).bitwiseAND(F.lit(255).cast("long"))).alias("px"))
 
     def run(batches):
         import numpy as np
 
         for pdf in batches:
-            yield pdf.assign(checksum=[_checksum(image.median3(np.resize(np.array(list(p) + [0] * 64, np.uint8)[:64], (8, 8)))) for p in pdf["px"]])[["vec_id", "checksum"]]
+            yield pdf.assign(checksum=[_checksum(image.median3(np.array(p, np.uint8).reshape(-1, 8))) for p in pdf["px"]])[["vec_id", "checksum"]]
 
     return e.mapInPandas(run, "vec_id long, checksum long")
 

@@ -7,9 +7,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import audio, history, image, ocr, recognition
+from ..functions import text
+from ..operators import audio, export, history, image, ocr, recognition
+from ..sources import archive, documents
 from ..sources import audio as recordings
-from ..sources import documents
 from . import samples
 from .catalogue import SPACE, as_files, query, table, values
 from .convert import convert
@@ -156,6 +157,56 @@ def queued_last(spark, sf_dir):
     return jobs.select("user_id", F.size("l").alias("n"), total.alias("last_ids"))
 
 
+@query("SELECT conv_id, role || turn || '.md' AS name, md5(text) AS content_md5 FROM conversations WHERE role <> 'system'")
+def zip_contents(spark, sf_dir):
+    """Turns of a conversation as an archive, read back: the bytes of each entry."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.col("turn").cast("string"), F.lit(".txt")).alias("file_name"), F.col("text").alias("markdown"), F.when(F.col("role") != "system", "ok").otherwise("error").alias("status"))
+    archive.register(spark)
+    export.archives(c, "conv_id", "turn").createOrReplaceTempView("millrace_contents")
+    return spark.sql("SELECT CAST(a.`group` AS BIGINT) AS conv_id, e.name, md5(e.content) AS content_md5 FROM millrace_contents a, LATERAL zip_contents(a.zip) e")
+
+
+@query("SELECT page_id, CASE WHEN ends_with(url, '.md') OR ends_with(url, '.txt') THEN url ELSE url || '.md' END AS name FROM pages UNION ALL SELECT -1, 'a.md' UNION ALL SELECT -2, 'b.txt' UNION ALL SELECT -3, 'c.TXT.md'")
+def download_names(spark, sf_dir):
+    more = spark.createDataFrame([(-1, "a.md"), (-2, "b.txt"), (-3, "c.TXT")], "page_id long, url string")
+    return table(spark, sf_dir, "pages").select("page_id", "url").unionByName(more).select("page_id", text.download_name(F.col("url")).alias("name"))
+
+
+FORMATS = [(k,) for k in text.MIME] + [("pdf",), ("",)]
+
+
+@query(f"WITH f(k) AS (VALUES {values(FORMATS)}), m(k, v) AS (VALUES {values([*text.MIME.items()])}) SELECT f.k AS format, coalesce(m.v, '') AS mime FROM f LEFT JOIN m ON m.k = f.k")
+def mime_types(spark, sf_dir):
+    return spark.createDataFrame(FORMATS, "format string").select("format", text.mime(F.col("format")).alias("mime"))
+
+
+PHASES = [(k,) for k in text.PHASES] + [("other",), ("",)]
+
+
+@query(f"WITH f(k) AS (VALUES {values(PHASES)}), m(k, v) AS (VALUES {values([*text.PHASES.items()])}) SELECT f.k AS phase, coalesce(m.v, f.k) AS shown FROM f LEFT JOIN m ON m.k = f.k")
+def phase_labels(spark, sf_dir):
+    return spark.createDataFrame(PHASES, "phase string").select("phase", text.phase_label(F.col("phase")).alias("shown"))
+
+
+@query(f"""
+    WITH m(k, v) AS (VALUES {values([*text.PASTE_EXTENSIONS.items()])}), e AS (SELECT event_id, ts, 'image/' || ['png', 'jpeg', 'webp', 'x'][event_id % 4 + 1] AS mime FROM events)
+    SELECT event_id, 'pasted-' || strftime(ts, '%Y-%m-%d-%H%M') || '-' || md5(CAST(event_id AS VARCHAR))[1:5] || '.' || coalesce(m.v, 'png') AS name FROM e LEFT JOIN m ON m.k = e.mime""")
+def paste_names(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    mime = F.concat(F.lit("image/"), F.element_at(F.array(*map(F.lit, ("png", "jpeg", "webp", "x"))), (F.col("event_id") % 4 + 1).cast("int")))
+    return e.select("event_id", text.paste_name(F.col("ts"), F.md5(F.col("event_id").cast("string")), mime).alias("name"))
+
+
+@query("""
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Text' WHEN doc_id % 3 = 1 THEN 'RapidOCR' ELSE 'PDF' END || ' • ' || (doc_id % 1000) || ' B' || CASE WHEN doc_id % 5 > 0 THEN ' • ' || (doc_id % 5) || '.0s duration' ELSE '' END
+        || CASE WHEN doc_id % 3 = 1 THEN ' • OCR ' || (doc_id % 101) || '% conf' ELSE '' END AS line FROM documents""")
+def meta_lines(spark, sf_dir):
+    i = F.col("doc_id")
+    engine = F.when(i % 3 == 0, "text").when(i % 3 == 1, "rapidocr").otherwise("pdf-inspector+ocr")
+    line = text.meta_line(engine, i % 1000, i % 5 * 1000, F.when(i % 3 == 1, "image").otherwise("text"), (i % 101) / 100.0)
+    return table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
+
+
 def text_boxes(i: int, sw: int, sh: int, pw: int, ph: int, *box: int) -> tuple:
     (x0, y0, x1, y1), (det_w, _) = ocr.unclip(box, sw / pw, sh / ph, sw, sh), ocr.detector_dims(sw, sh)
     return i, x0, y0, x1, y1, det_w, ocr.recognizer_width(sw, sh)

@@ -114,6 +114,19 @@ class ZipEntries:
         yield from read_entries(bytes(content or b"")) or []
 
 
+class ZipContents:
+    """SQL: ``FROM files, LATERAL zip_contents(content)``: name, content; null for an entry that cannot be read."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        data = bytes(content or b"")
+        for entry in read_entries(data) or []:
+            try:
+                yield entry.name, read_entry(data, entry)
+            except (ValueError, zlib.error):
+                yield entry.name, None
+
+
 def register(spark: SparkSession) -> None:
-    """Make ``zip_entries`` known to SQL."""
+    """Make ``zip_entries`` and ``zip_contents`` known to SQL."""
+    spark.udtf.register("zip_contents", udtf(ZipContents, returnType="name string, content binary"))
     spark.udtf.register("zip_entries", udtf(ZipEntries, returnType="name string, method int, local_offset bigint, compressed_size bigint, size bigint"))

@@ -91,3 +91,22 @@ def test_event_windows(spark):
     rows = spark.createDataFrame([(0,), (27,), (29,), (60,)], "s int").withColumn("ts", F.timestamp_seconds("s"))
     got = sorted((int(r.start.timestamp()), r.n) for r in audio.event_windows(rows).collect())
     assert got == [(-28, 1), (0, 3), (28, 1), (56, 1)]
+
+
+def test_combined_export(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, "b.txt", " two ", "ok"), (1, 1, "a.txt", "one", "ok"), (1, 3, "c", "x", "error"), (2, 1, "d", "y", "error")], "g int, o int, name string, md string, status string")
+    made = rows.groupBy("g").agg(export.combined_markdown(F.col("o"), F.col("name"), F.col("md"), F.col("status")).alias("text"))
+    export.write_text(made.where("g = 1"), str(tmp_path / "out"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))) == "## a.txt\n\n\n\none\n\n## b.txt\n\n\n\ntwo\n\n"
+    assert made.where("g = 2").first().text == ""
+
+
+def test_zip_contents_of_damaged_entries(spark):
+    from millrace.sources import archive
+
+    data = bytearray(archive.build_zip([("a", b"one"), ("b", b"two")]))
+    archive.register(spark)
+    data[0] ^= 1  # the first entry's own header
+    spark.createDataFrame([(data,), (bytearray(b"no"),)], "content binary").createOrReplaceTempView("damaged")
+    got = spark.sql("SELECT e.name, e.content FROM damaged d, LATERAL zip_contents(d.content) e").collect()
+    assert [(r.name, r.content and bytes(r.content)) for r in got] == [("a", None), ("b", b"two")]
