@@ -7,9 +7,11 @@ a join: words frequent enough to skew it are fewer than ``HOT_WORDS``, which bou
 
 The vocabulary comes with ranks only; they give the pieces' first scores, and expectation steps over the counts of
 all training words turn them into probabilities. A training word is a piece, too: one more arc over the whole word,
-in the same lattice. Its expected uses, less an absolute discount estimated from the words that occur once and twice,
-are its score; what the discount leaves of each word is read by the vocabulary's pieces, so these learn from
-words as kinds rather than by their counts, as words not met before will be.
+in the same lattice; beside these arcs one more opens the reading by the vocabulary's pieces. A word's arc has its expected
+uses, less an absolute discount estimated from the words that occur once and twice, as its score; what the discount leaves
+of each word is read by the pieces, so these learn from words as kinds rather than by their counts, as words not met
+before will be, and all that is left is the score of the arc that opens them. The score is a probability: words that
+training has not seen share what is left by their spelling, where the base gives each of them the same.
 """
 
 from __future__ import annotations
@@ -68,13 +70,14 @@ def together(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterato
 
 class Pieces:
     """Numbers of the pieces that continue a word and of those that end it, and their log-probabilities; the last is
-    that of no piece. ``total`` is the uses of all arcs that the probabilities are shares of.
+    that of no piece. ``open`` is the log-probability of the arc that leads to them; ``total`` is the uses of all arcs
+    over whole words, of that one, and of ends.
 
     Words of one length are solved side by side, and many find their pieces by 64-bit hashes of their substrings.
     All recursions are in log space."""
 
-    def __init__(self, inner: dict[bytes, int], final: dict[bytes, int], logs: np.ndarray, total: float = 1.0) -> None:
-        self.inner, self.final, self.total = inner, final, total
+    def __init__(self, inner: dict[bytes, int], final: dict[bytes, int], logs: np.ndarray, open: float = 0.0, total: float = 1.0) -> None:
+        self.inner, self.final, self.open, self.total = inner, final, open, total
         self.none = len(inner) + len(final)
         self.logs = np.append(logs, -np.inf)
         self.longest = max(map(len, [*inner, *final]), default=1)
@@ -146,7 +149,7 @@ class Pieces:
         for at in _by_length(words):
             same = [words[k] for k in at]
             out[at] = self._forward(same, self._edges(same))[-1]
-        return np.logaddexp(out, whole)
+        return np.logaddexp(out + self.open, whole)
 
     def expect(self, words: list[bytes], counts: np.ndarray, whole: np.ndarray, discount: float, sums: np.ndarray) -> np.ndarray:
         """The uses that the words' own arcs keep, in words that occur ``counts`` times; the expected uses of the other
@@ -156,7 +159,7 @@ class Pieces:
             same = [words[k] for k in at]
             edges = list(self._edges(same))
             front = self._forward(same, edges)
-            own = np.exp(whole[at] - np.logaddexp(whole[at], front[-1]))
+            own = np.exp(whole[at] - np.logaddexp(whole[at], front[-1] + self.open))
             kept[at] = np.maximum(counts[at] * own - discount, 0)
             back = np.full_like(front, -np.inf)
             back[-1] = np.log(counts[at] - kept[at]) - front[-1]
@@ -258,10 +261,12 @@ def fit(words: DataFrame, path: str, ends: int, discount: float, rounds: int = R
     """``words`` (word, n, c) with ``kept``, the uses of each word's own arc; the pieces with their probabilities; and the
     log-probability of a text's end. Each step writes the words with what they keep, and beside them its tasks' sums
     of the pieces' uses; a row for each piece of the vocabulary comes to the driver."""
-    now, end = first_pieces(path), 0.0
+    now = first_pieces(path)
     state = words.withColumn("kept", F.greatest(F.col("c") - F.lit(discount), F.lit(0.0)))
-    total = state.agg(F.sum("kept"), F.sum("c")).first()
-    now.total = max(float(total[1] or 0) + ends, 1.0)
+    kept, trained = (float(x or 0) for x in state.agg(F.sum("kept"), F.sum("c")).first())
+    # half a use more for the opening arc and for the end, which none then lacks
+    total = trained + ends + 1
+    now.open, now.total = math.log((trained - kept + 0.5) / total), total
     names = ["word", "n", "c", "kept", "piece", "uses"]
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
     for turn in range(rounds):
@@ -284,10 +289,9 @@ def fit(words: DataFrame, path: str, ends: int, discount: float, rounds: int = R
         state, sums = done.where("word IS NOT NULL").select(*names[:4]), np.zeros(now.none)
         for r in done.where("piece IS NOT NULL").groupBy("piece").agg(F.sum("uses")).collect():
             sums[r[0]] = r[1]
-        kept = state.agg(F.sum("kept")).first()[0] or 0.0
-        total = kept + sums.sum() + ends + 0.01 * (1 + now.none)
-        now, end = Pieces(now.inner, now.final, np.log((sums + 0.01) / total), total), math.log((ends + 0.01) / total)
-    return state, now, end
+        kept = float(state.agg(F.sum("kept")).first()[0] or 0)
+        now = Pieces(now.inner, now.final, np.log((sums + 0.01) / (sums.sum() + 0.01 * now.none)), math.log((trained - kept + 0.5) / total), total)
+    return state, now, math.log((ends + 0.5) / total)
 
 
 def solve(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -357,4 +361,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         return F.col(part) + F.coalesce(f"cold_{part}", F.lit(0))
 
     sums = found.drop("words").join(rest, "uid", "left")
-    return sums.select("doc_id", "held_out", (F.col("total") + 1).alias("n_tokens"), (whole("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (whole("base") + math.log10((ends + 0.5) / floor)).alias("base_score"), (whole("lp") + (end / math.log(10) if ends else math.log10(0.5 / floor))).alias("score"))
+    return sums.select("doc_id", "held_out", (F.col("total") + 1).alias("n_tokens"), (whole("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (whole("base") + math.log10((ends + 0.5) / floor)).alias("base_score"), (whole("lp") + end / math.log(10)).alias("score"))

@@ -23,7 +23,7 @@ def cuts(word, inner, final):
 def test_forward_and_expected_uses_match_enumeration():
     inner = {b"a": 0.1, b"b": 0.05, b"ab": 0.2, b"ba": 0.1, b"aba": 0.02}
     final = {b"a": 0.1, b"b": 0.1, b"ab": 0.05, b"bab": 0.03}
-    pieces = lattice.Pieces(*lattice._numbered(inner, final), np.log([*inner.values(), *final.values()]))
+    pieces = lattice.Pieces(*lattice._numbered(inner, final), np.log([*inner.values(), *final.values()]), math.log(0.4))
     words = [b"a", b"ab", b"abab", b"ba", b"babab", b"aababab", b"bab"]
     own = np.array([0.3, 0.0, 0.01, 0.2, 0.001, 0.0, 0.5])
     counts, discount = np.arange(1.0, len(words) + 1), 0.6
@@ -31,8 +31,8 @@ def test_forward_and_expected_uses_match_enumeration():
     for word, p, c in zip(words, own, counts, strict=True):
         ways = list(cuts(word, inner, final))
         total = sum(q for _, q in ways)
-        logs.append(math.log(total + p))
-        keeps.append(max(c * p / (total + p) - discount, 0))
+        logs.append(math.log(0.4 * total + p))
+        keeps.append(max(c * p / (0.4 * total + p) - discount, 0))
         for way, q in ways:
             for piece, last in way:
                 expected[(pieces.final if last else pieces.inner)[piece]] += (c - keeps[-1]) * q / total
@@ -87,20 +87,22 @@ def test_score_matches_brute_force(spark, tmp_path):
     inner, final = lattice.ranked_pieces(str(path))
     weight = {(p, last): 1 / (100 + r) for last, part in ((False, inner), (True, final)) for p, r in part.items()}
     prob = {p: x / sum(weight.values()) for p, x in weight.items()}
-    kept, total = {w: max(n - discount, 0) for w, n in c.items()}, sum(c.values()) + ends
+    kept, trained = {w: max(n - discount, 0) for w, n in c.items()}, sum(c.values())
+    total = trained + ends + 1
+    left = lambda: (trained - sum(kept.values()) + 0.5) / total
     split = lambda: ({p: prob[p, False] for p in inner}, {p: prob[p, True] for p in final})
     for _ in range(lattice.ROUNDS):
-        uses = Counter()
+        uses, opened = Counter(), left()
         for w, n in c.items():
             ways = list(cuts(w, *split()))
             rest, own = sum(q for _, q in ways), kept[w] / total
-            kept[w] = max(n * own / (own + rest) - discount, 0)
+            kept[w] = max(n * own / (own + opened * rest) - discount, 0)
             for way, q in ways:
                 for piece in way:
                     uses[piece] += (n - kept[w]) * q / rest
-        total = sum(kept.values()) + sum(uses.values()) + ends + 0.01 * (1 + len(prob))
-        prob, end = {p: (uses[p] + 0.01) / total for p in prob}, (ends + 0.01) / total
-    score = lambda t: math.log10(end) + sum(math.log10(sum(q for _, q in cuts(w, *split())) + kept.get(w, 0) / total) for w in words(t))
+        prob = {p: (uses[p] + 0.01) / (sum(uses.values()) + 0.01 * len(prob)) for p in prob}
+    end = (ends + 0.5) / total
+    score = lambda t: math.log10(end) + sum(math.log10(left() * sum(q for _, q in cuts(w, *split())) + kept.get(w, 0) / total) for w in words(t))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((str(r.doc_id), r.score) for r in lattice.judge(docs, path=str(path)).collect())
     expected = sorted((str(i), score(t)) for i, t in rows)
