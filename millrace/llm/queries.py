@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import golay, grace, language, lattice, mixing, packing, search, toxicity, urls, wavelet
+from . import checks, golay, grace, language, lattice, merkle, mixing, packing, search, toxicity, transducer, trie, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1, capacity=4096)
 
 
+def op11_finite_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.judge(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.judge(table(spark, sf_dir, "documents"))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: sizes and targets of the sources."""
     found = op1(spark, sf_dir).groupBy("source").agg(F.first("source_size").alias("source_size"), F.round(F.first("target"), 4).alias("target"))
@@ -79,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_finite_state_counts": op11_finite_state_counts,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
     "mixing_targets": mixing_targets,
 }
@@ -88,6 +103,8 @@ ASCII_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 WORDS = f"regexp_extract_all({ASCII_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_prefix_trie": checks.trie(),
+    "op13_merkle_manifest": checks.merkle(),
     "mixing_targets": f"""
         WITH d AS (SELECT source, CAST(sum(len({WORDS})) AS BIGINT) AS s FROM documents GROUP BY source),
         w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS i, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] :: DOUBLE AS weight, 2.0 :: DOUBLE * s AS cap FROM d),
