@@ -1,16 +1,13 @@
-"""The keyed history of conversions, kept as Parquet. Each change writes new versions of some parts beside the old ones
-and then a new state, so readers never see a path that is being overwritten."""
+"""The keyed history of conversions: its operations on tables, and its store."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import trim, words
+from ..sources.changelog import ChangeLog
 from ..sources.schema import RESULT
 
 MOST_IN_MEMORY = 200
@@ -95,81 +92,31 @@ def combined(session: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 class Store:
-    """History under a path: rows in ``PARTS`` parts by a hash of their ids, each part a folder for each version of it, and a
-    list of states, each naming the version of every part. A change rewrites the parts that it touches; a state is
-    written by a rename that fails where another writer was first. Versions that no state of the last ``KEPT`` names go."""
-
-    PARTS, KEPT = 16, 3
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        self._fs = self._at("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _states(self) -> list[int]:
-        if not self._fs.exists(self._at("states")):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._at("states"))]
-        return sorted(int(n) for n in names if n.isdigit())
+    """History under a path as a log of changes (``ChangeLog``): what is added or deleted is written, nothing else. Runs of
+    changes are merged after every few of them, or by ``log.merge_in_background()`` with ``merging`` off."""
 
-    def _state(self, n: int | None) -> dict[int, str]:
-        if n is None:
-            return {}
-        return {r.part: r.version for r in self.spark.read.schema("part int, version string").json(f"{self.path}/states/{n}").collect()}
-
-    def _last(self) -> tuple[int | None, dict[int, str]]:
-        n = max(self._states(), default=None)
-        return n, self._state(n)
-
-    def _rows(self, state: dict[int, str], parts: list[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}/rows/{state[p]}" for p in sorted(state) if parts is None or p in parts]
-        return self.spark.read.schema(RESULT).parquet(*paths) if paths else self.spark.createDataFrame([], RESULT)
+    def __init__(self, spark: SparkSession, path: str, merging: bool = True) -> None:
+        self.log, self.merging = ChangeLog(spark, path, RESULT, ("id",)), merging
 
     def read(self) -> DataFrame:
-        return self._rows(self._last()[1])
-
-    def _commit(self, n: int | None, state: dict[int, str]) -> None:
-        new = 0 if n is None else n + 1
-        part = self._at(f"states/.{uuid.uuid4().hex}")
-        self.spark.createDataFrame([*state.items()], "part int, version string").coalesce(1).write.json(part.toString())
-        # a folder moved onto one that exists would land inside of it: look first, then look what became of it
-        if self._fs.exists(self._at(f"states/{new}")) or not self._fs.rename(part, self._at(f"states/{new}")):
-            self._fs.delete(part, True)
-            raise RuntimeError("the history was changed by another writer; read it again")
-        if self._fs.exists(self._at(f"states/{new}/{part.getName()}")):
-            self._fs.delete(self._at(f"states/{new}/{part.getName()}"), True)
-            raise RuntimeError("the history was changed by another writer; read it again")
-        for old in self._states()[: -self.KEPT]:
-            gone = set(self._state(old).values()).difference(*(self._state(k).values() for k in self._states()[-self.KEPT :]))
-            for version in gone:
-                self._fs.delete(self._at(f"rows/{version}"), True)
-            self._fs.delete(self._at(f"states/{old}"), True)
-
-    def _part(self) -> Column:
-        return F.pmod(F.xxhash64("id"), F.lit(self.PARTS)).cast("int")
-
-    def _change(self, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-        n, state = self._last()
-        touched = sorted(r[0] for r in ids.select(self._part().alias("p")).distinct().collect())
-        if not touched:
-            return
-        version = uuid.uuid4().hex
-        change(self._rows(state, touched)).withColumn("part", self._part()).write.partitionBy("part").parquet(f"{self.path}/rows/{version}")
-        kept = {p: v for p, v in state.items() if p not in touched}
-        written = [p for p in touched if self._fs.exists(self._at(f"rows/{version}/part={p}"))]
-        self._commit(n, kept | {p: f"{version}/part={p}" for p in written})
+        return self.log.read()
+
+    def _merged(self) -> None:
+        while self.merging and self.log.merge():
+            pass
 
     def add(self, results: DataFrame) -> None:
-        """Upsert; failed conversions are not kept."""
-        good = exportable(results)
-        self._change(good, lambda rows: upsert(rows, good))
+        """Upsert; failed conversions are not kept. ``results`` are evaluated once. Of rows that share an id, as of a file that
+        is in the input twice, one is kept."""
+        self.log.put(exportable(results))
+        self._merged()
 
     def delete(self, ids: DataFrame) -> None:
-        self._change(ids, lambda rows: delete(rows, ids))
+        self.log.delete(ids)
+        self._merged()
 
     def clear(self) -> None:
-        self._commit(self._last()[0], {})
+        self.log.clear()
 
 
 def ranked(rows: DataFrame, most: int, *order: Column) -> DataFrame:

@@ -508,4 +508,4 @@ def convert_documents(spark, sf_dir):
     return convert(files).select("id", "file_name", F.col("detected.format").alias("format"), F.md5("markdown").alias("md_md5"), "status", F.col("error.code").alias("code"))
 
 
-from . import media  # noqa: E402, F401  # registers its queries
+from . import media, stores  # noqa: E402, F401  # they register their queries

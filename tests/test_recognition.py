@@ -54,22 +54,27 @@ def test_one_file_is_many_tasks_work(spark):
     assert found.where("part IS NOT NULL AND id = 'b.pdf'").select("part.text").first()[0] == "xxx\nxxxx"
 
 
-def test_history_writers_do_not_overwrite_each_other(spark, tmp_path):
-    results = plan.convert(spark.createDataFrame([(f"{k}.txt", f"{k}.txt", 3, bytearray(b"abc")) for k in range(40)], "path string, name string, length long, content binary"))
+def test_history_recognizes_once_and_writes_what_changed(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def read(image, language):
+        with calls.open("a") as f:
+            f.write("x")
+        return [recognition.Line("found", 0.9)]
+
+    files = spark.createDataFrame([(f"{k}.bmp", f"{k}.bmp", 0, bytearray(samples.bmp(samples.bars(1, k)))) for k in range(3)], "path string, name string, length long, content binary")
+    results = plan.convert(files, recognition.Engines(ocr=read))
     store = history.Store(spark, str(tmp_path / "h"))
     store.add(results)
-    n, state = store._last()
-    assert store.read().count() == 40 and len(state) > 8
-    store.delete(store.read().where("file_name = '3.txt'").select("id"))
-    changed = store._last()[1]
-    assert store.read().count() == 39 and sum(changed[p] != state[p] for p in state if p in changed) <= 1
-    with pytest.raises(RuntimeError):
-        store._commit(n, state)
-    for _ in range(5):
-        store.clear()
-        store.add(results)
-    assert store.read().count() == 40
-    assert len(list((tmp_path / "h" / "states").iterdir())) == history.Store.KEPT
+    assert calls.read_text() == "xxx" and store.read().count() == 3
+    other = history.Store(spark, str(tmp_path / "h"))
+    other.delete(store.read().where("file_name = '1.bmp'").select("id"))
+    assert sorted(r.file_name for r in store.read().collect()) == ["0.bmp", "2.bmp"]
+    written = spark.read.parquet(f"{tmp_path}/h/data/{store.log.runs()[-1].data}")
+    assert written.count() == 1
+    for _ in range(9):
+        store.delete(spark.createDataFrame([("nothing",)], "id string"))
+    assert store.read().count() == 2 and len(store.log.runs()) < 8
 
 
 def test_order_and_last(spark):
