@@ -25,3 +25,20 @@ def history_merged(spark, sf_dir):
     log.merge()
     log.put(good.where("toxic = 1").select("doc_id", F.lit("again").alias("source"), "text"))
     return log.read().select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
+@query("""
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g),
+    x AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 3600 SECOND AS times_out, count(*) AS n FROM s GROUP BY user_id, k)
+    SELECT user_id, 'timeout' AS code, started, times_out, n FROM x WHERE times_out <= (SELECT max(ts) FROM events) - (SELECT to_microseconds(2 * ((epoch_us(max(ts)) - epoch_us(min(ts))) // 8 // 1000000 + 1) * 1000000) FROM events)""")
+def live_timeouts(spark, sf_dir):
+    """Events replayed as a stream in batches; up to where its watermark comes, users' silences of an hour."""
+    from ..streaming import timeouts
+
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    ends = events.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
+    late = 2 * ((ends.hi - ends.lo) // 8 // 1_000_000 + 1) if ends.lo is not None else 1
+    stream = timeouts.replayed(events, scratch_path(spark, "replayed"))
+    found = timeouts.live_timeouts(stream, "user_id", "ts", 3600, f"{late} seconds")
+    found = timeouts.drained(found, scratch_path(spark, "timeouts"), scratch_path(spark, "timeouts-state"))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "times_out")})
