@@ -50,14 +50,32 @@ def test_judge(spark, budget):
 
 def test_fraction_is_a_prefix_of_the_keys(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
-    rows = docs.select("source", docs.doc_id.alias("id"), mixing.words(docs.text).alias("size")).selectExpr("*", "1.0D as weight")
-    found = mixing.plan(rows)
+    rows = docs.select("source", docs.doc_id.alias("id"), mixing.words(docs.text).alias("size")).selectExpr("*", "0L AS content", "1.0D as weight")
+    runs = mixing._runs(rows, mixing.SEED)
+    met = mixing.drawn(runs, mixing.plan(runs)).collect()
     for s in ("hot", "s1", "s2"):
-        own = sorted((r.key, r.id, r.size, r.copies) for r in mixing._taken(rows, found, mixing.SEED).where(f"source = '{s}'").collect() if r.id is not None)
+        own = sorted((r.key, r.id, r.size, r.copies) for r in met if r.source == s and r.id is not None)
         copies = [c for *_, c in own]
         assert copies == sorted(copies, reverse=True)
 
 
+@pytest.mark.parametrize("ids", [lambda i: None if i % 2 else i, lambda i: 7, lambda i: None])
+def test_rows_that_share_an_id_are_taken_one_by_one(spark, ids):
+    # half without an id, or one id for all; a third of the rows equal in all columns
+    rows = [(ids(i), "ten words " * 5 + ("" if i % 3 == 0 else str(i)), "s") for i in range(2000)] + [(i, "ten words " * 5, "t") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for budget in (0.3, 1.5):
+        got = mixing.judge(docs, budget=budget).collect()
+        for s in "st":
+            own = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 11
+            assert max(r.copies for r in own) - min(r.copies for r in own) <= 1
+        assert sorted(map(str, mixing.judge(docs.repartition(3), budget=budget).collect())) == sorted(map(str, got))
+        mixed = mixing.mix(docs, budget=budget).collect()
+        for s in "st":
+            assert sum(len(r.text.split()) for r in mixed if r.source == s) == sum(r.taken for r in got if r.source == s)
+
+
 def test_mix_repeats_rows_and_keeps_columns(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string").selectExpr("*", "1 as copies", "2 as key")
     got = mixing.mix(docs).collect()
