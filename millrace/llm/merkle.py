@@ -290,6 +290,7 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc
     spark = docs.sparkSession
     path = path or fresh_path(spark, "manifest")
     rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), leaf(*(F.col(c) for c in fields)).alias("hash"), *(c.alias(name) for name, c in more.items()))
+    rows = materialize(rows, "hashed")  # sorting samples its input, which is not to be the texts
     placed = numbered(rows, ["source"], ["id", "hash"], "leaves", "pos", "size", "tree")
     placed.write.parquet(f"{path}/rows")
     placed = spark.read.schema(placed.schema).parquet(f"{path}/rows")

@@ -60,6 +60,7 @@ def turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     conversation belong to none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = conversations.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.sha2(text, 256).alias("said"), F.octet_length(text).cast("long").alias("bytes"))
+    rows = materialize(rows, "said")  # sorting samples its input, which is not to be the texts
     return numbered(rows, ["conv_id"], ["turn", "role", "said"], "turns").drop("turn")
 
 
