@@ -40,8 +40,10 @@ HOT_WORDS = 400_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 500_000
 SUFFIX = "</w>"
-#: So few words of one length look their pieces up one by one.
-FEW = 24
+#: So few words of one length are read one by one, place by place.
+FEW = 12
+#: Places of one word that are read at once, and a length up to which a word's pieces are looked up by their letters.
+WINDOW, SHORT = 1 << 15, 64
 #: Words that are solved together.
 TOGETHER = 60_000
 _STEP, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -73,8 +75,8 @@ class Pieces:
     that of no piece. ``open`` is the log-probability of the arc that leads to them; ``total`` is the uses of all arcs
     over whole words, of that one, and of ends.
 
-    Words of one length are solved side by side, and many find their pieces by 64-bit hashes of their substrings.
-    All recursions are in log space."""
+    Words of one length are solved side by side; a few are solved one by one, in windows of their places, so that a word
+    may be as long as a text. Pieces are found by 64-bit hashes of substrings. All recursions are in log space."""
 
     def __init__(self, inner: dict[bytes, int], final: dict[bytes, int], logs: np.ndarray, open: float = 0.0, total: float = 1.0) -> None:
         self.inner, self.final, self.open, self.total = inner, final, open, total
@@ -122,20 +124,103 @@ class Pieces:
     def _edges(self, words: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, words that have a piece there, its number), by start, of words of one length."""
         n, none = len(words[0]), self.none
-        letters = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n) if len(words) > FEW else None
+        letters = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n)
         for start in range(n):
             hashes = np.zeros(len(words), np.uint64)
             for end in range(start + 1, min(n, start + self.longest) + 1):
-                if letters is None:
-                    get = self.final.get if end == n else self.inner.get
-                    numbers = np.array([get(w[start:end], none) for w in words])
-                else:
-                    hashes = _hash(letters[:, end - 1 : end], hashes)
-                    numbers = self._find(hashes * FINAL if end == n else hashes)
+                hashes = _hash(letters[:, end - 1 : end], hashes)
+                numbers = self._find(hashes * FINAL if end == n else hashes)
                 hit = np.flatnonzero(numbers != none)
                 if len(hit):
                     yield start, end, hit, numbers[hit]
 
+    def _window(self, word: bytes, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends, starts and numbers of the pieces of one word that end behind ``a`` and not behind ``b``, by their ends."""
+        n, none, low = len(word), self.none, max(0, a + 1 - self.longest)
+        ends, starts, numbers = [], [], []
+        if n <= SHORT:
+            for end in range(a + 1, b + 1):
+                get = self.final.get if end == n else self.inner.get
+                for start in range(max(0, end - self.longest), end):
+                    if (k := get(word[start:end])) is not None:
+                        ends.append(end)
+                        starts.append(start)
+                        numbers.append(k)
+            return np.array(ends, np.int64), np.array(starts, np.int64), np.array(numbers, np.int64)
+        letters = np.frombuffer(word, np.uint8, b - low, low).reshape(-1, 1)
+        hashes = np.zeros(b - low, np.uint64)
+        for size in range(1, min(self.longest, b - low) + 1):
+            hashes = _hash(letters[size - 1 :], hashes[: len(letters) - size + 1].copy())
+            first = max(0, a + 1 - size - low)
+            at = np.arange(first, len(hashes))
+            found = hashes[first:].copy()
+            if b == n and len(found):
+                found[-1:] *= FINAL
+            number = self._find(found)
+            hit = np.flatnonzero(number != none)
+            starts.append(at[hit] + low)
+            ends.append(at[hit] + low + size)
+            numbers.append(number[hit].astype(np.int64))
+        ends, starts, numbers = map(np.concatenate, (ends, starts, numbers))
+        order = np.argsort(ends, kind="stable")
+        return ends[order], starts[order], numbers[order]
+
+    def _read(self, front: list[float], low: int, a: int, b: int, ends: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> list[float]:
+        """``front``, the logs of the ways to each place from ``low`` to ``a``, extended to ``b``."""
+        front, exp, log = list(front), math.exp, math.log
+        cuts = np.searchsorted(ends, np.arange(a + 1, b + 2)).tolist()
+        starts, weights = (starts - low).tolist(), weights.tolist()
+        for i, j in zip(cuts, cuts[1:]):
+            ways = [front[s] + w for s, w in zip(starts[i:j], weights[i:j])]
+            best = max(ways, default=-math.inf)
+            front.append(best + log(sum([exp(x - best) for x in ways])) if best > -math.inf else best)
+        return front
+
+    def _windows(self, n: int) -> list[tuple[int, int]]:
+        return [(a, min(n, a + WINDOW)) for a in range(0, n, WINDOW)]
+
+    def _along(self, word: bytes) -> tuple[float, list[tuple[int, list[float]]]]:
+        """The log of all ways through one word; and for each window its lowest place and the logs up to its beginning.
+        Beside these, what is held is one window's."""
+        front, low, kept = [0.0], 0, []
+        for a, b in self._windows(len(word)):
+            new = max(0, a + 1 - self.longest)
+            front, low = front[new - low :], new
+            kept.append((low, front))
+            ends, starts, numbers = self._window(word, a, b)
+            front = self._read(front, low, a, b, ends, starts, self.logs[numbers])
+        return front[-1], kept
+
+    def _uses(self, word: bytes, kept: list[tuple[int, list[float]]], at_end: float, sums: np.ndarray) -> None:
+        """Add the expected uses of pieces in one word to ``sums``: from the last window to the first, whose logs of ways
+        to its places are found again. ``at_end``: the log of the word's uses less that of all its ways."""
+        back = {len(word): at_end}
+        for (a, b), (low, front) in reversed([*zip(self._windows(len(word)), kept, strict=True)]):
+            ends, starts, numbers = self._window(word, a, b)
+            weights = self.logs[numbers]
+            front = np.array(self._read(front, low, a, b, ends, starts, weights))
+            # in order of their starts, the later first, each piece's end is known
+            behind = np.full(b - low + 1, -np.inf)
+            for place, x in back.items():
+                behind[place - low] = x
+            behind = self._back(behind.tolist(), low, a, b, ends, starts, weights)
+            np.add.at(sums, numbers, np.exp(front[starts - low] + weights + np.array(behind)[ends - low]))
+            back = {low + k: x for k, x in enumerate(behind[: a - low + 1])}
+
+    def _back(self, behind: list[float], low: int, a: int, b: int, ends: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> list[float]:
+        exp, log1p = math.exp, math.log1p
+        cuts = np.searchsorted(ends, np.arange(a + 1, b + 2)).tolist()
+        starts, weights = (starts - low).tolist(), weights.tolist()
+        for place in range(b, a, -1):
+            then = behind[place - low]
+            for k in range(cuts[place - a - 1], cuts[place - a]):
+                s, way = starts[k], weights[k] + then
+                now = behind[s]
+                if now < way:
+                    now, way = way, now
+                behind[s] = now + log1p(exp(way - now)) if now > -math.inf else now
+        return behind
+
     def _forward(self, words: list[bytes], edges: list) -> np.ndarray:
         front = np.full((len(words[0]) + 1, len(words)), -np.inf)
         front[0] = 0
@@ -148,7 +233,7 @@ class Pieces:
         out = np.full(len(words), -np.inf)
         for at in _by_length(words):
             same = [words[k] for k in at]
-            out[at] = self._forward(same, self._edges(same))[-1]
+            out[at] = self._forward(same, self._edges(same))[-1] if len(same) > FEW else [self._along(w)[0] for w in same]
         return np.logaddexp(out + self.open, whole)
 
     def expect(self, words: list[bytes], counts: np.ndarray, whole: np.ndarray, discount: float, sums: np.ndarray) -> np.ndarray:
@@ -157,6 +242,15 @@ class Pieces:
         kept = np.zeros(len(words))
         for at in _by_length(words):
             same = [words[k] for k in at]
+            if len(same) <= FEW:
+                for k, word in zip(at, same, strict=True):
+                    ways, fronts = self._along(word)
+                    own = np.exp(whole[k] - np.logaddexp(whole[k], ways + self.open))
+                    kept[k] = max(counts[k] * own - discount, 0)
+                    left = counts[k] - kept[k]
+                    if left > 0 and ways > -math.inf:
+                        self._uses(word, fronts, math.log(left) - ways, sums)
+                continue
             edges = list(self._edges(same))
             front = self._forward(same, edges)
             own = np.exp(whole[at] - np.logaddexp(whole[at], front[-1] + self.open))

@@ -130,3 +130,38 @@ def test_empty(spark):
     assert lattice.judge(docs).collect() == []
     only = spark.createDataFrame([(2, "a b")], "doc_id long, text string")
     assert len(lattice.judge(only).collect()) == 1
+
+
+def test_words_read_alone_and_side_by_side_agree(monkeypatch):
+    pieces = lattice.first_pieces(lattice.vocabulary())
+    pieces.open, pieces.total = -1.0, 1000.0
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 7, 63, 64, 65, 300):
+        words = [bytes(rng.choice(np.frombuffer("the ing an été".encode().replace(b" ", b""), np.uint8), size)) for _ in range(6)]
+        counts, whole = np.array([1.0, 2, 3, 4, 5, 6]), np.log(np.array([0.5, 1, 2, 3, 0.1, 6]) / 1000)
+        found = []
+        for few, window in ((0, 1 << 15), (99, 1 << 15), (99, 20)):
+            monkeypatch.setattr(lattice, "FEW", few)
+            monkeypatch.setattr(lattice, "WINDOW", window)
+            sums = np.zeros(pieces.none + 1)
+            kept = pieces.expect(words, counts, whole, 0.4, sums)
+            found.append((pieces.log_probs(words, whole), kept, sums))
+        for other in found[1:]:
+            assert all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(found[0], other, strict=True))
+
+
+def test_a_word_of_a_megabyte():
+    import time
+    import tracemalloc
+
+    pieces = lattice.first_pieces(lattice.vocabulary())
+    word = ("中文没有空格" * 60_000).encode()[:1_000_000]
+    began = time.process_time()
+    assert pieces.log_probs([word], np.array([-np.inf]))[0] < -1e5
+    assert time.process_time() - began < 20
+    tracemalloc.start()
+    sums = np.zeros(pieces.none + 1)
+    pieces.expect([word[:100_000]], np.array([1.0]), np.array([-np.inf]), 0.5, sums)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums.sum() > 3e4 and most < 60e6
