@@ -1,14 +1,22 @@
-"""Registered queries over stores: the log of changes."""
+"""Registered queries over stores and streams: the log of changes, archives, silences."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import archives
+from ..sources import ranges
 from ..sources.changelog import ChangeLog
 from ..sources.scratch import scratch_path
 from .catalogue import query, table
 
 
+def crc_sql(column: str) -> str:
+    """CRC-32 of a text's bytes: a shift register, eight steps a byte."""
+    bits = f"flatten(list_transform(regexp_extract_all(hex(encode({column})), '..'), lambda h: [CAST('0x' || h AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"
+
+
 @query("""
     WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)
     SELECT d.doc_id, CASE WHEN toxic = 1 AND quality = 1 THEN 'again' WHEN quality = 1 THEN 'good ' || source ELSE source END AS source, md5(d.text) AS text_md5
@@ -42,3 +50,38 @@ def live_timeouts(spark, sf_dir):
     found = timeouts.live_timeouts(stream, "user_id", "ts", 3600, f"{late} seconds")
     found = timeouts.drained(found, scratch_path(spark, "timeouts"), scratch_path(spark, "timeouts-state"))
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "times_out")})
+
+
+def _archived(parts, key: str, part_order: list[str], most: int = 50_000) -> str:
+    """Archives of ``parts`` in a folder of their own: as many as the format's count of entries needs."""
+    spark, folder = parts.sparkSession, scratch_path(parts.sparkSession, "archives")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    ends = parts.agg(F.min(F.floor(F.col(key) / most)), F.max(F.floor(F.col(key) / most))).first()
+    for k in range(ends[0] or 0, (ends[1] or 0) + 1):
+        archives.write_archive(parts.where((F.col(key) >= k * most) & (F.col(key) < (k + 1) * most)), f"{folder}/{k}.zip", [key], part_order)
+    return folder
+
+
+@query(f"""
+    WITH e AS (SELECT conv_id, 'chat ' || conv_id || '.md' AS name, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id),
+    s AS (SELECT *, octet_length(encode(body)) AS size, 30 + octet_length(encode(name)) AS head FROM e)
+    SELECT conv_id, name, CAST(sum(head + size) OVER (PARTITION BY conv_id // 50000 ORDER BY conv_id) - head - size AS BIGINT) AS local_offset, size, {crc_sql("body")} AS crc, md5(body) AS content_md5 FROM s""")
+def parallel_archive(spark, sf_dir):
+    """Conversations as archives of 50,000 ids each, a part for each turn, each archive written by all tasks; read back by
+    directory and ranges."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("chat "), F.col("conv_id").cast("string"), F.lit(".md")).alias("name"), F.encode(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")), "UTF-8").alias("data"))
+    found = ranges.entry_contents(ranges.archives_at(spark, _archived(turns, "conv_id", ["turn"])).where("name IS NOT NULL").repartition("path", "no"))
+    return found.select(F.regexp_extract("name", r"(-?\d+)", 1).cast("long").alias("conv_id"), "name", "local_offset", "size", "crc", F.md5("content").alias("content_md5"))
+
+
+@query("""
+    SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size, md5(coalesce(text, '')) AS content_md5 FROM documents d
+    WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)""")
+def archive_entries(spark, sf_dir):
+    """Documents in archives; of the directories the entries of toxic documents, and of the archives their ranges."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("data"))
+    entries = ranges.archives_at(spark, _archived(docs, "doc_id", [])).where("name IS NOT NULL").withColumn("doc_id", F.col("name").cast("long"))
+    wanted = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    found = ranges.entry_contents(entries.join(wanted, "doc_id", "left_semi").repartition("path", "no"))
+    return found.select("doc_id", "size", F.md5("content").alias("content_md5"))
