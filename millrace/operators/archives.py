@@ -158,9 +158,14 @@ class Written(WriterCommitMessage):
         self.n = n
 
 
+def write_placed(rows: DataFrame, path: str, size: int, overwrite: bool = False) -> None:
+    """Write rows of (offset, data), which cover it, as one file of ``size`` bytes."""
+    rows.sparkSession.dataSource.register(PlacedFile)
+    rows.write.format("placed_file").option("path", path).option("size", size).mode("overwrite" if overwrite else "append").save()
+
+
 def write_archive(parts: DataFrame, path: str, order: list[str], part_order: list[str], name: str = "name", data: str = "data", overwrite: bool = False) -> int:
     """Write ``parts`` as one stored archive at ``path``; its size. No entries make an archive of none."""
     rows, size = segments(parts, order, part_order, name, data)
-    parts.sparkSession.dataSource.register(PlacedFile)
-    rows.write.format("placed_file").option("path", path).option("size", size).mode("overwrite" if overwrite else "append").save()
+    write_placed(rows, path, size, overwrite)
     return size

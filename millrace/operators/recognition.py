@@ -4,7 +4,7 @@ empty slot gives error rows, never made-up text."""
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..sources.documents import pdf_image, whole
+from ..sources.documents import pdf_images, whole
 
 WEAK = 0.5
 
@@ -56,12 +56,22 @@ def _missing(kind: str):
     return engine
 
 
+def page_pictures(data: bytes) -> Callable[[int], bytes]:
+    """Of a document, parsed once, the image that fills a scanned page; pages of no image need a renderer, and engines get
+    the document itself."""
+    image = pdf_images(data)
+
+    def draw(page: int) -> bytes:
+        try:
+            return image(page)
+        except ValueError:
+            return data
+
+    return draw
+
+
 def page_picture(data: bytes, page: int) -> bytes:
-    """The image that fills a scanned page; pages of no image need a renderer, and engines get the document itself."""
-    try:
-        return pdf_image(data, page)
-    except ValueError:
-        return data
+    return page_pictures(data)(page)
 
 
 @dataclass(frozen=True)
@@ -127,24 +137,21 @@ def ocr_column(engines: Engines):
     return recognize
 
 
-def pictures_column(engines: Engines):
-    """The pages (numbers) of a document as images, or the reason why there is none; null documents give nulls."""
+def drawn(data: bytes, pages: Iterable[int], engines: Engines) -> Iterator[tuple[int, bytes | None, str | None]]:
+    """(page, image, None) or (page, None, the reason why there is none), one page at a time of a document parsed once."""
+    try:
+        draw = page_pictures(data) if engines.render is page_picture else lambda page: engines.render(data, page)
+    except Exception as e:
+        reason = whole(str(e))
 
-    @F.pandas_udf("array<struct<page:int,image:binary,message:string>>")
-    def draw(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for documents, numbers in batches:
-            rows = []
-            for data, pages in zip(documents, numbers, strict=True):
-                found = []
-                for page in [] if data is None or pages is None else pages:
-                    try:
-                        found.append({"page": int(page), "image": engines.render(bytes(data), int(page)), "message": None})
-                    except Exception as e:
-                        found.append({"page": int(page), "image": None, "message": whole(str(e))})
-                rows.append(found)
-            yield pd.Series(rows)
+        def draw(page: int) -> bytes:
+            raise ValueError(reason)
 
-    return draw
+    for page in pages:
+        try:
+            yield page, draw(page), None
+        except Exception as e:
+            yield page, None, whole(str(e))
 
 
 def asr_column(engines: Engines):

@@ -7,16 +7,20 @@ together again by one shuffle on the file, without pictures or samples. A failur
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.geometry import chunk_bounds
 from ..functions.text import decode_text, effective_language, fence, trim
 from ..operators import audio, pages
-from ..operators.recognition import Engines, asr_column, ocr_column, pictures_column
-from ..sources.audio import wav_samples
+from ..operators.recognition import Engines, asr_column, drawn, ocr_column
+from ..sources.audio import chunks, cut, layout
 from ..sources.classify import classified
 from ..sources.documents import analyze
 from ..sources.files import too_large
@@ -102,27 +106,54 @@ ITEM = "struct<no:int,image:binary,samples:array<float>,message:string>"
 
 
 def _items(rows: DataFrame, engines: Engines) -> DataFrame:
-    """(id, base, item): of each file what is known of it, with item.no -1, and its pictures and chunks, without that."""
+    """(id, base, item): of each file what is known of it, with item.no -1, and its pictures and chunks, without that. Pictures
+    and chunks come one in a batch: no row or batch holds two, and of a recording no more is decoded at once."""
     kind, content = F.col("detected.category"), F.col("content")
     rows = rows.withColumn("a", analyze(F.when(kind == "document", content), F.col("detected.format")))
-    rows = rows.withColumn("w", wav_samples(F.when(kind.isin("audio", "video"), content)))
-    rows = rows.withColumn("drawn", pictures_column(engines)(F.when(F.size("a.pages_needing_ocr") > 0, content), F.col("a.pages_needing_ocr")))
-
-    def item(no: Column, image: Column | None = None, samples: Column | None = None, message: Column | None = None) -> Column:
-        return F.struct(no.cast("int"), _null("binary") if image is None else image, _null("array<float>") if samples is None else samples, _null("string") if message is None else message).cast(ITEM)
-
-    none = F.array().cast(f"array<{ITEM}>")
-    cut = F.transform(chunk_bounds(F.size("w.samples")), lambda c: item(c["chunk_no"], samples=F.slice("w.samples", (c["start"] + 1).cast("int"), (c["end"] - c["start"]).cast("int"))))
-    parts = F.concat(
-        F.array(item(F.lit(-1))),
-        F.when(kind == "image", F.array(item(F.lit(0), content))).otherwise(none),
-        F.coalesce(F.transform("drawn", lambda p: item(p["page"], p["image"], message=p["message"])), none),
-        F.when(F.coalesce(F.size("w.samples") > 0, F.lit(False)), cut).otherwise(none),
-    )
-    problem = F.when(F.col("w.error").isNotNull(), F.struct(F.lit("internal").alias("code"), F.col("w.error").alias("message")))
-    base = F.struct("name", "length", "detected", "a", problem.alias("problem"))
-    exploded = rows.select("id", base.alias("base"), F.explode(parts).alias("item"))
-    return exploded.select("id", F.when(F.col("item.no") == -1, F.col("base")).alias("base"), "item")
+    base = F.struct("name", "length", "detected", "a")
+    pages = F.when(kind == "document", F.col("a.pages_needing_ocr"))
+    known = rows.select("id", base.alias("base"), kind.alias("kind"), F.when(kind.isin("image", "audio", "video") | (F.size(pages) > 0), content).alias("content"), pages.alias("pages"))
+    schema = T.StructType([known.schema["id"], T.StructField("base", known.schema["base"].dataType), T.StructField("item", T._parse_datatype_string(ITEM)), T.StructField("problem", T.StringType())])
+    (_, base_type, item_type, _) = to_arrow_schema(schema).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                number, content = row.column(0)[0].as_py(), row.column(3)[0].as_py()
+                first = problem = None
+                for item in _parts(row.column(2)[0].as_py(), content, row.column(4)[0].as_py() or [], engines):
+                    if isinstance(item, str):
+                        problem = item
+                    else:
+                        one = dict(zip(("no", "image", "samples", "message"), item, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, base_type), pa.array([one], item_type), pa.nulls(1, pa.string())], names=["id", "base", "item", "problem"])
+                first = {"no": -1, "image": None, "samples": None, "message": None}
+                yield pa.RecordBatch.from_arrays([pa.array([number]), row.column(1).cast(base_type), pa.array([first], item_type), pa.array([problem]).cast(pa.string())], names=["id", "base", "item", "problem"])
+
+    found = known.mapInArrow(run, schema)
+    problem = F.when(F.col("problem").isNotNull(), F.struct(F.lit("internal").alias("code"), F.col("problem").alias("message")))
+    whole = F.struct("base.name", "base.length", "base.detected", "base.a", problem.alias("problem"))
+    return found.select("id", F.when(F.col("base").isNotNull(), whole).alias("base"), "item")
+
+
+def _parts(kind: str, content: bytes | None, pages: list[int], engines: Engines) -> Iterator[tuple | str]:
+    """(no, image, samples, message) of what is to be recognized in a file; a text says why there is nothing."""
+    if kind == "image":
+        yield 0, content, None, None
+    elif kind in ("audio", "video"):
+        try:
+            form = layout(lambda at, n: content[at : at + n], len(content))
+            if form is None:
+                yield "not a WAV file that can be decoded"
+            elif form.samples:
+                for no, start, end in chunks(form.samples):
+                    yield no, None, cut(lambda at, n: content[at : at + n], form, start, end), None
+        except (ValueError, KeyError, struct.error) as e:
+            yield str(e)
+    elif content is not None:
+        for page, image, message in drawn(content, map(int, pages), engines):
+            yield page, image, None, message
 
 
 def _recognized(items: DataFrame, engines: Engines, language: Column) -> DataFrame:

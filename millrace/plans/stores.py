@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import functions as F
 
 from ..operators import archives
+from ..operators.offsets import running
+from ..sources import audio as recordings
 from ..sources import ranges
 from ..sources.changelog import ChangeLog
 from ..sources.scratch import scratch_path
@@ -85,3 +89,30 @@ def archive_entries(spark, sf_dir):
     wanted = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     found = ranges.entry_contents(entries.join(wanted, "doc_id", "left_semi").repartition("path", "no"))
     return found.select("doc_id", "size", F.md5("content").alias("content_md5"))
+
+
+@query("""
+    WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, ((CAST(floor(value * 100) AS BIGINT) & 65535) - 32768) / CAST(32768 AS DOUBLE) AS v FROM events),
+    n AS (SELECT CAST(floor(count(*) / 2.5 + 0.5) AS BIGINT) AS n, count(*) AS frames FROM e),
+    c AS (SELECT k AS chunk_no, k * 900 AS start, least(k * 900 + 1000, n) AS stop, frames FROM n, (SELECT unnest(generate_series(0, CASE WHEN n <= 1000 THEN 0 ELSE CAST(ceil((n - 1000) / 900.0) AS BIGINT) END)) AS k FROM n)),
+    j AS (SELECT chunk_no, start, stop, frames, unnest(generate_series(start, stop - 1)) AS j FROM c)
+    SELECT CAST(chunk_no AS INTEGER) AS chunk_no, start, stop, CAST(sum((j - start + 1) * CAST(floor(CAST(CAST(a.v + (b.v - a.v) * (j * CAST(2.5 AS DOUBLE) - floor(j * CAST(2.5 AS DOUBLE))) AS FLOAT) AS DOUBLE) * 1000000 + 0.5) AS BIGINT)) AS BIGINT) AS checksum
+    FROM j JOIN e a ON a.i = least(CAST(floor(j * CAST(2.5 AS DOUBLE)) AS BIGINT), frames - 1) JOIN e b ON b.i = least(CAST(floor(j * CAST(2.5 AS DOUBLE)) AS BIGINT) + 1, frames - 1) GROUP BY ALL""")
+def range_recording(spark, sf_dir):
+    """Events' values as one recording at 40 kHz, written at offsets by all tasks; its chunks from their own ranges of bytes."""
+    value = F.floor(F.col("value") * 100).bitwiseAND(F.lit(65_535).cast("long")) - 32_768
+    frames = running(table(spark, sf_dir, "events").select("event_id", value.alias("v")), ["event_id"], to="i")
+    n = frames.count()
+    # each frame two bytes, least first, a few thousand of them a row
+    two = F.hex(F.pmod("v", F.lit(65_536)))
+    frame = F.lpad(two, 4, "0")
+    blocks = frames.groupBy(F.floor(F.col("i") / 4096).alias("b")).agg(F.array_sort(F.collect_list(F.struct("i", F.concat(F.substring(frame, 3, 2), F.substring(frame, 1, 2)).alias("h")))).alias("f"))
+    body = blocks.select((44 + F.col("b") * 8192).alias("offset"), F.unhex(F.array_join(F.transform("f", lambda x: x["h"]), "")).alias("data"))
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + 2 * n, b"WAVE", b"fmt ", 16, 1, 1, 40_000, 80_000, 2, 16, b"data", 2 * n)
+    first = spark.range(1).select(F.lit(0).cast("long").alias("offset"), F.lit(head).alias("data"))
+    path = scratch_path(spark, "recording") + ".wav"
+    archives.write_placed(body.unionByName(first), path, 44 + 2 * n)
+    chunks = recordings.chunks_of(spark.createDataFrame([(path,)], "path string"), size=1000, overlap=100)
+    found = recordings.samples_of(chunks.repartition("chunk_no"))
+    checksum = F.aggregate(F.arrays_zip("samples", F.sequence(F.lit(1), F.size("samples"))), F.lit(0).cast("long"), lambda acc, x: acc + x["1"] * F.floor(x["samples"].cast("double") * 1_000_000 + 0.5))
+    return found.where("error IS NULL AND chunk_no IS NOT NULL").select("chunk_no", "start", F.col("end").alias("stop"), checksum.alias("checksum"))

@@ -216,13 +216,15 @@ class Pdf:
             raise DocumentError("encrypted", "This PDF is password-protected.")
         self.objects = {int(m[1]): m[2] for m in re.finditer(rb"(?s)(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data)}
         self.trailers = re.findall(rb"(?s)\btrailer\b(.*?)\bstartxref\b", data)
+        plain = set(self.objects)
         for body in list(self.objects.values()):
             if re.search(rb"/Type\s*/ObjStm\b", body):
                 content, first = self.stream(body), self.number(body, b"First")
                 pairs = [int(x) for x in re.findall(rb"\d+", content[:first])]
                 starts = pairs[1::2]
                 for key, a, b in zip(pairs[::2], starts, [*starts[1:], len(content)], strict=False):
-                    self.objects.setdefault(key, content[first + a : first + b])
+                    if key not in plain:  # of two streams that hold an object the later one counts
+                        self.objects[key] = content[first + a : first + b]
 
     def number(self, body: bytes, name: bytes) -> int:
         found = re.search(rb"/" + name + rb"\s+(\d+)(\s+\d+\s+R)?", body)
@@ -303,10 +305,20 @@ def pdf_pages(data: bytes) -> list[str]:
     return out
 
 
+def pdf_images(data: bytes) -> Callable[[int], bytes]:
+    """A document, parsed once, as the images of its pages (see ``pdf_image``)."""
+    made = Pdf(data)
+    pages = made.pages()
+    return lambda page: _image(made, pages, page)
+
+
 def pdf_image(data: bytes, page: int) -> bytes:
     """The largest image that stands on a page (from 1): JPEG and such as they are, plain gray or RGB pixels as a PNG."""
-    made = Pdf(data)
-    pages, best = made.pages(), (0, b"")
+    return pdf_images(data)(page)
+
+
+def _image(made: Pdf, pages: list[tuple[bytes, bytes]], page: int) -> bytes:
+    best = (0, b"")
     resources = pages[page - 1][1] if 0 < page <= len(pages) else b""
     for key in re.findall(rb"/[^\s/<>\[\]()]+\s+(\d+)\s+\d+\s+R", made.value(resources, b"XObject").partition(b">>")[0]):
         body = made.objects.get(int(key), b"")
