@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogs, geometry, text
 from ..functions.lazy import bound
-from ..operators import audio, export, history, image, pages, recognition
+from ..operators import audio, export, history, image, pages, recognition, selection
 from ..sources import archive, classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,7 +367,7 @@ def event_gaps(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT user_id, list_sort(list(g))[count(g) // 2 + 1] AS med FROM ({_GAPS}) WHERE g IS NOT NULL GROUP BY user_id")
 def upper_median_gap(spark, sf_dir):
-    return event_gaps(spark, sf_dir).where("g IS NOT NULL").groupBy("user_id").agg(geometry.upper_median(F.collect_list("g")).alias("med"))
+    return selection.upper_median(event_gaps(spark, sf_dir), "user_id", "g", "med")
 
 
 @query(f"""
@@ -377,7 +377,7 @@ def upper_median_gap(spark, sf_dir):
 def gap_sessions(spark, sf_dir):
     """Events cut at gaps of over 2.5 times the middle gap, as words are cut from a line."""
     g = event_gaps(spark, sf_dir)
-    limit = g.where("g IS NOT NULL").groupBy("user_id").agg(F.greatest(F.lit(8_000_000.0), 2.5 * geometry.upper_median(F.collect_list("g"))).alias("lim"))
+    limit = selection.upper_median(g, "user_id", "g").select("user_id", F.greatest(F.lit(8_000_000.0), 2.5 * F.col("median")).alias("lim"))
     k = F.sum(F.when(F.col("g") > F.col("lim"), 1).otherwise(0)).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     return g.join(limit, "user_id").select("user_id", k.alias("session_no")).groupBy("user_id", "session_no").agg(F.count("*").alias("n"))
 

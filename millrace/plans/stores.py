@@ -6,13 +6,13 @@ import struct
 
 from pyspark.sql import functions as F
 
-from ..operators import archives
+from ..operators import archives, contained, trigrams
 from ..operators.offsets import running
 from ..sources import audio as recordings
 from ..sources import ranges
 from ..sources.changelog import ChangeLog
 from ..sources.scratch import scratch_path
-from .catalogue import query, table
+from .catalogue import query, table, values
 
 
 def crc_sql(column: str) -> str:
@@ -116,3 +116,29 @@ def range_recording(spark, sf_dir):
     found = recordings.samples_of(chunks.repartition("chunk_no"))
     checksum = F.aggregate(F.arrays_zip("samples", F.sequence(F.lit(1), F.size("samples"))), F.lit(0).cast("long"), lambda acc, x: acc + x["1"] * F.floor(x["samples"].cast("double") * 1_000_000 + 0.5))
     return found.where("error IS NULL AND chunk_no IS NOT NULL").select("chunk_no", "start", F.col("end").alias("stop"), checksum.alias("checksum"))
+
+
+SOUGHT = ["the", "  ZUVER ", "éqx", "ing and", "zzzzqqq", "license"]
+
+
+@query(f"SELECT q AS query, doc_id FROM documents, (VALUES {values([(q,) for q in SOUGHT])}) t(q) WHERE contains(lower(text), lower(trim(q))) OR contains(lower(source), lower(trim(q)))")
+def indexed_search(spark, sf_dir):
+    """Several searches of the history's kind over an index of trigrams in blocks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = trigrams.build(docs, scratch_path(spark, "trigrams"), ("text", "source"))
+    out = None
+    for q in SOUGHT:
+        found = index.search(q).select(F.lit(q).alias("query"), "doc_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("""
+    WITH p AS (SELECT item_id AS o, text[1:12] AS p FROM benchmark WHERE length(text) >= 12 UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text[1:7] FROM conversations WHERE length(text) >= 7)
+    SELECT doc_id, (SELECT min(o) FROM p WHERE contains(d.text, p.p)) AS entry FROM documents d""")
+def first_entry(spark, sf_dir):
+    """Beginnings of benchmark passages and of turns as a catalog: the first entry that each document contains."""
+    bench = table(spark, sf_dir, "benchmark").where(F.length("text") >= 12).select(F.col("item_id").alias("ord"), F.substring("text", 1, 12).alias("pattern"))
+    turns = table(spark, sf_dir, "conversations").where(F.length("text") >= 7).select((1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.substring("text", 1, 7).alias("pattern"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contained.first_contained(docs, "text", bench.unionByName(turns), to="entry").select("doc_id", "entry")
