@@ -80,6 +80,12 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "source_size", "target")
 
 
+def lattice_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: counts of tokens and the base's score."""
+    found = op4_lattice_scoring(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
     "mixing_targets": mixing_targets,
+    "lattice_base": lattice_base,
 }
 
 ASCII_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,6 +117,12 @@ ORACLE_SQL: dict[str, str] = {
         w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS i, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] :: DOUBLE AS weight, 2.0 :: DOUBLE * s AS cap FROM d),
         l AS (SELECT *, cap / weight AS ratio, (1.5 :: DOUBLE * sum(s) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w WINDOW b AS (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT source, s AS source_size, round(least(cap, coalesce((SELECT arg_min(level, (ratio, i)) FROM l WHERE cap > level * weight) * weight, cap)), 4) AS target FROM l""",
+    "lattice_base": f"""
+        WITH d AS (SELECT doc_id, coalesce({checks.crc32("doc_id")} % 5 = 1, false) AS held_out, list_append({WORDS}, ' end') AS ws FROM documents),
+        t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+        n AS (SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(c) AS DOUBLE) + CAST(0.5 AS DOUBLE) * (count(*) + 1) AS floor FROM c)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c.c, 0) + CAST(0.5 AS DOUBLE)) / floor)), 5) AS base_score
+        FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out, n""",
     "op7_bm25_search": f"""
         WITH t AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
         a AS (SELECT count(*) AS docs, (SELECT count(*) FROM t) / count(*) AS mean FROM documents), f AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
