@@ -15,6 +15,8 @@ from ..sources import archive, classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: (query, SQL) over files that are made up: tests run them, nothing registers them.
+EXAMPLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
 
 def query(sql: str | None = None):
@@ -27,6 +29,14 @@ def query(sql: str | None = None):
     return add
 
 
+def example(sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        EXAMPLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,7 +50,7 @@ def values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
 
 
-# A case for each rule but those of ZIP packages, and at the borders: name, bytes in hex.
+# A beginning for each rule but those of ZIP packages, and at the borders: name, bytes in hex.
 SIGNATURES = [
     ("empty.bin", ""), ("a.pdf", "255044462d312e34"), ("b.rtf", "7b5c72746631"), ("c.zip", "504b0304"), ("d.zip", "504b0506"), ("e.zip", "504b0708"),
     ("f.png", "89504e470d0a1a0a"), ("g.jpg", "ffd8ffe0"), ("h.gif", "474946383761"), ("i.gif", "474946383961"), ("j.bmp", "424d3a00"), ("k.tif", "49492a00"), ("l.tif", "4d4d002a"),
@@ -52,10 +62,11 @@ SIGNATURES = [
 ]
 
 _CLASSIFY_SQL = f"""
-    WITH s(name, h) AS (VALUES {values(SIGNATURES)}),
+    WITH s(k, name, begins) AS (VALUES {values([(k, *x) for k, x in enumerate(SIGNATURES)])}),
+    b AS (SELECT doc_id, name, begins || CASE WHEN begins = '' THEN '' ELSE lower(hex(encode(coalesce(text[1:2048], '')))) END AS h FROM documents JOIN s ON k = doc_id % {len(SIGNATURES)}),
     d AS (SELECT *, CASE WHEN h LIKE 'efbbbf%' OR h LIKE 'fffe%' OR h LIKE 'feff%' THEN true
-        ELSE len(list_filter(regexp_extract_all(h, '..'), lambda x: (x < '20' AND x NOT IN ('09', '0a', '0d')) OR x = '7f')) * 20 <= length(h) / 2 END AS is_text FROM s),
-    r AS (SELECT name, CASE
+        ELSE len(list_filter(regexp_extract_all(h[1:4096], '..'), lambda x: (x < '20' AND x NOT IN ('09', '0a', '0d')) OR x = '7f')) * 20 <= length(h[1:4096]) / 2 END AS is_text FROM b),
+    r AS (SELECT doc_id, CASE
         WHEN h = '' THEN 'unsupported/empty/1'
         WHEN h LIKE '255044462d%' THEN 'document/pdf/0.99' WHEN h LIKE '7b5c727466%' THEN 'document/rtf/0.99'
         WHEN h LIKE '504b0304%' OR h LIKE '504b0506%' OR h LIKE '504b0708%' THEN 'unsupported/zip/0.5'
@@ -73,13 +84,22 @@ _CLASSIFY_SQL = f"""
         WHEN h LIKE '3026b2758e66cf11%' THEN 'unsupported/wmv/0.9' WHEN h LIKE 'd0cf11e0a1b11ae1%' THEN 'document/ole/0.9'
         WHEN is_text AND lower(split_part(name, '.', -1)) = 'csv' THEN 'document/csv/0.8' WHEN is_text THEN 'text/text/0.8'
         ELSE 'unknown/unknown/0.2' END AS k FROM d)
-    SELECT name, split_part(k, '/', 1) AS category, split_part(k, '/', 2) AS format, CAST(split_part(k, '/', 3) AS DOUBLE) AS confidence FROM r"""
+    SELECT doc_id, split_part(k, '/', 1) AS category, split_part(k, '/', 2) AS format, CAST(split_part(k, '/', 3) AS DOUBLE) AS confidence FROM r"""
+
+
+def dealt(spark: SparkSession, rows: DataFrame, key: str, cases: list[tuple], names: str) -> DataFrame:
+    """``rows`` with one of the cases each, in turn of their keys."""
+    numbered = spark.createDataFrame([(k, *x) for k, x in enumerate(cases)], f"_case int, {names}")
+    return rows.withColumn("_case", (F.col(key) % len(cases)).cast("int")).join(F.broadcast(numbered), "_case").drop("_case")
 
 
 @query(_CLASSIFY_SQL)
 def classify_signatures(spark, sf_dir):
-    rows = spark.createDataFrame(SIGNATURES, "name string, h string").withColumn("content", F.unhex("h"))
-    return classify.classified(rows).select("name", "detected.category", "detected.format", "detected.confidence")
+    """Documents behind the beginnings of files of all kinds; the one of no bytes stays alone."""
+    rows = dealt(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", SIGNATURES, "name string, h string")
+    body = F.when(F.col("h") == "", F.lit(b"")).otherwise(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    rows = rows.withColumn("content", F.concat(F.unhex("h"), body))
+    return classify.classified(rows).select("doc_id", "detected.category", "detected.format", "detected.confidence")
 
 
 def as_files(docs: DataFrame) -> DataFrame:
@@ -256,14 +276,13 @@ def stitch_fold(spark, sf_dir):
     return audio.transcripts(overlapping(spark, sf_dir), "conv_id", "turn", "part").select("conv_id", F.md5("text").alias("out_md5"))
 
 
-COUNTS = [(1,), (16000,), (480000,), (480001,), (928000,), (928001,), (1440000,), (57600000,)]
-
-
-@query(f"""
-    WITH s(n) AS (VALUES {values(COUNTS)}), k AS (SELECT n, unnest(generate_series(0, CASE WHEN n <= 480000 THEN 0 ELSE CAST(ceil((n - 480000) / 448000.0) AS BIGINT) END)) AS i FROM s)
-    SELECT n, CAST(i AS INTEGER) AS chunk_no, i * 448000 AS "start", least(i * 448000 + 480000, n) AS "end" FROM k""")
+@query("""
+    WITH s AS (SELECT doc_id, greatest(1, n_chars * 997 + doc_id % 3) AS n FROM documents), k AS (SELECT doc_id, n, unnest(generate_series(0, CASE WHEN n <= 480000 THEN 0 ELSE CAST(ceil((n - 480000) / 448000.0) AS BIGINT) END)) AS i FROM s)
+    SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, i * 448000 AS "start", least(i * 448000 + 480000, n) AS "end" FROM k""")
 def chunk_bounds(spark, sf_dir):
-    return spark.createDataFrame(COUNTS, "n long").select("n", F.explode(geometry.chunk_bounds(F.col("n"))).alias("c")).select("n", "c.chunk_no", "c.start", "c.end")
+    """Documents as recordings of some thousand samples a character."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(1), F.col("n_chars") * 997 + F.col("doc_id") % 3).alias("n"))
+    return rows.select("doc_id", F.explode(geometry.chunk_bounds(F.col("n"))).alias("c")).select("doc_id", "c.chunk_no", "c.start", "c.end")
 
 
 @query("""
@@ -422,46 +441,69 @@ def ctc_collapse(spark, sf_dir):
 SETTINGS = [(1, "auto", "whisper-tiny", "loading onnx-community/whisper-tiny now"), (2, "hi", "moonshine-base", "PP-OCRv3 Devanagari recognition"), (3, "ur", "whisper-base", None), (4, "xx", "moonshine-tiny", "nothing known"), (5, "en", "whisper-huge", "PP-OCRv3 mobile detection and PP-OCRv5 English recognition")]
 
 
+# what the catalogs say, written out: language keys, models and their sizes
+_LANGUAGE_SQL = "(VALUES ('auto', 'Auto (English)', 'en'), ('en', 'English', 'en'), ('hi', 'Hindi', 'hi'), ('ur', 'Urdu', 'ur')) l(k, label, ocr)"
+_SPEECH_SQL = "(VALUES ('moonshine', 'tiny', 'onnx-community/moonshine-tiny-ONNX', 28127173), ('moonshine', 'base', 'onnx-community/moonshine-base-ONNX', 62916062), ('whisper', 'tiny', 'onnx-community/whisper-tiny', 40886921), ('whisper', 'base', 'onnx-community/whisper-base', 76894612)) m(f, t, mid, b)"
+_READER_SQL = "(VALUES ('en', 'PP-OCRv5 English recognition', 7830888), ('hi', 'PP-OCRv3 Devanagari recognition', 8980224), ('ur', 'PP-OCRv3 Arabic/Urdu recognition', 8978664)) r(k, nm, b)"
+
+
 @query(f"""
-    WITH s(id, lang, model, detail) AS (VALUES {values(SETTINGS)}), l(k, label, ocr) AS (VALUES {values([(a, b, e) for a, b, _, _, e in catalogs.LANGUAGES])}), m(f, t, mid, b) AS (VALUES {values(catalogs.ASR_MODELS)}),
-    r(k, b) AS (VALUES {values([(a, c) for a, _, c in catalogs.OCR_RECOGNIZERS])}), z(o, nm, b) AS (VALUES {values([(i, *x) for i, x in enumerate([catalogs.OCR_DETECTOR, *((n, b) for _, n, b in catalogs.OCR_RECOGNIZERS), *((m, b) for _, _, m, b in catalogs.ASR_MODELS)])])})
-    SELECT id, coalesce(label, 'English') AS lang_label, coalesce(ocr, 'en') AS ocr_key, mid AS model_id, 2429873 + coalesce(r.b, 0) AS ocr_bytes,
+    WITH s(id, lang, model, detail) AS (VALUES {values(SETTINGS)}),
+    z AS (SELECT 0 AS o, 'PP-OCRv3 mobile detection' AS nm, 2429873 AS b UNION ALL SELECT row_number() OVER (ORDER BY k), nm, b FROM {_READER_SQL} UNION ALL SELECT 3 + row_number() OVER (ORDER BY f, t DESC), mid, b FROM {_SPEECH_SQL})
+    SELECT doc_id, coalesce(label, 'English') AS lang_label, coalesce(ocr, 'en') AS ocr_key, mid AS model_id, 2429873 + coalesce(r.b, 0) AS ocr_bytes,
         (SELECT CASE WHEN count(*) > 0 THEN CAST(greatest(1, floor(arg_min(z.b, z.o) / 1048576.0 + 0.5)) AS BIGINT) || ' MB' END FROM z WHERE contains(s.detail, z.nm)) AS size_label
-    FROM s LEFT JOIN l ON l.k = s.lang LEFT JOIN m ON m.f = split_part(s.model, '-', 1) AND m.t = split_part(s.model, '-', 2) LEFT JOIN r ON r.k = coalesce(ocr, 'en')""")
+    FROM documents d JOIN s ON s.id = d.doc_id % 5 + 1 LEFT JOIN {_LANGUAGE_SQL} ON l.k = s.lang LEFT JOIN {_SPEECH_SQL} ON m.f = split_part(s.model, '-', 1) AND m.t = split_part(s.model, '-', 2) LEFT JOIN {_READER_SQL} ON r.k = coalesce(ocr, 'en')""")
 def catalog_lookup(spark, sf_dir):
-    rows = spark.createDataFrame(SETTINGS, "id int, lang string, model string, detail string").withColumn("m", text.parse_model(F.col("model"))).select("*", "m.family", "m.tier")
+    """Documents with settings dealt to them in turn: languages, models and sizes by the catalogs."""
+    rows = dealt(spark, table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SETTINGS, "id int, lang string, model string, detail string")
+    rows = rows.withColumn("m", text.parse_model(F.col("model"))).select("*", "m.family", "m.tier")
     rows = catalogs.ocr_download_size(catalogs.with_language(catalogs.with_asr_model(rows, "family", "tier"), "lang"), "ocr_key")
-    return rows.select("id", "lang_label", "ocr_key", "model_id", "ocr_bytes", catalogs.size_in(F.col("detail")).alias("size_label"))
+    return rows.select("doc_id", "lang_label", "ocr_key", "model_id", "ocr_bytes", catalogs.size_in(F.col("detail")).alias("size_label"))
 
 
 ENGINES = [("onnx-community/whisper-tiny",), ("onnx-community/moonshine-base-ONNX",), ("tesseract",), ("rapidocr",), ("pdf-inspector+ocr",), ("anydoc",), ("text",), ("custom",), ("",)]
 
 
 @query(f"""
-    WITH s(engine) AS (VALUES {values(ENGINES)}) SELECT engine, CASE WHEN contains(engine, 'whisper') THEN 'Whisper' WHEN contains(engine, 'moonshine') THEN 'Moonshine' WHEN contains(engine, 'tesseract') THEN 'Tesseract'
-        WHEN contains(engine, 'rapidocr') THEN 'RapidOCR' WHEN contains(engine, 'pdf-inspector') THEN 'PDF' WHEN engine = 'anydoc' THEN 'Office' WHEN engine = 'text' THEN 'Text' ELSE engine END AS short FROM s""")
+    WITH s(k, engine) AS (VALUES {values([(k, *x) for k, x in enumerate(ENGINES)])}) SELECT event_id, CASE WHEN contains(engine, 'whisper') THEN 'Whisper' WHEN contains(engine, 'moonshine') THEN 'Moonshine' WHEN contains(engine, 'tesseract') THEN 'Tesseract'
+        WHEN contains(engine, 'rapidocr') THEN 'RapidOCR' WHEN contains(engine, 'pdf-inspector') THEN 'PDF' WHEN engine = 'anydoc' THEN 'Office' WHEN engine = 'text' THEN 'Text' ELSE engine END AS short FROM events JOIN s ON k = event_id % {len(ENGINES)}""")
 def engine_label(spark, sf_dir):
-    return spark.createDataFrame(ENGINES, "engine string").select("engine", text.short_engine(F.col("engine")).alias("short"))
+    rows = dealt(spark, table(spark, sf_dir, "events").select("event_id"), "event_id", ENGINES, "engine string")
+    return rows.select("event_id", text.short_engine(F.col("engine")).alias("short"))
 
 
-BOXES = [(1, 1000, 500, 320, 160, 10, 10, 60, 20), (2, 1000, 500, 320, 160, 0, 0, 320, 160), (3, 1000, 500, 320, 160, 300, 150, 330, 170), (4, 64, 48, 64, 64, 5, 5, 6, 6), (5, 3000, 100, 960, 32, 1, 1, 900, 30), (6, 17, 90, 32, 96, 2, 3, 20, 9)]
-
-
-@query(f"""
-    WITH s(i, sw, sh, pw, ph, x0, y0, x1, y1) AS (VALUES {values(BOXES)}),
-    c AS (SELECT i, sw, sh, greatest(0, least(sw, floor(x0 * (sw * 1.0 / pw) + 0.5))) AS a, greatest(0, least(sh, floor(y0 * (sh * 1.0 / ph) + 0.5))) AS b, greatest(0, least(sw, floor(x1 * (sw * 1.0 / pw) + 0.5))) AS c, greatest(0, least(sh, floor(y1 * (sh * 1.0 / ph) + 0.5))) AS d FROM s),
+@query("""
+    WITH s AS (SELECT vec_id AS i, 17 + vec_id * 37 % 2983 AS sw, 16 + vec_id * 53 % 977 AS sh, 32 * (1 + vec_id % 30) AS pw, 32 * (1 + vec_id // 7 % 30) AS ph,
+        CAST(floor((embedding[1] + 1) * 100) AS BIGINT) AS x0, CAST(floor((embedding[2] + 1) * 50) AS BIGINT) AS y0, CAST(floor((embedding[1] + embedding[3] + 3) * 100) AS BIGINT) AS x1, CAST(floor((embedding[2] + embedding[4] + 3) * 50) AS BIGINT) AS y1 FROM embeddings),
+    c AS (SELECT i, sw, sh, greatest(0, least(sw, floor(x0 * (sw * CAST(1 AS DOUBLE) / pw) + 0.5))) AS a, greatest(0, least(sh, floor(y0 * (sh * CAST(1 AS DOUBLE) / ph) + 0.5))) AS b, greatest(0, least(sw, floor(x1 * (sw * CAST(1 AS DOUBLE) / pw) + 0.5))) AS c, greatest(0, least(sh, floor(y1 * (sh * CAST(1 AS DOUBLE) / ph) + 0.5))) AS d FROM s),
     o AS (SELECT *, c - a AS w, d - b AS h, CASE WHEN (c - a) + (d - b) = 0 THEN 0 ELSE floor((c - a) * (d - b) / (2.0 * ((c - a) + (d - b))) * 1.5 + 0.5) END AS f FROM c),
     e AS (SELECT *, greatest(f, floor(w * 0.1 + 0.5)) AS ex, greatest(f, floor(h * 0.4 + 0.5)) AS ey FROM o)
     SELECT i, CAST(greatest(0, a - ex) AS INTEGER) AS x0, CAST(greatest(0, b - ey) AS INTEGER) AS y0, CAST(least(sw, c + ex) AS INTEGER) AS x1, CAST(least(sh, d + ey) AS INTEGER) AS y1,
         CAST(ceil(greatest(16, floor(sw * least(1.0, 960.0 / greatest(sw, sh)) + 0.5)) / 32.0) * 32 AS INTEGER) AS det_w, CAST(ceil(greatest(8, least(480, floor(48.0 * sw / sh + 0.5))) / 8.0) * 8 AS INTEGER) AS rec_w FROM e""")
 def box_geometry(spark, sf_dir):
+    """Boxes made from vectors, on pages whose sizes their numbers give."""
     import pandas as pd
 
     from .media import text_boxes
 
     names = ["i", "x0", "y0", "x1", "y1", "det_w", "rec_w"]
-    rows = spark.createDataFrame(BOXES, "i int, sw int, sh int, pw int, ph int, x0 int, y0 int, x1 int, y1 int")
-    return rows.mapInPandas(lambda batches: (pd.DataFrame([text_boxes(*map(int, r)) for r in b.itertuples(index=False)], columns=names) for b in batches), ", ".join(f"{n} int" for n in names))
+    i, e = F.col("vec_id"), lambda k: F.element_at("embedding", k)
+    at = lambda x, scale: F.floor(x * scale).cast("long")
+    page = [17 + i * 37 % 2983, 16 + i * 53 % 977, 32 * (1 + i % 30), 32 * (1 + F.floor(i / 7) % 30)]
+    box = [at(e(1) + 1, 100), at(e(2) + 1, 50), at(e(1) + e(3) + 3, 100), at(e(2) + e(4) + 3, 50)]
+    rows = table(spark, sf_dir, "embeddings").select(i.alias("i"), *(c.alias(f"c{k}") for k, c in enumerate([*page, *box])))
+    return rows.mapInPandas(lambda batches: (pd.DataFrame([text_boxes(*map(int, r)) for r in b.itertuples(index=False)], columns=names) for b in batches), "i long, " + ", ".join(f"{n} int" for n in names[1:]))
+
+
+def crc_sql(column: str) -> str:
+    """CRC-32 of a text's bytes: a shift register, eight steps a byte."""
+    bits = f"flatten(list_transform(regexp_extract_all(hex(encode({column})), '..'), lambda h: [CAST('0x' || h AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"
+
+
+@query(f"SELECT conv_id, turn, {crc_sql('text')} AS crc FROM conversations")
+def crc_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
 
 
 @query()

@@ -1,5 +1,5 @@
-"""Registered queries over files, images and recordings that are made up (see ``samples``), through the code that
-conversion uses, and over the tables where they will do."""
+"""Registered queries over the tables, and examples over files, images and recordings that are made up (see ``samples``), through
+the code that conversion uses."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from ..operators import audio, export, history, image, ocr, recognition
 from ..sources import archive, documents
 from ..sources import audio as recordings
 from . import samples
-from .catalogue import SPACE, as_files, query, table, values
+from .catalogue import SPACE, as_files, dealt, example, query, table, values
 from .convert import convert
 
 CONVERTED = [
@@ -36,7 +36,7 @@ CONVERTED = [
 CONVERTED = [(n, "unknown" if s == "error" else f, m, s, c) for n, f, m, s, c in CONVERTED]
 
 
-@query(f"SELECT * FROM (VALUES {values(CONVERTED)}) t(file_name, format, markdown, status, code)")
+@example(f"SELECT * FROM (VALUES {values(CONVERTED)}) t(file_name, format, markdown, status, code)")
 def convert_files(spark, sf_dir):
     """Files of all kinds, by models that are made up: readers, pages to recognize, pictures, recordings and errors."""
     files = spark.createDataFrame([(n, n, len(b), bytearray(b)) for n, b in samples.office().items()], "path string, name string, length long, content binary")
@@ -59,7 +59,7 @@ def convert_texts(spark, sf_dir):
 PAGES = [(1, 1, 1), (2, 2, 4), (3, 3, 2), (4, 5, 9), (5, 0, 0)]
 
 
-@query(f"WITH p(id, n, m) AS (VALUES {values(PAGES)}) SELECT id, CAST(k AS INTEGER) AS line_no, repeat('x', CAST(m + k AS BIGINT)) AS text FROM (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM p WHERE n > 0) UNION ALL SELECT 5, 0, 'from the fallback'")
+@example(f"WITH p(id, n, m) AS (VALUES {values(PAGES)}) SELECT id, CAST(k AS INTEGER) AS line_no, repeat('x', CAST(m + k AS BIGINT)) AS text FROM (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM p WHERE n > 0) UNION ALL SELECT 5, 0, 'from the fallback'")
 def ocr_lines(spark, sf_dir):
     """Pages of bars through decoding, preprocessing, detection, cropping and recognition; a page of none by the fallback."""
     recognition.register(spark, samples.engines())
@@ -67,7 +67,7 @@ def ocr_lines(spark, sf_dir):
     return spark.sql("SELECT p.id, l.line_no, l.text FROM millrace_pages p, LATERAL ocr_lines(p.content, 'en') l")
 
 
-@query("SELECT * FROM (VALUES (1, 'Typed text'), (2, '')) t(page, text)")
+@example("SELECT * FROM (VALUES (1, 'Typed text'), (2, '')) t(page, text)")
 def pdf_pages(spark, sf_dir):
     documents.register(spark)
     spark.createDataFrame([(bytearray(samples.scanned_pdf()),), (bytearray(b"no PDF"),)], "content binary").createOrReplaceTempView("millrace_pdf")
@@ -77,7 +77,7 @@ def pdf_pages(spark, sf_dir):
 ANGLES = [(0.0,), (1.5,), (2.0,), (-3.5,), (5.0,), (-8.0,)]
 
 
-@query(f"SELECT CAST(angle AS DOUBLE) AS angle, true AS found FROM (VALUES {values(ANGLES)}) t(angle)")
+@example(f"SELECT CAST(angle AS DOUBLE) AS angle, true AS found FROM (VALUES {values(ANGLES)}) t(angle)")
 def skew_angle(spark, sf_dir):
     """Whether a page's angle is found to half a degree."""
 
@@ -89,7 +89,7 @@ def skew_angle(spark, sf_dir):
     return spark.createDataFrame(ANGLES, "angle double").mapInPandas(run, "angle double, found boolean")
 
 
-@query("SELECT n, CAST(k AS INTEGER) AS box, CAST(4 AS INTEGER) AS x0, CAST(20 * k + 5 AS INTEGER) AS y0, CAST(6 + k AS INTEGER) AS x1, CAST(20 * k + 8 AS INTEGER) AS y1 FROM (SELECT CAST(n AS INTEGER) AS n, unnest(generate_series(0, n - 1)) AS k FROM generate_series(1, 40) t(n))")
+@example("SELECT n, CAST(k AS INTEGER) AS box, CAST(4 AS INTEGER) AS x0, CAST(20 * k + 5 AS INTEGER) AS y0, CAST(6 + k AS INTEGER) AS x1, CAST(20 * k + 8 AS INTEGER) AS y1 FROM (SELECT CAST(n AS INTEGER) AS n, unnest(generate_series(0, n - 1)) AS k FROM generate_series(1, 40) t(n))")
 def components_boxes(spark, sf_dir):
     def run(batches):
         for pdf in batches:
@@ -102,7 +102,7 @@ def components_boxes(spark, sf_dir):
 RECORDINGS = [(1, 1000, 16_000, 16), (2, 999, 8000, 8), (3, 44_100, 44_100, 16), (4, 0, 16_000, 16), (5, 7, 48_000, 8), (6, 500_000, 16_000, 16)]
 
 
-@query(f"""
+@example(f"""
     WITH r(id, n, rate, bits) AS (VALUES {values(RECORDINGS)}) SELECT id, CAST(m AS INTEGER) AS n, CASE WHEN m > 0 THEN CAST(0.5 AS DOUBLE) END AS mean, CAST(CASE WHEN m <= 480000 THEN 1 ELSE 1 + ceil((m - 480000) / 448000.0) END AS INTEGER) AS chunks, CAST(floor(m / 16000.0 + 0.5) AS BIGINT) AS seconds
     FROM (SELECT id, CASE WHEN n = 0 THEN 0 WHEN rate = 16000 THEN n ELSE greatest(1, floor(n * 16000.0 / rate + 0.5)) END AS m FROM r)""")
 def wav_decode(spark, sf_dir):
@@ -172,20 +172,24 @@ def download_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url").unionByName(more).select("page_id", text.download_name(F.col("url")).alias("name"))
 
 
-FORMATS = [(k,) for k in text.MIME] + [("pdf",), ("",)]
+FORMATS = [("wav",), ("mp3",), ("flac",), ("ogg",), ("aiff",), ("m4a",), ("mp4",), ("mov",), ("webm",), ("pdf",), ("",)]
 
 
-@query(f"WITH f(k) AS (VALUES {values(FORMATS)}), m(k, v) AS (VALUES {values([*text.MIME.items()])}) SELECT f.k AS format, coalesce(m.v, '') AS mime FROM f LEFT JOIN m ON m.k = f.k")
+@query("""
+    SELECT event_id, ['audio/wav', 'audio/mpeg', 'audio/flac', 'audio/ogg', 'audio/aiff', 'audio/mp4', 'video/mp4', 'video/quicktime', 'video/webm', '', ''][event_id % 11 + 1] AS mime FROM events""")
 def mime_types(spark, sf_dir):
-    return spark.createDataFrame(FORMATS, "format string").select("format", text.mime(F.col("format")).alias("mime"))
+    rows = dealt(spark, table(spark, sf_dir, "events").select("event_id"), "event_id", FORMATS, "format string")
+    return rows.select("event_id", text.mime(F.col("format")).alias("mime"))
 
 
-PHASES = [(k,) for k in text.PHASES] + [("other",), ("",)]
+PHASES = [("reading",), ("analyzing",), ("preprocessing",), ("ocr",), ("asr",), ("model",), ("done",), ("other",), ("",)]
 
 
-@query(f"WITH f(k) AS (VALUES {values(PHASES)}), m(k, v) AS (VALUES {values([*text.PHASES.items()])}) SELECT f.k AS phase, coalesce(m.v, f.k) AS shown FROM f LEFT JOIN m ON m.k = f.k")
+@query("""
+    SELECT event_id, ['Detecting…', 'Extracting text…', 'Cleaning image…', 'Recognizing pages…', 'Transcribing…', 'Downloading model…', 'Done', 'other', ''][event_id % 9 + 1] AS shown FROM events""")
 def phase_labels(spark, sf_dir):
-    return spark.createDataFrame(PHASES, "phase string").select("phase", text.phase_label(F.col("phase")).alias("shown"))
+    rows = dealt(spark, table(spark, sf_dir, "events").select("event_id"), "event_id", PHASES, "phase string")
+    return rows.select("event_id", text.phase_label(F.col("phase")).alias("shown"))
 
 
 @query(f"""

@@ -12,13 +12,7 @@ from ..sources import audio as recordings
 from ..sources import ranges
 from ..sources.changelog import ChangeLog
 from ..sources.scratch import scratch_path
-from .catalogue import query, table, values
-
-
-def crc_sql(column: str) -> str:
-    """CRC-32 of a text's bytes: a shift register, eight steps a byte."""
-    bits = f"flatten(list_transform(regexp_extract_all(hex(encode({column})), '..'), lambda h: [CAST('0x' || h AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
-    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"
+from .catalogue import crc_sql, query, table, values
 
 
 @query("""
