@@ -57,7 +57,7 @@ SIGNATURES = [
     ("m.webp", "524946460000000057454250"), ("n.heic", "000000186674797068656963"), ("o.heic", "000000186674797048454958"), ("p.m4a", "00000018667479706d346120"), ("q.m4a", "00000018667479704d344120"),
     ("r.mov", "000000146674797071742020"), ("s.mp4", "000000186674797069736f6d"), ("t.wav", "524946460000000057415645"), ("u.aiff", "464f524d0000000041494646"), ("v.flac", "664c6143"), ("w.ogg", "4f676753"),
     ("x.mp3", "49443303"), ("y.mp3", "fffb9000"), ("z.txt", "fffe68006900"), ("aa.txt", "feff00680069"), ("ab.webm", "1a45dfa3"), ("ac.avi", "524946460000000041564920"), ("ad.wmv", "3026b2758e66cf11"),
-    ("ae.doc", "d0cf11e0a1b11ae1"), ("af.txt", "68656c6c6f"), ("ag.CSV", "612c620a312c32"), ("important.pdf", "0102030405"), ("ah.txt", "424d207465787420"), ("ai", "efbbbf636166c3a9"), ("aj.riff", "5249464600000000"),
+    ("ae.doc", "d0cf11e0a1b11ae1"), ("af.txt", "68656c6c6f"), ("ag.CSV", "612c620a312c32"), ("letter.docx", "071b009c"), ("ah.txt", "424d207465787420"), ("ai", "efbbbf636166c3a9"), ("aj.riff", "5249464600000000"),
     ("ak.txt", "61" * 19 + "01"), ("al.txt", "61" * 18 + "0101"),
 ]
 
@@ -158,9 +158,11 @@ SPACE = _SPACE = text.SPACE
 
 
 def _raw_sql(column: str) -> str:
+    """Images, links, headings, bold, italics, code, quotes, bullets, numbers and empty lines, in this order."""
+    steps = [("!\\[([^\\]]*)\\]\\([^)]*\\)", "\\1"), ("\\[([^\\]]*)\\]\\([^)]*\\)", "\\1"), ("(?m)^#{1,6}\\s+", ""), ("\\*\\*([^*]+)\\*\\*", "\\1"), ("\\*([^*]+)\\*", "\\1"), ("`([^`]+)`", "\\1"), ("(?m)^>\\s?", ""), ("(?m)^\\s*[-*+]\\s+", ""), ("(?m)^\\s*\\d+\\.\\s+", ""), ("\\n{3,}", "\n\n")]
     out = column
-    for pattern, to in text.RAW_STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     return f"regexp_replace({out}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
@@ -177,7 +179,7 @@ def raw_text(spark, sf_dir):
 DIRECTIONS = [(-1, "سلام"), (-2, "hello"), (-3, "mixed اردو text"), (-4, ""), (-5, "ﷺ")]
 
 
-@query(f"WITH x AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES {values(DIRECTIONS)})) SELECT id, CASE WHEN regexp_matches(text, '{text.RTL}') THEN 'rtl' ELSE 'ltr' END AS dir FROM x")
+@query(f"WITH x AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES {values(DIRECTIONS)})) SELECT id, CASE WHEN regexp_matches(text, '[\\x{{600}}-\\x{{6FF}}\\x{{750}}-\\x{{77F}}\\x{{8A0}}-\\x{{8FF}}\\x{{FB50}}-\\x{{FDFF}}\\x{{FE70}}-\\x{{FEFF}}]') THEN 'rtl' ELSE 'ltr' END AS dir FROM x")
 def text_dir(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame(DIRECTIONS, "id long, text string"))
     return rows.select("id", text.text_dir(F.col("text")).alias("dir"))

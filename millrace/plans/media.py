@@ -192,8 +192,8 @@ def phase_labels(spark, sf_dir):
     return rows.select("event_id", text.phase_label(F.col("phase")).alias("shown"))
 
 
-@query(f"""
-    WITH m(k, v) AS (VALUES {values([*text.PASTE_EXTENSIONS.items()])}), e AS (SELECT event_id, ts, 'image/' || ['png', 'jpeg', 'webp', 'x'][event_id % 4 + 1] AS mime FROM events)
+@query("""
+    WITH m(k, v) AS (VALUES ('image/png', 'png'), ('image/jpeg', 'jpg'), ('image/webp', 'webp')), e AS (SELECT event_id, ts, 'image/' || ['png', 'jpeg', 'webp', 'x'][event_id % 4 + 1] AS mime FROM events)
     SELECT event_id, 'pasted-' || strftime(ts, '%Y-%m-%d-%H%M') || '-' || md5(CAST(event_id AS VARCHAR))[1:5] || '.' || coalesce(m.v, 'png') AS name FROM e LEFT JOIN m ON m.k = e.mime""")
 def paste_names(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
