@@ -12,6 +12,7 @@ from ..sources import audio as recordings
 from ..sources import ranges
 from ..sources.changelog import ChangeLog
 from ..sources.scratch import scratch_path
+from ..streaming import progress, timeouts
 from .catalogue import crc_sql, query, table, values
 
 
@@ -39,8 +40,6 @@ def history_merged(spark, sf_dir):
     SELECT user_id, 'timeout' AS code, started, times_out, n FROM x WHERE times_out <= (SELECT max(ts) FROM events) - (SELECT to_microseconds(2 * ((epoch_us(max(ts)) - epoch_us(min(ts))) // 8 // 1000000 + 1) * 1000000) FROM events)""")
 def live_timeouts(spark, sf_dir):
     """Events replayed as a stream in batches; up to where its watermark comes, users' silences of an hour."""
-    from ..streaming import timeouts
-
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     ends = events.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
     late = 2 * ((ends.hi - ends.lo) // 8 // 1_000_000 + 1) if ends.lo is not None else 1
@@ -136,3 +135,33 @@ def first_entry(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where(F.length("text") >= 7).select((1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.substring("text", 1, 7).alias("pattern"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contained.first_contained(docs, "text", bench.unionByName(turns), to="entry").select("doc_id", "entry")
+
+
+@query("""
+    WITH e AS (SELECT *, epoch_us(ts) AS t FROM events), kind AS (SELECT min(event_type) AS asks FROM events),
+    q AS (SELECT user_id, t FROM e, kind WHERE event_type = asks), m AS (SELECT user_id, event_id, t FROM e, kind WHERE event_type <> asks),
+    j AS (SELECT m.event_id FROM m JOIN q ON q.user_id = m.user_id AND m.t >= q.t AND m.t < q.t + 600000000)
+    SELECT 'answered' AS name, count(*) AS n, CAST(coalesce(sum(event_id), 0) AS BIGINT) AS ids FROM j UNION ALL SELECT 'said', count(*), CAST(coalesce(sum(event_id), 0) AS BIGINT) FROM m""")
+def stream_messages(spark, sf_dir):
+    """Events as two streams: those of the first type ask, others are messages; within ten minutes behind a request they count.
+    What a listener has gathered while the streams ran."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    asks = events.agg(F.min("event_type")).first()[0]
+    ends = events.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
+    late = 2 * (((ends.hi or 0) - (ends.lo or 0)) // 4_000_000 + 1)
+    stream = timeouts.replayed(events, scratch_path(spark, "messages"), batches=4)
+    requests, messages = stream.where(F.col("event_type") == F.lit(asks)), stream.where(F.col("event_type") != F.lit(asks))
+    ids = F.coalesce(F.sum("event_id"), F.lit(0).cast("long"))
+    said = progress.counted(messages, "said", ids=ids)
+    found = progress.counted(progress.answered(requests, said, "user_id", "ts", f"{late} seconds", "600 seconds"), "answered", ids=ids)
+    with progress.Progress(spark) as seen:
+        timeouts.drained(found, scratch_path(spark, "answered"), scratch_path(spark, "answered-state"))
+    return spark.createDataFrame([(name, seen.sums[name, "n"], seen.sums[name, "ids"]) for name in ("answered", "said")], "name string, n long, ids long")
+
+
+@query("""
+    SELECT user_id, CAST(CASE WHEN t > 0 THEN greatest(0, least(100, floor(100 * d / t + 0.5))) END AS INTEGER) AS percent, n
+    FROM (SELECT user_id, arg_max(event_id % 37 - 3, (ts, event_id)) AS d, CAST(arg_max(event_id % 29, (ts, event_id)) AS DOUBLE) AS t, count(*) AS n FROM events GROUP BY user_id)""")
+def job_percents(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), (F.col("event_id") % 37 - 3).alias("done"), (F.col("event_id") % 29).alias("total"))
+    return progress.percents(events, "user_id", order="at")
