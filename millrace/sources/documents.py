@@ -5,11 +5,13 @@ from __future__ import annotations
 import base64
 import csv
 import io
+import posixpath
 import re
 import struct
 import time
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -63,10 +65,19 @@ def _table(rows: list[list[str]]) -> str:
     return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
 
 
+def _blocks(body) -> Iterator:
+    """Paragraphs and tables, those in content controls among them."""
+    for x in body:
+        if _name(x) in ("sdt", "sdtContent"):
+            yield from _blocks(x)
+        else:
+            yield x
+
+
 def docx(data: bytes) -> str:
     body = _xml(_parts(data)["word/document.xml"]())
     out = []
-    for block in next((x for x in body.iter() if _name(x) == "body"), body):
+    for block in _blocks(next((x for x in body.iter() if _name(x) == "body"), body)):
         if _name(block) == "tbl":
             out.append(_table([["".join(_runs(p) for p in cell.iter() if _name(p) == "p") for cell in row if _name(cell) == "tc"] for row in block if _name(row) == "tr"]))
         elif _name(block) == "p":
@@ -80,6 +91,11 @@ def docx(data: bytes) -> str:
 def pptx(data: bytes) -> str:
     parts = _parts(data)
     slides = sorted((n for n in parts if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    if "ppt/presentation.xml" in parts and "ppt/_rels/presentation.xml.rels" in parts:  # the order in which they are shown
+        targets = {r.attrib.get("Id"): posixpath.normpath(f"ppt/{r.attrib.get('Target', '')}") for r in _xml(parts["ppt/_rels/presentation.xml.rels"]())}
+        shown = [targets.get(v) for x in _xml(parts["ppt/presentation.xml"]()).iter() if _name(x) == "sldId" for k, v in x.attrib.items() if k.endswith("}id")]
+        shown = [n for n in shown if n in slides]
+        slides = [*shown, *(n for n in slides if n not in shown)]
     out = []
     for k, name in enumerate(slides, 1):
         texts = [t for p in _xml(parts[name]()).iter() if _name(p) == "p" and (t := _runs(p).strip())]
@@ -146,7 +162,7 @@ def epub(data: bytes) -> str:
     items = {x.attrib.get("id"): x.attrib.get("href", "") for x in package.iter() if _name(x) == "item"}
     out = []
     for ref in (x for x in package.iter() if _name(x) == "itemref"):
-        name = f"{folder}/{items.get(ref.attrib.get('idref'), '')}".lstrip("/")
+        name = posixpath.normpath(f"{folder}/{unquote(items.get(ref.attrib.get('idref'), '').partition('#')[0])}").lstrip("/")
         if name in parts:
             out.append(html_text(parts[name]().decode("utf-8", "replace")))
     return "\n\n".join(x for x in out if x)
@@ -212,10 +228,12 @@ class Pdf:
     """Objects of a PDF by their numbers, those in object streams among them, found without its cross-reference table."""
 
     def __init__(self, data: bytes) -> None:
-        if re.search(rb"/Encrypt\b", data):
-            raise DocumentError("encrypted", "This PDF is password-protected.")
         self.objects = {int(m[1]): m[2] for m in re.finditer(rb"(?s)(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data)}
-        self.trailers = re.findall(rb"(?s)\btrailer\b(.*?)\bstartxref\b", data)
+        self.trailers = re.findall(rb"(?s)\btrailer\b(.*?)(?:\bstartxref\b|\Z)", data)
+        # a file says so in its trailer, or in the dictionary of a cross-reference stream
+        heads = [b.partition(b"stream")[0] for b in self.objects.values() if re.search(rb"/Type\s*/XRef\b", b)]
+        if any(re.search(rb"/Encrypt\b", x) for x in (*self.trailers, *heads)):
+            raise DocumentError("encrypted", "This PDF is password-protected.")
         plain = set(self.objects)
         for body in list(self.objects.values()):
             if re.search(rb"/Type\s*/ObjStm\b", body):
@@ -359,10 +377,16 @@ def _codes(cmap: bytes) -> dict[bytes, str]:
     return out
 
 
+#: A string's inside: escapes, and parentheses in pairs, six deep at most.
+_NESTED = rb"(?:\\.|[^\\()])*+"
+for _ in range(6):
+    _NESTED = rb"(?:\\.|[^\\()]|\(" + _NESTED + rb"\))*+"
+
+
 def _page_text(content: bytes, fonts: dict[bytes, dict[bytes, str]]) -> str:
     out: list[str] = []
     codes: dict[bytes, str] = {}
-    token = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>|/(\S+)\s+-?[\d.]+\s+Tf|(-?\d+\.?\d*)|(\bT[*dDmJj]|['\"]|\bET\b)", re.S)
+    token = re.compile(rb"\((" + _NESTED + rb")\)|<([0-9A-Fa-f\s]+)>|/(\S+)\s+-?[\d.]+\s+Tf|(-?\d+\.?\d*)|(\bT[*dDmJj]|['\"]|\bET\b)", re.S)
     for text, code, font, _, operator in token.findall(content):
         if font:
             codes = fonts.get(font, {})

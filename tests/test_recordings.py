@@ -57,7 +57,7 @@ def test_a_document_is_parsed_once_for_all_its_pages(monkeypatch):
     monkeypatch.setattr(documents, "Pdf", Counted)
     found = [*drawn(samples.scanned_pdf(), [1, 2, 2, 9], Engines())]
     assert len(parsed) == 1 and [p for p, *_ in found] == [1, 2, 2, 9] and found[1][1][:4] == b"\x89PNG"
-    assert [*drawn(b"/Encrypt", [1], Engines())] == [(1, None, "This PDF is password-protected.")]
+    assert [*drawn(b"trailer << /Encrypt 5 0 R >> startxref", [1], Engines())] == [(1, None, "This PDF is password-protected.")]
 
 
 def test_no_row_or_batch_holds_two_chunks(spark):
