@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _single(n: int) -> Column:
+    """A whole number whose sums and products with single-precision values stay single; with a plain one they turn double."""
+    return F.lit(n).cast("float")
+
+
 def values(rows: list[tuple]) -> str:
     """SQL VALUES of Python rows."""
 
@@ -490,9 +495,10 @@ def box_geometry(spark, sf_dir):
 
     names = ["i", "x0", "y0", "x1", "y1", "det_w", "rec_w"]
     i, e = F.col("vec_id"), lambda k: F.element_at("embedding", k)
-    at = lambda x, scale: F.floor(x * scale).cast("long")
+    at = lambda x, scale: F.floor(x * _single(scale)).cast("long")
+    one, three = _single(1), _single(3)
     page = [17 + i * 37 % 2983, 16 + i * 53 % 977, 32 * (1 + i % 30), 32 * (1 + F.floor(i / 7) % 30)]
-    box = [at(e(1) + 1, 100), at(e(2) + 1, 50), at(e(1) + e(3) + 3, 100), at(e(2) + e(4) + 3, 50)]
+    box = [at(e(1) + one, 100), at(e(2) + one, 50), at(e(1) + e(3) + three, 100), at(e(2) + e(4) + three, 50)]
     rows = table(spark, sf_dir, "embeddings").select(i.alias("i"), *(c.alias(f"c{k}") for k, c in enumerate([*page, *box])))
     return rows.mapInPandas(lambda batches: (pd.DataFrame([text_boxes(*map(int, r)) for r in b.itertuples(index=False)], columns=names) for b in batches), "i long, " + ", ".join(f"{n} int" for n in names[1:]))
 
