@@ -534,7 +534,7 @@ def zip_roundtrip(spark, sf_dir):
     SELECT vec_id, sum((x + 8 * y + 1) * l[len(l) // 2 + 1]) AS checksum FROM n GROUP BY vec_id""")
 def median3(spark, sf_dir):
     """Each vector as an image, 8 pixels across."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127).bitwiseAND(F.lit(255).cast("long"))).alias("px"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x + _single(1)) * _single(127)).bitwiseAND(F.lit(255).cast("long"))).alias("px"))
 
     def run(batches):
         import numpy as np

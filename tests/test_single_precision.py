@@ -5,7 +5,7 @@ from millrace.plans.catalogue import ORACLE_SQL, QUERIES
 from pyspark.sql import types as T
 
 
-@pytest.mark.parametrize("name", ["box_geometry"])
+@pytest.mark.parametrize("name", ["box_geometry", "median3"])
 def test_vectors_are_scaled_in_their_own_precision(spark, tmp_path, name):
     # hundredths and 127ths: single and double precision put many of them on different sides of a whole number
     rng = np.random.default_rng(3)
