@@ -1,9 +1,9 @@
 """Jobs that fall silent: each yields a timeout while the stream goes on.
 
-A job's open spans of activity are its state, a timer stands at the end of the first. Events may come in any order: spans grow and
-merge as late ones fill gaps. When time passes the end of a span, the job has been silent for long enough: a row of
-error code ``timeout`` goes out, and of a job without spans nothing is kept. In event time that is when the watermark passes
-(so a replayed stream gives the same rows); in processing time when the clock does, whether anything arrives or not.
+A job's open spans of activity are its state. Events may come in any order: spans grow and merge as late ones fill gaps. When time
+passes the end of a span, the job has been silent for long enough: a row of error code ``timeout`` goes out, and of a job without
+spans nothing is kept. In event time spans are session windows that the watermark ends (so a replayed stream gives the same rows);
+in processing time a timer stands at the end of a job's first span, which the clock passes whether anything arrives or not.
 """
 
 from __future__ import annotations
@@ -39,11 +39,10 @@ def _stamp(micros: int) -> datetime:
 
 
 class Silence(StatefulProcessor):
-    """``job``: the first column of the events, whose second is their microseconds; ``event_time``: whether spans end by those or
-    by the clock."""
+    """Spans of ``job`` that the clock ends."""
 
-    def __init__(self, job: str, seconds: float, event_time: bool) -> None:
-        self.job, self.gap, self.event_time = job, int(seconds * 1_000_000), event_time
+    def __init__(self, job: str, seconds: float) -> None:
+        self.job, self.gap = job, int(seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -74,18 +73,13 @@ class Silence(StatefulProcessor):
         before = self._ends(spans[0]) if spans else None
         now = timerValues.getCurrentProcessingTimeInMs() * 1000
         for pdf in rows:
-            if self.event_time:
-                at = pdf.iloc[:, 1].to_numpy().tolist()
-            else:
-                at = [now] * len(pdf)
-            # a batch's own spans first: a job with very many events keeps a row for each silence
-            spans = merged(spans + merged([(x, x, 1) for x in at], self.gap), self.gap)
+            spans = merged([*spans, (now, now, len(pdf))], self.gap)
         self._keep(before, spans)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         # time may have passed the ends of later spans, too, whose timers do not stand yet
-        now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        now = timerValues.getCurrentProcessingTimeInMs()
         at = max(now, expiredTimerInfo.getExpiryTimeInMs())
         over, rest = [], []
         for s in self._read():
@@ -104,14 +98,21 @@ class Silence(StatefulProcessor):
 def live_timeouts(events: DataFrame, job: str = "id", ts: str = "ts", seconds: float = INACTIVE, late: str | None = "0 seconds") -> DataFrame:
     """Of a stream of events: (job, code, started, times_out, n) for each span of activity that ``seconds`` of silence
     end. ``late``: how far behind events may come in event time; None takes the clock instead. Events that are later than
-    that, and rows without a job or time, count nowhere. The stream keeps its state in RocksDB, off the heap."""
+    that may be left out, and are where their own silence is over; rows without a job or time count nowhere. The stream keeps its state in RocksDB, off the heap."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = events.where(F.col(job).isNotNull())
     if late is not None:
-        rows = rows.where(F.col(ts).isNotNull()).withWatermark(ts, late)
+        return _by_watermark(rows.where(F.col(ts).isNotNull()).withWatermark(ts, late), job, ts, seconds)
     kind = events.schema[job].dataType
     out = T.StructType([T.StructField(job, kind), T.StructField("code", T.StringType()), T.StructField("started", T.TimestampType()), T.StructField("times_out", T.TimestampType()), T.StructField("n", T.LongType())])
-    return rows.select(job, (F.unix_micros(ts) if late is not None else F.lit(0).cast("long")).alias("at"), ts).groupBy(job).transformWithStateInPandas(statefulProcessor=Silence(job, seconds, late is not None), outputStructType=out, outputMode="Append", timeMode="EventTime" if late is not None else "ProcessingTime")
+    return rows.select(job).groupBy(job).transformWithStateInPandas(statefulProcessor=Silence(job, seconds), outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+
+
+def _by_watermark(rows: DataFrame, job: str, ts: str, seconds: float) -> DataFrame:
+    """Spans as session windows: they are merged where the state is kept, and no job's rows go to Python one job at a time.
+    Session windows that touch are one, so that they are a microsecond shorter than the silence, and end that much earlier."""
+    spans = rows.groupBy(job, F.session_window(ts, f"{round(seconds * 1_000_000) - 1} microseconds").alias("span")).agg(F.count("*").alias("n"))
+    return spans.select(job, F.lit("timeout").alias("code"), F.col("span.start").alias("started"), (F.col("span.end") + F.expr("INTERVAL '0.000001' SECOND")).alias("times_out"), "n")
 
 
 def replayed(events: DataFrame, path: str, ts: str = "ts", batches: int = 8) -> DataFrame:

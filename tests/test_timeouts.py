@@ -71,3 +71,8 @@ def test_no_events(spark, tmp_path):
     empty = spark.createDataFrame([], "id string, ts timestamp")
     stream = timeouts.live_timeouts(timeouts.replayed(empty, str(tmp_path / "in")))
     assert found(spark, tmp_path, stream).collect() == []
+
+
+def test_event_time_runs_no_python_for_each_job(spark, put):
+    stream = timeouts.live_timeouts(put([[("a", 0.0)]]), seconds=60, late="20 seconds")
+    assert "transformwithstate" not in stream._jdf.queryExecution().logical().toString().lower()
