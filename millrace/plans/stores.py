@@ -54,9 +54,7 @@ def _archived(parts, key: str, part_order: list[str], most: int = 50_000) -> str
     spark, folder = parts.sparkSession, scratch_path(parts.sparkSession, "archives")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    ends = parts.agg(F.min(F.floor(F.col(key) / most)), F.max(F.floor(F.col(key) / most))).first()
-    for k in range(ends[0] or 0, (ends[1] or 0) + 1):
-        archives.write_archive(parts.where((F.col(key) >= k * most) & (F.col(key) < (k + 1) * most)), f"{folder}/{k}.zip", [key], part_order)
+    archives.write_archives(parts.where(F.col(key).isNotNull()), folder, F.floor(F.col(key) / most), [key], part_order)
     return folder
 
 

@@ -104,3 +104,18 @@ def test_a_directory_beyond_the_last_bytes(spark, tmp_path):
     rows = ranges.archives_at(spark, str(tmp_path)).collect()
     assert len(rows) == 2000
     assert ranges.archive_entries(spark.createDataFrame([("/no/such/file",)], "path string")).first().error
+
+
+def test_many_archives_in_one_pass(spark, tmp_path, monkeypatch):
+    calls = []
+    monkeypatch.setattr(archives, "segments", lambda *a, made=archives.segments: calls.append(1) or made(*a))
+    monkeypatch.setattr(archives, "OPEN_FILES", 2)
+    rows = [(i, "e%d" % i, (b"%d," % i) * (i % 5)) for i in range(-3, 40)]
+    parts = spark.createDataFrame([(i, n, bytearray(b)) for i, n, b in rows], "o long, name string, data binary").repartition(3)
+    assert archives.write_archives(parts, str(tmp_path), F.floor(F.col("o") / 10), ["o"], []) == 5 and calls == [1]
+    got = {}
+    for k in range(-1, 4):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip") as z:
+            assert z.testzip() is None and z.namelist() == [n for i, n, _ in rows if i // 10 == k]
+            got |= {n: z.read(n) for n in z.namelist()}
+    assert got == {n: b for _, n, b in rows}
