@@ -427,21 +427,24 @@ def _documents(hot):
     return run
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, score: bool = True) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Without ``score`` the model is
+    not fitted, and that column is not there.
 
     Learns from documents whose crc32 of the id as text, modulo 5, is not 1, and from those without an id. Null texts
     are empty: their end alone. Repeated rows are scored one by one; without training rows every count is 0, and the
     pieces keep the scores that their ranks give."""
-    path = path or vocabulary()
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out("doc_id", 5, 1) & F.col("doc_id").isNotNull())
     words, ends = count_words(rows)
     once, twice = (F.count(F.when(F.col("c") == k, 1)) for k in (1, 2))
     everything, trained, distinct, n1, n2 = (x or 0 for x in words.agg(F.sum("n"), F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), once, twice).first())
     tokens, distinct = trained + ends, distinct + (1 if ends else 0)
     floor = tokens + 0.5 * (distinct + 1)
-    words, pieces, end = fit(words, path, ends, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, ROUNDS if tokens else 0)
-    scored = materialize(solve(words, pieces), "word-scores")
+    if score:
+        words, pieces, end = fit(words, path or vocabulary(), ends, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, ROUNDS if tokens else 0)
+        scored = materialize(solve(words, pieces), "word-scores")
+    else:
+        scored, end = words.select("word", "n", "c", F.lit(0.0).alias("lp")), 0.0
     base = F.log10((F.col("c") + 0.5) / F.lit(floor))
     is_hot = (F.col("n") > everything / HOT_WORDS) | (F.col("c") > tokens / HOT_WORDS)
     hot = {bytes(r[0]): tuple(r[1:]) for r in scored.where(is_hot).select("word", (F.col("c") > 0).cast("int"), base, "lp").collect()}
@@ -455,4 +458,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         return F.col(part) + F.coalesce(f"cold_{part}", F.lit(0))
 
     sums = found.drop("words").join(rest, "uid", "left")
-    return sums.select("doc_id", "held_out", (F.col("total") + 1).alias("n_tokens"), (whole("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (whole("base") + math.log10((ends + 0.5) / floor)).alias("base_score"), (whole("lp") + end / math.log(10)).alias("score"))
+    out = sums.select("doc_id", "held_out", (F.col("total") + 1).alias("n_tokens"), (whole("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (whole("base") + math.log10((ends + 0.5) / floor)).alias("base_score"), (whole("lp") + end / math.log(10)).alias("score"))
+    return out if score else out.drop("score")

@@ -165,3 +165,13 @@ def test_a_word_of_a_megabyte():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sums.sum() > 3e4 and most < 60e6
+
+
+def test_base_needs_no_fit(spark, monkeypatch):
+    rows = [(i, "some words %d here again" % (i % 7)) for i in range(40)] + [(40, None), (None, "words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = lattice.judge(docs).drop("score").collect()
+    monkeypatch.setattr(lattice, "fit", None)
+    found = lattice.judge(docs, score=False)
+    key = lambda r: (r[0] is None, r[0])
+    assert "score" not in found.columns and sorted(found.collect(), key=key) == sorted(whole, key=key)
