@@ -28,7 +28,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links connect one row with the smallest id stays; texts without words link only to each other."""
+    """Of texts that links connect one row with the smallest id stays; texts without words link only to each other. Links are
+    similarities of ``jaccard.SIMILARITY`` or more, judged exactly between candidates by fingerprints and by minhashes."""
     return golay.dedup(docs, width=jaccard.WIDTH, similarity=jaccard.SIMILARITY)
 
 

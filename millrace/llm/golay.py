@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jaccard
-from .arrow import append, texts
+from .arrow import append, small_batches, steps, texts
 from .components import components
 from .store import fresh, materialize, meet
 
@@ -51,12 +51,25 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     ones, n = np.zeros(64, np.int64), len(words) - width + 1
     for i in range(0, n, 65_536):
         part = words[i : min(i + 65_536, n) + width - 1]
-        hashes = [hash64(s, SEED) for s in map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False))]
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([hash64(s, SEED) for s in map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False))], np.uint64))
+    return _majority(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def of_set(found: np.ndarray) -> int:
+    """Fingerprint of a set of hashes."""
+    return _majority(sum(_ones(found[i : i + 65_536]) for i in range(0, len(found), 65_536)), len(found))
+
+
 def add_fingerprints(docs: DataFrame, name: str, text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` with its fingerprint, a long with the same 64 bits."""
     at = docs.columns.index(text_col)
@@ -222,17 +235,59 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     return meet(rows, found, "fp", "n", found.agg(F.sum("n")).first()[0] or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marks(width: int):
+    """Of (id, text): id, the text's node, the fingerprint of its set of runs and its minhash keys, in one pass. Texts of
+    fewer than ``width`` words are alike only if equal and have neither fingerprint nor keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            fp, prints, keys, short = [], [], [], []
+            for text in texts(batch.column(1)):
+                fp.append(jaccard.node(text))
+                short.append(len(text.split(None, width)) < width)
+                found = None if short[-1] else jaccard.shingles(text, width)
+                prints.append(0 if found is None else of_set(found))
+                keys.append(None if found is None else jaccard.bands(found))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64), mask=m) for x, m in ((fp, None), (prints, np.array(short, bool)))]
+            arrays = [batch.column(0), *longs, pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "print", "keys"])
+
+    return run
+
+
+def _minhash_keys(marks: DataFrame) -> DataFrame:
+    return marks.select(F.explode("keys").alias("key"), "fp")
+
+
+def _print_keys(marks: DataFrame, distance: int) -> DataFrame:
+    """(key, fp): nodes whose fingerprints links of ``distance`` bits or fewer connect share a key."""
+    nodes = materialize(marks.where("print IS NOT NULL").select(F.col("print").alias("fp"), F.col("fp").alias("node")).distinct(), "nodes")
+    found = materialize(classes(nodes, "node", distance).select("fp", "root", "n"), "classes")
+    joined = meet(nodes, found, "fp", "n", found.agg(F.sum("n")).first()[0] or 0)
+    return materialize(joined.select(F.xxhash64(F.lit("fingerprint"), "root").alias("key"), F.col("node").alias("fp")), "print-keys")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """``docs`` without all but one document of each component, columns unchanged.
 
-    With ``similarity`` documents are linked by that Jaccard similarity of runs of ``width`` words, not by fingerprints.
+    With ``similarity`` documents are linked by that Jaccard similarity of runs of ``width`` words. Candidates are what
+    links of fingerprints connect, and what shares a minhash key, as 4 bits are far less than that similarity allows;
+    each is judged exactly.
 
     The row with the smallest id stays (null ids only where no row has another); between rows of one id the one
     with the smallest fingerprint, and of rows equal in both any one."""
     fp, key, one = fresh(docs, "fp", "keeper_fp", "keeper_id")
-    marked = add_fingerprints(docs, fp, text_col, width) if similarity is None else jaccard.add_nodes(docs, fp, text_col)
-    rows = materialize(marked.select(F.col(fp).alias("fp"), F.col(id_col).cast("long").alias("doc_id")), "prints")
-    edges = None if similarity is None else jaccard.links(marked.select(F.col(fp).alias("fp"), F.col(text_col).alias("text")), similarity, width)
+    edges = None
+    if similarity is None:
+        marked = add_fingerprints(docs, fp, text_col, width)
+        rows = materialize(marked.select(F.col(fp).alias("fp"), F.col(id_col).cast("long").alias("doc_id")), "prints")
+    else:
+        marked = jaccard.add_nodes(docs, fp, text_col)
+        marks = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_marks(width), "doc_id long, fp long, print long, keys array<long>")
+        marks = materialize(marks, "marks")
+        rows = marks.select("fp", "doc_id")
+        keys = _minhash_keys(marks).unionByName(_print_keys(marks, distance))
+        edges = jaccard.links(marked.select(F.col(fp).alias("fp"), F.col(text_col).alias("text")), keys, similarity, width)
     found = classes(rows, "doc_id", distance, edges)
     holds = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias(key), F.first("component_id").alias(one))
     many = rows.groupBy("fp", "doc_id").agg(F.count("*").alias("n"))
