@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +53,17 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """(u, root) for every node of ``edges`` (long columns u, v; no nulls), root being the smallest node reachable.
+    ``make`` makes the edges from the rows of ``edges`` in the Python pass that contracts them: two passes chained in a
+    task would hold two workers for each core, and workers stay.
 
     Each step aggregates before it shuffles and joins a minimum back; the minima of nodes with very many neighbours are
     few and go to all tasks instead. Nothing is collected. Stars come out after about log(diameter) rounds; running
     out of ``rounds`` raises instead of returning half-merged components."""
     spark = edges.sparkSession
-    now = materialize(edges.select("u", "v").mapInArrow(contract, "u long, v long"), "edges")
+    found = edges.mapInArrow(lambda batches: contract(make(batches)), "u long, v long") if make else edges.select("u", "v").mapInArrow(contract, "u long, v long")
+    now = materialize(found, "edges")
     state, before = None, None
     for _ in range(rounds):
         mark = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()

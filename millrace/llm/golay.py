@@ -202,14 +202,18 @@ def _groups(key: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(u, v) between distinct fingerprints (column fp, long): enough links of ``distance`` bits or fewer (4 at most)
-    to connect all that such links connect."""
-    if not 0 <= distance <= 4:
-        raise ValueError("the keys cover distances of 0 to 4 bits")
+def _keyed(prints: DataFrame) -> DataFrame:
+    """(key, fp) of all keys of distinct fingerprints (column fp, long), dealt and sorted by key."""
     # a fingerprint has some 180 keys: a table that fits one partition must not be spread from one task
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return prints.select("fp").repartition(tasks, "fp").mapInArrow(_emit, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInArrow(_verify(distance), "u long, v long")
+    return prints.select("fp").repartition(tasks, "fp").mapInArrow(_emit, "key long, fp long").repartition("key").sortWithinPartitions("key")
+
+
+def _linked(prints: DataFrame, distance: int) -> DataFrame:
+    """(u, root) of the distinct fingerprints that links of ``distance`` bits or fewer (4 at most) connect."""
+    if not 0 <= distance <= 4:
+        raise ValueError("the keys cover distances of 0 to 4 bits")
+    return components(_keyed(prints), make=_verify(distance))
 
 
 def classes(prints: DataFrame, id_col: str, distance: int = DISTANCE, edges: DataFrame | None = None) -> DataFrame:
@@ -218,7 +222,7 @@ def classes(prints: DataFrame, id_col: str, distance: int = DISTANCE, edges: Dat
 
     ``edges`` (u, v) replaces the links by distance."""
     least = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("id"), F.count("*").alias("n")), "fingerprints")
-    roots = components(links(least, distance) if edges is None else edges)
+    roots = _linked(least, distance) if edges is None else components(edges)
     # a fingerprint without links stands for itself
     rooted = materialize(least.join(roots, least["fp"] == roots["u"], "left").select(least["fp"], "id", "n", F.coalesce("root", least["fp"]).alias("root")), "roots")
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("prints"))
