@@ -26,6 +26,7 @@ def steps(batches: Iterator[pa.RecordBatch], rows: int = STEP) -> Iterator[pa.Re
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()  # workers stay, and Arrow keeps what it has freed
 
 
 def small_batches(df: DataFrame) -> DataFrame:

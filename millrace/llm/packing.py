@@ -105,23 +105,28 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return improve(sizes, best_fit(sizes, capacity), capacity)
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of all documents; a text without tokens is its end id alone."""
+def _pieces(path: str, end_id: int, capacity: int):
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_ids = encoder(path).ids
+        found = encoder(path)
         for batch in steps(batches):
             out = []
             for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1), lower=False), strict=True):
-                ids = encode_ids(text) + end
+                ids = found.ids(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        found.forget()
+
+    return run
 
-    return small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
+
+def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, capacity: int) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of all documents; a text without tokens is its end id alone."""
+    return small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pieces(path, end_id, capacity), PIECES)
 
 
 def _group(capacity: int):

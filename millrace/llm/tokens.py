@@ -11,6 +11,7 @@ import re
 import struct
 from codecs import charmap_decode
 from functools import cache
+from itertools import islice
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -19,6 +20,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 VOCABULARY = "word_bpe_49k.json"
 #: Words remembered by a worker at most.
 REMEMBERED = 800_000
+#: Words that stay between tasks where a worker has other work to do, too.
+KEPT = 50_000
 #: Letters of ASCII and Latin-1, composed already, in UTF-8 between marks of ASCII: a pre-token each. An apostrophe
 #: before letters may take some of them, and a special token begins with ``<|``.
 _PLAIN = re.compile(rb"([!-&(-/:;=?@\[-`{}~]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:;=?@\[-`{}~]*)")
@@ -87,6 +90,13 @@ class Encoder(dict):
         words = ("the", "Mixed", "zzyxqh", "end.", "well?!", "Éçàß", "Ñandú,", "ÿØÞ", "(so)", "it'", "a&&&", '"Él"', "{_x_}%%%")
         return all(self[w.encode()] == self._pack(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in words)
 
+    def forget(self) -> None:
+        """All words but the first met, which are the common ones: a full store is 140 MB of a worker, and workers stay."""
+        kept = dict(islice(self.items(), KEPT))
+        self.clear()
+        self.update(kept)
+        self.older = {}
+
     def ids(self, text: bytes) -> bytes:
         """Ids of a text (UTF-8)."""
         # the normalizer lowers letters anyway; fewer different words are then met. Special tokens keep their case
