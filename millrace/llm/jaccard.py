@@ -181,8 +181,9 @@ def links(marked: DataFrame, keys: DataFrame, least: float = SIMILARITY, width:
     ``least`` or more to connect all that such links between nodes that share one of ``keys`` (key, fp) connect."""
     edge = "u long, v long"
     members = materialize(_first_links(keys).distinct(), "members")
-    sets = marked.join(members.select(F.col("u").alias("fp")).distinct(), "fp", "left_semi").select("fp", "text").mapInArrow(_sets(width), "fp long, items binary")
-    sets = materialize(sets.dropDuplicates(["fp"]), "sets")
+    # rows of one node have one set: the exchange between keeps the two Python passes out of one task
+    own = marked.join(members.select(F.col("u").alias("fp")).distinct(), "fp", "left_semi").select("fp", "text").dropDuplicates(["fp"])
+    sets = materialize(own.mapInArrow(_sets(width), "fp long, items binary"), "sets")
     one, other = (sets.select(F.col("fp").alias(x), F.col("items").alias(f"{x}_items")) for x in "uv")
     pairs = members.where("u <> v").select("u", "v").distinct()
     edges = materialize(pairs.join(one, "u").join(other, "v").select("u", "v", "u_items", "v_items").mapInArrow(_judge(least), edge), "links")

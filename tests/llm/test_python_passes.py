@@ -1,7 +1,7 @@
 import pyarrow as pa
 
 from millrace.llm import components as stars
-from millrace.llm import golay
+from millrace.llm import golay, jaccard
 
 
 def passes(node) -> int:
@@ -40,3 +40,23 @@ def test_components_of_made_edges(spark):
 
     got = {r.u: r.root for r in stars.components(spark.range(1, 30).toDF("n"), make=make).collect()}
     assert {k: v for k, v in got.items() if k != v} == {n: n // 10 * 10 for n in range(1, 30) if n % 10}
+
+
+def test_sets_are_made_apart_from_nodes(spark, monkeypatch):
+    chained, write = [], jaccard.materialize
+
+    def watched(df, name):
+        if name == "sets":
+            chained.append(passes(df._jdf.queryExecution().executedPlan()))
+        return write(df, name)
+
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "  ".join(words)), (4, "something else that is alike to none")]
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kept = golay.dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8)
+        assert {r.doc_id for r in kept.collect()} == {1, 4}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert chained == [1]
