@@ -112,8 +112,8 @@ def _pieces(path: str, end_id: int, capacity: int):
         found = encoder(path)
         for batch in steps(batches):
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1), lower=False), strict=True):
-                ids = found.ids(text) + end
+            for key, ids in zip(batch.column(0).to_pylist(), found.each(texts(batch.column(1), lower=False)), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))

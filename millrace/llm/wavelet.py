@@ -226,12 +226,12 @@ def _write(folder: str, path: str, end_id: int, shard_tokens: int):
         return shard, len(ids), sum(lengths), len(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(path).ids, TaskContext.get().partitionId() << _TASK
+        encode, shard = encoder(path).each, TaskContext.get().partitionId() << _TASK
         ids, lengths, parts, held = [], [], [], 0
         done: list[tuple] = []
         for batch in steps(batches):
-            for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1), lower=False), strict=True):
-                found = encode(text) + end
+            for key, found in zip(batch.column(0).to_pylist(), encode(texts(batch.column(1), lower=False)), strict=True):
+                found += end
                 ids.append(key)
                 lengths.append(len(found) // 4)
                 parts.append(found)
