@@ -5,7 +5,9 @@ its places in blocks, similar ones together, and for each term its postings and
 occurs in. All lists of a shard are cut at the same places, so the pivot test of block-max WAND is one sum: what
 the current blocks of all the query's lists can add up to. The cursors of all lists move together, in document order,
 to the next pivots, blocks whose sum reaches the k-th best score so far, and skip the postings between. As Python
-pays for every step, cursors take a window of pivots at a time, tested again before each.
+pays for every step, cursors take a window of pivots at a time, tested again before each. A window's places are first
+scored nearly: the commonest terms of a shard are a matrix, multiplied with many queries at once in single precision,
+and the others' postings are added. What the error of that leaves in the running is scored exactly, term by term.
 
 The heap of a query lives as long as its task, over all of the task's shards, and starts from the best of the rounds
 before: the first round searches some ``FIRST`` shards, each later one ``FIRST`` times as many as are done. So a query
@@ -40,6 +42,10 @@ BLOCK = 64
 WINDOW = 16
 #: Shards of the first round of a search, and the growth of the later ones.
 FIRST = 8
+#: Terms of a shard in its matrix: those of more than one in ``COMMON`` of its places, and no more than fill ``CELLS``.
+COMMON, CELLS = 32, 12_000_000
+#: Queries that are multiplied at once.
+TOGETHER = 128
 #: Words whose numbers a builder holds before it counts them.
 HELD_WORDS = 1_000_000
 #: Query terms of one block of queries, repeats between queries counted.
@@ -92,21 +98,61 @@ class Shard:
         self.run_max = np.maximum.reduceat(self.impact, self.run[:-1]) if len(block) else np.zeros(0)
         self.run_first = np.searchsorted(self.run, self.first)
         self.scored = 0
-
-    def search(self, at: np.ndarray, idf: np.ndarray, best: list[tuple], k: int) -> list[tuple]:
-        """``best``, the k best (-score, null, id) so far, with this shard's: terms ``at`` (ascending places in keys)."""
+        places, sizes = len(self.lengths), np.diff(self.first)
+        common = np.flatnonzero(sizes * COMMON > places)
+        common = np.sort(common[np.argsort(-sizes[common], kind="stable")[: CELLS // max(places, 1)]])
+        self.row = np.full(len(sizes), -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), places), np.float32)
+        for row, term in enumerate(common.tolist()):
+            own = slice(self.first[term], self.first[term + 1])
+            self.matrix[row, self.place[own]] = self.impact[own]
+        # sums of so many terms above 0, rounded at each step, and their factors before
+        self.error = (len(common) + 8) * 2.0**-23
+        by_place = np.argsort(_narrow(self.place), kind="stable")
+        self.place_first = np.concatenate([[0], np.cumsum(np.bincount(self.place, minlength=places))])
+        # once more by place: a place's postings stand together
+        self.own_term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_place]
+        self.own_impact = self.impact[by_place]
+        self.weight = np.zeros(len(sizes))
+
+    def search_all(self, asked: list[tuple], k: int) -> list[list[tuple]]:
+        """``search`` for many (at, idf, best)."""
+        out = []
+        for i in range(0, len(asked), TOGETHER):
+            some = asked[i : i + TOGETHER]
+            rows = [self.row[at] for at, _, _ in some]
+            weights = np.zeros((len(some), len(self.matrix)), np.float32)
+            for own, there, (_, idf, _) in zip(weights, rows, some, strict=True):
+                own[there[there >= 0]] = idf[there >= 0]
+            near = weights @ self.matrix
+            for mine, there, (at, idf, best) in zip(near, rows, some, strict=True):
+                rare = at[there < 0]
+                lo, hi = self.first[rare], self.first[rare + 1]
+                post = _ranges(lo, hi)
+                mine = mine + np.bincount(self.place[post], weights=self.impact[post] * np.repeat(idf[there < 0], hi - lo), minlength=len(mine))
+                self.weight[at] = idf
+                out.append(self.search(at, idf, best, k, mine))
+                self.weight[at] = 0
+        return out
+
+    def search(self, at: np.ndarray, idf: np.ndarray, best: list[tuple], k: int, near: np.ndarray | None = None) -> list[tuple]:
+        """``best``, the k best (-score, null, id) so far, with this shard's: terms ``at`` (ascending places in keys).
+        ``near`` has scores that may err by ``error`` of themselves; ``weight`` then has the terms' weights."""
         a, b = self.run_first[at], self.run_first[at + 1]
         runs, weight = _ranges(a, b), np.repeat(idf, b - a)
         block = self.run_block[runs]
         bound = np.bincount(block, weights=self.run_max[runs] * weight, minlength=-(-len(self.lengths) // BLOCK))
         bound[bound > 0] += SLACK
-        least, cursor, window = _least(best, k), 0, WINDOW
+        score = (lambda blocks, best: self._score(blocks, runs, block, weight, best, k)) if near is None else (lambda blocks, best: self._score_near(blocks, near, best, k))
+        # where scores are nearly known, those of all pivots are one window
+        least, cursor, window = _least(best, k), 0, WINDOW if near is None else len(bound)
         if not least:  # nothing to beat yet: begin where most can be had
             most = np.sort(np.argpartition(bound, -4)[-4:]) if len(bound) > 4 else np.arange(len(bound))
-            best = self._score(most[bound[most] > 0], runs, block, weight, best, k)
+            best = score(most[bound[most] > 0], best)
             bound[most], least = 0, _least(best, k)
         while len(pivots := cursor + np.flatnonzero(bound[cursor:] >= max(least, SLACK))):
-            best = self._score(pivots[:window], runs, block, weight, best, k)
+            best = score(pivots[:window], best)
             cursor, least, window = int(pivots[:window][-1]) + 1, _least(best, k), 2 * window
         return best
 
@@ -119,13 +165,29 @@ class Shard:
         post = _ranges(lo, hi)
         scores = np.bincount(self.place[post], weights=self.impact[post] * np.repeat(weight[mine], hi - lo))
         self.scored += BLOCK * len(blocks)
+        return self._enter(np.arange(len(scores)), scores, best, k)
+
+    def _score_near(self, blocks: np.ndarray, near: np.ndarray, best: list[tuple], k: int) -> list[tuple]:
+        places = (BLOCK * blocks[:, None] + np.arange(BLOCK)).ravel()
+        places = places[places < len(near)]
+        self.scored += BLOCK * len(blocks)
+        mine, floor = near[places], _least(best, k) - SLACK
+        if len(mine) > k:
+            floor = max(floor, np.partition(mine, -k)[-k] * (1 - self.error) - SLACK)
+        places = places[(mine > 0) & (mine * (1 + self.error) >= floor)]
+        lo, hi = self.place_first[places], self.place_first[places + 1]
+        post = _ranges(lo, hi)
+        # in the order of terms, as in _score
+        return self._enter(places, np.bincount(np.repeat(np.arange(len(places)), hi - lo), weights=self.own_impact[post] * self.weight[self.own_term[post]], minlength=len(places)), best, k)
+
+    def _enter(self, places: np.ndarray, scores: np.ndarray, best: list[tuple], k: int) -> list[tuple]:
         found = np.flatnonzero((scores > 0) & (scores >= _least(best, k) - SLACK))
         if len(found) > k:
             found = found[scores[found] >= np.partition(scores[found], -k)[-k] - SLACK]
         if not len(found):
             return best
         rows = list(best)
-        for place, score in zip(found.tolist(), np.round(scores[found], PLACES).tolist(), strict=True):
+        for place, score in zip(places[found].tolist(), np.round(scores[found], PLACES).tolist(), strict=True):
             i, j = self.start[place], min(self.start[place + 1], self.start[place] + k)
             rows += [(-score, not known, int(x)) for x, known in zip(self.ids[i:j], self.known[i:j], strict=True)]
         return sorted(rows)[:k]
@@ -268,11 +330,14 @@ def _search(block, number: int, mean: float, k: int):
                 shard.prepare(mean)
                 at = np.minimum(np.searchsorted(shard.keys, asked.keys), len(shard.keys) - 1)
                 there = shard.keys[at] == asked.keys
-                for i in range(len(heaps)):
-                    own = asked.refs[asked.first[i] : asked.first[i + 1]]
-                    own = own[there[own]]
-                    if len(own):
-                        heaps[i] = shard.search(at[own], idf[own], heaps[i], k)
+                for i in range(0, len(heaps), TOGETHER):
+                    mine = {}
+                    for j in range(i, min(i + TOGETHER, len(heaps))):
+                        own = asked.refs[asked.first[j] : asked.first[j + 1]]
+                        if len(own := own[there[own]]):
+                            mine[j] = at[own], idf[own], heaps[j]
+                    for j, heap in zip(mine, shard.search_all(list(mine.values()), k), strict=True):
+                        heaps[j] = heap
         # what is new; a repeated row equals the one before and counts again
         rows = [(q, None if row[1] else row[2], -row[0]) for q, heap in zip(asked.q.tolist(), heaps, strict=True) for row in (Counter(heap) - Counter(asked.best.get(q, ()))).elements()]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["q", "doc_id", "score"])

@@ -70,6 +70,32 @@ def test_pruning_skips_blocks():
         assert shard.search(at, np.ones(len(at)), full, 10) == full and shard.scored == 0
 
 
+def test_near_scores_leave_few_to_score_exactly(monkeypatch):
+    found, shards = topics(3000), []
+    for part in (found[:1500], found[1500:]):
+        made = search.Builder()
+        for i, text in enumerate(part):
+            made.add(i if i % 50 else None, text)
+        shard = made.shard()
+        shards.append(search.Shard.load(shard.keys, shard.dump()))
+    rng = np.random.default_rng(3)
+    for common, cells in ((32, 12_000_000), (2, 12_000_000), (32, 3000), (32, 0)):
+        monkeypatch.setattr(search, "COMMON", common)
+        monkeypatch.setattr(search, "CELLS", cells)
+        plain = near = [[] for _ in range(150)]
+        for shard in shards:
+            shard.prepare(40)
+            asked = [np.unique(np.searchsorted(shard.keys, [np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64) for w in set(found[7 * j].split())])) for j in range(150)]
+            asked = [at[at < len(shard.keys)] for at in asked]
+            weights = [rng.uniform(0.1, 9, len(at)) for at in asked]
+            plain = [shard.search(at, w, b, 10) for at, w, b in zip(asked, weights, plain, strict=True)]
+            exact, enter = [], shard._enter
+            shard._enter = lambda places, *rest, exact=exact, enter=enter: exact.append(len(places)) or enter(places, *rest)
+            near = shard.search_all(list(zip(asked, weights, near, strict=True)), 10)
+            assert near == plain and sum(exact) <= 30 * len(asked)
+            assert not shard.weight.any()
+
+
 def test_long_texts_bound_shards(spark):
     docs = spark.createDataFrame([(i, "word another " * 50) for i in range(20)], "doc_id long, text string").coalesce(1)
     assert search.build(docs, shard_words=1000).count() == 2
